@@ -48,40 +48,48 @@ def parse_decimal(c: Column, kind: str = "decimal(18,2)") -> Column:
 
 
 # --- dates -----------------------------------------------------------------
-# Each layout: pattern, rewrite to ISO order, and whether a day past the end of
-# its month is pulled back to the last day (31/02 -> 28/02 or 29/02). Layouts
-# in strict ISO form reject such days instead.
 _D, _M, _Y = r"(0[1-9]|[12]\d|3[01])", r"(0[1-9]|1[0-2])", r"(\d{4})"
 _HM = r"(?:[01]\d|2[0-3]):[0-5]\d"
 _HMS = _HM + r":[0-5]\d"
 
 
-def _layout(value: Column, pattern: str, rewrite: str, clamp: bool) -> Column:
-    iso = F.regexp_replace(value, pattern, rewrite)
-    exact = iso.try_cast("timestamp_ntz")
-    if clamp:
-        month_end = F.last_day(F.concat(F.substring(iso, 1, 7), F.lit("-01")).try_cast("date"))
-        pulled = F.concat(month_end.cast("string"), F.substring(iso, 11, 30)).try_cast("timestamp_ntz")
-        exact = F.coalesce(exact, pulled)
-    return F.when(value.rlike(pattern), exact)
+def iso_text(c: Column) -> Column:
+    """Date-time text in one of the known layouts, rewritten to ISO order; else null.
+
+    The first layout that fits wins: ISO date-time, `yyyy-MM-dd HH:mm[:ss]`, day-first
+    with slashes, day-first with dashes, month-first with slashes, then ISO and
+    day-first dates. A `T` or `Z` in a value that is not ISO date-time is ignored.
+    """
+    raw = strip(c)
+    plain = F.replace(F.translate(raw, "T", " "), F.lit("Z"), F.lit(""))
+    layouts = [
+        (plain, rf"^{_Y}-{_M}-{_D} ({_HMS}|{_HM})$", None),
+        (raw, rf"^{_Y}-{_M}-{_D}T{_HMS}\.\d{{1,9}}$", None),
+        (plain, rf"^{_D}/{_M}/{_Y} ({_HMS})$", "$3-$2-$1 $4"),
+        (plain, rf"^{_D}-{_M}-{_Y} ({_HMS})$", "$3-$2-$1 $4"),
+        (plain, rf"^{_M}/{_D}/{_Y} ({_HMS})$", "$3-$1-$2 $4"),
+        (raw, rf"^{_Y}-{_M}-{_D}$", None),
+        (raw, rf"^{_D}/{_M}/{_Y}$", "$3-$2-$1 00:00:00"),
+        (raw, rf"^{_D}-{_M}-{_Y}$", "$3-$2-$1 00:00:00"),
+    ]
+    out = None
+    for value, pattern, rewrite in layouts:
+        found = value if rewrite is None else F.regexp_replace(value, pattern, rewrite)
+        out = F.when(value.rlike(pattern), found) if out is None else out.when(value.rlike(pattern), found)
+    return out
+
+
+def iso_timestamp(iso: Column) -> Column:
+    """Timestamp of an `iso_text` value. A day past the end of its month is pulled back
+    to the last day (31/02 -> 28/02 or 29/02), except in plain ISO dates and in
+    ISO date-times with a fraction, which are refused."""
+    month_end = F.last_day(F.concat(F.left(iso, F.lit(7)), F.lit("-01")).try_cast("date"))
+    pulled = F.concat(month_end.cast("string"), F.substring(iso, 11, 30)).try_cast("timestamp_ntz")
+    return F.coalesce(iso.try_cast("timestamp_ntz"), F.when(F.length(iso).between(16, 19), pulled))
 
 
 def parse_timestamp(c: Column) -> Column:
-    """The first layout that fits, in this order: ISO date-time, `yyyy-MM-dd HH:mm[:ss]`,
-    day-first with slashes, day-first with dashes, month-first with slashes, then
-    ISO and day-first dates at midnight. A `T` or `Z` in a non-ISO value is ignored."""
-    raw = strip(c)
-    plain = F.regexp_replace(F.translate(raw, "T", " "), "Z", "")
-    return F.coalesce(
-        _layout(raw, rf"^{_Y}-{_M}-{_D}T({_HM}(?::[0-5]\d(?:\.\d{{1,9}})?)?)$", "$1-$2-$3 $4", False),
-        _layout(plain, rf"^{_Y}-{_M}-{_D} ({_HMS}|{_HM})$", "$1-$2-$3 $4", True),
-        _layout(plain, rf"^{_D}/{_M}/{_Y} ({_HMS})$", "$3-$2-$1 $4", True),
-        _layout(plain, rf"^{_D}-{_M}-{_Y} ({_HMS})$", "$3-$2-$1 $4", True),
-        _layout(plain, rf"^{_M}/{_D}/{_Y} ({_HMS})$", "$3-$1-$2 $4", True),
-        _layout(raw, rf"^{_Y}-{_M}-{_D}$", "$1-$2-$3 00:00:00", False),
-        _layout(raw, rf"^{_D}/{_M}/{_Y}$", "$3-$2-$1 00:00:00", True),
-        _layout(raw, rf"^{_D}-{_M}-{_Y}$", "$3-$2-$1 00:00:00", True),
-    )
+    return iso_timestamp(iso_text(c))
 
 
 def parse_date(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyhound.operators.skew import SMALL_INPUT_BYTES, planned_bytes
 from tallyhound.session import cut_lineage
 
 # A side with at most this many narrow rows may be sent to every executor.
@@ -14,7 +15,11 @@ BROADCAST_ROWS = 500_000
 def checked_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Compute a join side, count it, and broadcast it only when it is small.
 
-    Beyond the limit it is joined by shuffle, where adaptive execution splits hot keys.
+    Beyond the limit it is joined by shuffle, where adaptive execution splits hot
+    keys. Where the whole input is small, the planner's own choice is good enough.
     """
+    size = planned_bytes(df)
+    if size is not None and size < SMALL_INPUT_BYTES:
+        return df
     stored = cut_lineage(df)
     return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored

@@ -214,7 +214,7 @@ def reassignments(assignments: DataFrame, initial: str = "opener") -> DataFrame:
     Rows are linked to their predecessor by place in the sequence, so a case with a
     very long history is no larger a unit of work than any other."""
     return skewed_lag(assignments, ["case_ref"], ["seq"], "assignee", "previous").select(
-        "case_ref", "seq", text.clip(F.coalesce("previous", initial), 32).alias("from_state"),
+        "case_ref", "seq", text.clip(F.coalesce("previous", F.lit(initial)), 32).alias("from_state"),
         text.clip(F.col("assignee"), 32).alias("to_state"), F.lit("CASE_ASSIGNED").alias("action"),
         F.lit("Reassigned").alias("details"))
 

@@ -79,7 +79,7 @@ def disposition_hours(records: DataFrame) -> DataFrame:
     hours = F.col("minutes") / 60.0
     return counted.agg(
         _half_up(F.sum(hours * F.col("n")) / F.sum("n")).alias("mean_hours"),
-        _half_up(F.percentile(hours, 0.5, "n")).alias("median_hours"))
+        _half_up(F.percentile(hours, 0.5, F.col("n"))).alias("median_hours"))
 
 
 def quality_by_rule(records: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from tallyhound.operators import clusters, flows
 from tallyhound.schemas import EVIDENCE_DDL, HIT_DDL
 
 TRANSACTION, ACCOUNT_WINDOW, CUSTOMER_WINDOW = "TRANSACTION", "ACCOUNT_WINDOW", "CUSTOMER_WINDOW"
+SCOPES = [TRANSACTION, ACCOUNT_WINDOW, CUSTOMER_WINDOW]
 
 
 @dataclass(frozen=True)

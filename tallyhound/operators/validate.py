@@ -85,32 +85,56 @@ def request_checks() -> list[Check]:
     ]
 
 
-def first_failure(checks: list[Check]) -> Column:
-    """struct(error_type, error_message) of the first failing check, else null."""
-    out = F.lit(None).cast("struct<error_type:string,error_message:string>")
-    for check in reversed(sorted(checks, key=lambda k: k.order)):
-        error = F.struct(F.lit(check.error_type).alias("error_type"),
-                         text.clip(check.message, MESSAGE_LIMIT).alias("error_message"))
-        out = F.when(check.fails, error).otherwise(out)
+def _ordered(checks: list[Check]) -> list[Check]:
+    return sorted(checks, key=lambda k: k.order)
+
+
+def _choose(pairs: list[tuple[Column, Column]]) -> Column:
+    out = F.when(*pairs[0])
+    for condition, value in pairs[1:]:
+        out = out.when(condition, value)
     return out
 
 
-def check_rows(raw: DataFrame, accounts: DataFrame, fx: DataFrame, as_of: datetime,
-               strict: bool = False, extra: list[Check] | None = None) -> DataFrame:
-    """Every check that looks at one row. `extra` checks join the chain by their order."""
+def first_failure(checks: list[Check]) -> Column:
+    """Place of the first failing check in the chain; null if none fails.
+
+    A small number, so that only rejected rows ever build a message."""
+    return _choose([(c.fails, F.lit(i)) for i, c in enumerate(_ordered(checks))])
+
+
+def explain(checks: list[Check]) -> list[Column]:
+    """error_type and error_message of the check numbered in `failed`."""
+    ordered = _ordered(checks)
+    kind = _choose([(F.col("failed") == i, F.lit(c.error_type)) for i, c in enumerate(ordered)])
+    message = _choose([(F.col("failed") == i, c.message) for i, c in enumerate(ordered)])
+    return [kind.alias("error_type"), text.clip(message, MESSAGE_LIMIT).alias("error_message")]
+
+
+def _repeat_check() -> Check:
+    """Passed by the chain itself; `flag_repeats` fails it later."""
+    return Check(99, F.lit(False), BUSINESS,
+                 _say("duplicate transactionId '", F.col("transaction_id"), "' within this batch"))
+
+
+def chain(as_of: datetime, strict: bool = False, extra: list[Check] | None = None) -> list[Check]:
+    """All transaction checks in order. `extra` checks join by their order."""
+    return _ordered([*transaction_checks(as_of), *(request_checks() if strict else []), *(extra or []), _repeat_check()])
+
+
+def check_rows(raw: DataFrame, accounts: DataFrame, fx: DataFrame, checks: list[Check]) -> DataFrame:
+    """Every check that looks at one row; adds `failed` and the parsed fields."""
     owners = accounts.select(text.strip(F.col("account_id")).alias("_account"), F.col("customer_id").alias("owner_id"))
     rates = active_fx(fx)
     rows = raw.withColumns({
-        "parsed_ts": text.parse_timestamp(F.col("txn_timestamp")),
-        "amount_number": text.parse_decimal(F.col("amount"), "decimal(38,18)")})
-    rows = rows.join(owners, text.strip(F.col("account_id")) == F.col("_account"), "left")
-    rows = rows.join(F.broadcast(rates), F.upper(text.strip(F.col("currency"))) == F.col("fx_currency"), "left")
-    checks = [*transaction_checks(as_of), *(request_checks() if strict else []), *(extra or [])]
-    return rows.withColumn("error", first_failure(checks)).drop("_account", "fx_currency")
-
-
-def _repeat_error(message: Column) -> Column:
-    return F.struct(F.lit(BUSINESS).alias("error_type"), text.clip(message, MESSAGE_LIMIT).alias("error_message"))
+        "_iso": text.iso_text(F.col("txn_timestamp")),
+        "amount_number": text.parse_decimal(F.col("amount"), "decimal(38,18)"),
+        "_to_account": text.strip(F.col("account_id")), "_to_currency": F.upper(text.strip(F.col("currency")))})
+    rows = rows.withColumn("parsed_ts", text.iso_timestamp(F.col("_iso")))
+    rows = rows.join(owners, F.col("_to_account") == F.col("_account"), "left")
+    rows = rows.join(F.broadcast(rates), F.col("_to_currency") == F.col("fx_currency"), "left")
+    return rows.withColumn("failed", first_failure(checks)).drop(
+        "_iso", "_to_account", "_to_currency", "_account", "fx_currency")
 
 
 def first_rows(rows: DataFrame, key: Column) -> DataFrame:
@@ -125,7 +149,7 @@ def first_rows(rows: DataFrame, key: Column) -> DataFrame:
         .where("_n > 1 and _key is not null").select("_key", "_first"))
 
 
-def flag_repeats(checked: DataFrame) -> DataFrame:
+def flag_repeats(checked: DataFrame, checks: list[Check]) -> DataFrame:
     """Reject a transaction id already seen on an earlier accepted row of the batch.
 
     Only rows that passed every other check count as seen, so a rejected row never
@@ -133,11 +157,10 @@ def flag_repeats(checked: DataFrame) -> DataFrame:
     themselves are shuffled only if that list is too large to broadcast.
     """
     key = text.strip(F.col("transaction_id"))
-    repeats = checked_side(first_rows(checked.where("error is null"), key))
+    repeats = checked_side(first_rows(checked.where("failed is null"), key))
     joined = checked.join(repeats, key == F.col("_key"), "left")
-    late = F.col("error").isNull() & (F.col("row_number") > F.col("_first"))
-    message = _say("duplicate transactionId '", F.col("transaction_id"), "' within this batch")
-    return joined.withColumn("error", F.when(late, _repeat_error(message)).otherwise(F.col("error"))).drop("_key", "_first")
+    late = F.col("failed").isNull() & (F.col("row_number") > F.col("_first"))
+    return joined.withColumn("failed", F.when(late, len(checks) - 1).otherwise(F.col("failed"))).drop("_key", "_first")
 
 
 def accepted(checked: DataFrame) -> DataFrame:
@@ -156,40 +179,37 @@ def accepted(checked: DataFrame) -> DataFrame:
         "counterparty_country": F.upper(text.strip(F.col("counterparty_country"))),
         "status": F.coalesce("status", F.lit("POSTED")),
     }
-    return checked.where("error is null").select(*[typed.get(c, F.col(c)).alias(c) for c in LEDGER_COLUMNS])
+    return checked.where("failed is null").select(*[typed.get(c, F.col(c)).alias(c) for c in LEDGER_COLUMNS])
 
 
-def rejected(checked: DataFrame, key: str = "transaction_id") -> DataFrame:
+def rejected(checked: DataFrame, checks: list[Check], key: str = "transaction_id") -> DataFrame:
     """Dead-letter rows with the reason and the record as it came."""
-    return checked.where("error is not null").select(
-        "row_number", F.col(key).alias("record_key"), "error.error_type", "error.error_message",
-        F.col("raw_line").alias("raw_record"))
+    return checked.where("failed is not null").select(
+        "row_number", F.col(key).alias("record_key"), *explain(checks), F.col("raw_line").alias("raw_record"))
 
 
 # --- customer and account files --------------------------------------------
 
-def _master_rows(rows: DataFrame, key: str) -> DataFrame:
-    kept = [F.col(f"`{c}`") for c in rows.columns if c != "row_number"]
-    return rows.withColumns({"_id": text.text_or(F.col(key)), "raw_line": F.to_json(F.struct(*kept))})
-
-
-def _master_checks(rows: DataFrame, key: str, extra: list[Check]) -> DataFrame:
-    # The id counts as seen on its first row, whatever happens to that row later.
-    repeats = checked_side(first_rows(rows, F.col("_id")))
-    joined = rows.join(repeats, F.col("_id") == F.col("_key"), "left")
+def master_checks(key: str, owned: bool = False) -> list[Check]:
+    """Checks of a customer or account file. An id counts as seen on its first row,
+    whatever happens to that row later."""
     checks = [
         Check(10, F.col("_id").isNull(), STRUCTURAL, F.lit(f"{key} is required")),
-        Check(20, F.col("row_number") > F.col("_first"), BUSINESS, F.lit(f"duplicate {key} in file")), *extra]
-    return joined.withColumn("error", first_failure(checks)).drop("_key", "_first")
-
-
-def check_customers(rows: DataFrame) -> DataFrame:
-    return _master_checks(_master_rows(rows, "customer_id"), "customer_id", [])
+        Check(20, F.col("row_number") > F.col("_first"), BUSINESS, F.lit(f"duplicate {key} in file"))]
+    if owned:
+        checks.append(Check(30, F.col("_owner").isNull(), REFERENTIAL, _say(
+            "customer_id '", _shown(F.col("customer_id")), "' does not exist — load customers first")))
+    return checks
 
 
-def check_accounts(rows: DataFrame, customers: DataFrame) -> DataFrame:
-    known = customers.select(F.col("customer_id").alias("_owner")).distinct()
-    marked = _master_rows(rows, "account_id").join(known, F.col("customer_id") == F.col("_owner"), "left")
-    missing = Check(30, F.col("_owner").isNull(), REFERENTIAL,
-                    _say("customer_id '", _shown(F.col("customer_id")), "' does not exist — load customers first"))
-    return _master_checks(marked, "account_id", [missing]).drop("_owner")
+def check_master(rows: DataFrame, key: str, customers: DataFrame | None = None) -> DataFrame:
+    """Add `failed` to the rows of a customer file, or of an account file whose owners
+    must be among `customers`."""
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != "row_number"]
+    rows = rows.withColumns({"_id": text.text_or(F.col(key)), "raw_line": F.to_json(F.struct(*kept))})
+    if customers is not None:
+        known = customers.select(F.col("customer_id").alias("_owner")).distinct()
+        rows = rows.join(known, F.col("customer_id") == F.col("_owner"), "left")
+    repeats = checked_side(first_rows(rows, F.col("_id")))
+    joined = rows.join(repeats, F.col("_id") == F.col("_key"), "left")
+    return joined.withColumn("failed", first_failure(master_checks(key, customers is not None))).drop("_key", "_first", "_id")

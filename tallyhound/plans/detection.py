@@ -25,16 +25,19 @@ class RunResult:
     duration_ms: int
 
 
-def run_detection(ctx: rules.RuleContext, settings: dict[str, RuleSetting], path: str, batch_id: int,
-                  detected_at) -> RunResult:
+def run_detection(contexts: rules.RuleContext | dict[str, rules.RuleContext], settings: dict[str, RuleSetting],
+                  path: str, batch_id: int, detected_at) -> RunResult:
     """Run each rule as its own write. A rule that fails is reported and skipped;
-    the findings of the others are kept."""
+    the findings of the others are kept. `contexts` may differ by rule scope."""
+    if isinstance(contexts, rules.RuleContext):
+        contexts = {scope: contexts for scope in rules.SCOPES}
+    ctx = contexts[rules.TRANSACTION]
     began = time.monotonic()
     failed, hits = [], 0
     spark = ctx.ledger.sparkSession
     for r in rules.active_rules(settings):
         try:
-            found = r.find(ctx, settings[r.code])
+            found = r.find(contexts[r.scope], settings[r.code])
             stamped = found.hits.withColumn("detected_at", F.lit(detected_at).cast("timestamp_ntz"))
             folder = f"{path}/hits/run={r.code}"
             # Evidence first: hits appear only once everything they cite is in place.

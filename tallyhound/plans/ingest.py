@@ -23,20 +23,21 @@ class Ingested:
 def ingest(raw: DataFrame, accounts: DataFrame, fx: DataFrame, as_of: datetime, strict: bool = False,
            extra: list[validate.Check] | None = None) -> Ingested:
     """Validate raw transactions and split them into ledger rows and rejects."""
-    checked = validate.flag_repeats(validate.check_rows(raw, accounts, fx, as_of, strict, extra))
-    return Ingested(validate.accepted(checked), validate.rejected(checked), checked)
+    checks = validate.chain(as_of, strict, extra)
+    checked = validate.flag_repeats(validate.check_rows(raw, accounts, fx, checks), checks)
+    return Ingested(validate.accepted(checked), validate.rejected(checked, checks), checked)
 
 
 def ingest_customers(rows: DataFrame) -> Ingested:
-    checked = validate.check_customers(rows)
-    good = files.to_customers(checked.where("error is null"))
-    return Ingested(good, validate.rejected(checked, "customer_id"), checked)
+    checked = validate.check_master(rows, "customer_id")
+    good = files.to_customers(checked.where("failed is null"))
+    return Ingested(good, validate.rejected(checked, validate.master_checks("customer_id"), "customer_id"), checked)
 
 
 def ingest_accounts(rows: DataFrame, customers: DataFrame) -> Ingested:
-    checked = validate.check_accounts(rows, customers)
-    good = files.to_accounts(checked.where("error is null"))
-    return Ingested(good, validate.rejected(checked, "account_id"), checked)
+    checked = validate.check_master(rows, "account_id", customers)
+    good = files.to_accounts(checked.where("failed is null"))
+    return Ingested(good, validate.rejected(checked, validate.master_checks("account_id", True), "account_id"), checked)
 
 
 def batch_ref(key: Column, at: Column) -> Column:
@@ -49,8 +50,8 @@ def summarise(checked: DataFrame, source: str, as_of: datetime, entity: str = "T
     at = F.lit(as_of).cast("timestamp_ntz")
     counts = checked.agg(
         F.count(F.lit(1)).alias("total_records"),
-        F.count_if(F.col("error").isNull()).alias("accepted_records"),
-        F.count_if(F.col("error").isNotNull()).alias("rejected_records"))
+        F.count_if(F.col("failed").isNull()).alias("accepted_records"),
+        F.count_if(F.col("failed").isNotNull()).alias("rejected_records"))
     alerts = F.lit(alerts) if isinstance(alerts, int) else alerts
     return counts.select(
         batch_ref(F.lit(f"{entity}|{source}|{as_of.isoformat()}"), at).alias("batch_ref"),

@@ -40,12 +40,10 @@ def current_ledger(log: DataFrame) -> DataFrame:
     return picked.select("transaction_id", "r.*").select(*LEDGER_COLUMNS)
 
 
-def current_rows_of(log: DataFrame, account_ids: DataFrame) -> DataFrame:
-    """Current ledger rows of some accounts, reading only the id columns of the rest.
-
-    A row counts if no later batch rewrote its id, for this or any other account.
-    """
-    mine = log.join(account_ids.select("account_id").distinct(), "account_id", "left_semi")
+def current_rows_of(log: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Current ledger rows of some accounts or customers, reading only the id
+    columns of the rest. A row counts if no later batch rewrote its id."""
+    mine = log.join(ids.select(key).distinct(), key, "left_semi")
     newest = (
         log.select("transaction_id", "batch_id")
         .join(mine.select("transaction_id").distinct(), "transaction_id", "left_semi")

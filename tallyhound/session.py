@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +27,30 @@ def build_session(app: str = "tallyhound", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in `spark.checkpoint.dir`.
 
-    The folder is the one the cluster names in `spark.checkpoint.dir`. Only a
-    local session without that setting (tests) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="tallyhound-checkpoint-")
-        sc.setCheckpointDir(shared)
+    current = sc.getCheckpointDir()
+    if current is not None:
+        return current
+    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if shared is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        shared = tempfile.mkdtemp(prefix="tallyhound-")
+    sc.setCheckpointDir(shared)
+    return sc.getCheckpointDir()
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables on the shared storage."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it back from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

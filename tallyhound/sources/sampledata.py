@@ -46,10 +46,9 @@ def event_transactions(events: DataFrame) -> DataFrame:
         F.lit("POSTED").alias("status"))
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as an already accepted ledger, amounts in the base currency."""
-    rates = refs.active_fx(refs.fx_rates(spark))
-    rows = event_transactions(table(spark, sf_dir, "events"))
+def typed_ledger(rows: DataFrame) -> DataFrame:
+    """Typed transactions with amounts in the base currency."""
+    rates = refs.active_fx(refs.fx_rates(rows.sparkSession))
     return (
         rows.join(F.broadcast(rates), F.col("currency") == F.col("fx_currency"), "left")
         .withColumn("amount_base", money.to_base(F.col("amount"), F.col("fx_rate")))
@@ -57,6 +56,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(*LEDGER_COLUMNS))
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as an already accepted ledger."""
+    return typed_ledger(event_transactions(table(spark, sf_dir, "events")))
+
+
 def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a ledger: day-grained times with real ties over several years."""
     orders = table(spark, sf_dir, "orders")
