@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Recording the Python line of every column expression costs several calls to the
+# JVM each, seconds for a large plan. It only adds line numbers to error messages.
+CALL_SITES = ("spark.python.sql.dataFrameDebugging.enabled", "false")
+
+
 def build_session(app: str = "tallyhound", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here relies on.
 
@@ -19,6 +24,7 @@ def build_session(app: str = "tallyhound", master: str | None = None, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config(*CALL_SITES)
     )
     if master:
         builder = builder.master(master)

@@ -1,3 +1,4 @@
+import copy
 from datetime import datetime, timedelta
 from decimal import Decimal
 
@@ -22,8 +23,13 @@ def ledger(spark, rows):
     return spark.createDataFrame([[r[c] for c in LEDGER_COLUMNS] for r in rows], LEDGER_DDL)
 
 
+_loaded = {}
+
+
 def settings(spark, **overrides):
-    out = load_settings(refs.rule_config(spark))
+    if not _loaded:
+        _loaded.update(load_settings(refs.rule_config(spark)))
+    out = copy.deepcopy(_loaded)
     for code, params in overrides.items():
         out[code].params.update(params)
     return out
