@@ -61,7 +61,16 @@ def iso_text(c: Column) -> Column:
     day-first dates. A `T` or `Z` in a value that is not ISO date-time is ignored.
     """
     raw = strip(c)
-    plain = F.replace(F.translate(raw, "T", " "), F.lit("Z"), F.lit(""))
+    return iso_text_of(raw, without_marks(raw))
+
+
+def without_marks(raw: Column) -> Column:
+    """`T` to a space, `Z` dropped."""
+    return F.translate(raw, "TZ", " ")
+
+
+def iso_text_of(raw: Column, plain: Column) -> Column:
+    """`iso_text` from the stripped value and the same value `without_marks`."""
     layouts = [
         (plain, rf"^{_Y}-{_M}-{_D} ({_HMS}|{_HM})$", None),
         (raw, rf"^{_Y}-{_M}-{_D}T{_HMS}\.\d{{1,9}}$", None),

@@ -20,13 +20,25 @@ SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 
 def planned_bytes(df: DataFrame) -> int | None:
-    """The planner's size estimate of a plan, or None where it cannot be read."""
+    """Bytes of the tables a plan reads, or None where the planner does not know.
+
+    The planner's figure for the whole plan is of no use here: for joins it
+    multiplies the sizes of both sides.
+    """
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:
         return None
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the source gave fewer partitions than that (a CSV
+    with quoted line breaks is read by one task per file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
     """Keys with more than `limit` rows, or None when there are none.
 

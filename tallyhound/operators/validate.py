@@ -39,38 +39,53 @@ def _shown(c: Column) -> Column:
 
 
 def transaction_checks(as_of: datetime) -> list[Check]:
-    """Checks over a raw row joined to `owner_id` (its account) and `fx_rate`."""
+    """Checks over the prepared fields of a raw row (see `prepared`), joined to
+    `owner_id` (of its account) and `fx_rate`."""
     c = F.col
-    amount = c("amount_number")
-    future = c("parsed_ts") > F.lit(as_of).cast("timestamp_ntz") + F.expr("INTERVAL 5 MINUTES")
-    stated = text.text_or(c("customer_id"))
+    future = c("p_ts") > F.lit(as_of).cast("timestamp_ntz") + F.expr("INTERVAL 5 MINUTES")
     return [
-        Check(10, text.is_blank(c("transaction_id")), STRUCTURAL, F.lit("transactionId is required")),
-        Check(10, text.is_blank(c("account_id")), STRUCTURAL, F.lit("accountId is required")),
+        Check(10, c("p_id").isNull(), STRUCTURAL, F.lit("transactionId is required")),
+        Check(10, c("p_account").isNull(), STRUCTURAL, F.lit("accountId is required")),
         Check(10, text.is_blank(c("txn_timestamp")), STRUCTURAL, F.lit("txnTimestamp is required")),
-        Check(10, c("parsed_ts").isNull(), STRUCTURAL,
+        Check(10, c("p_ts").isNull(), STRUCTURAL,
               _say("txnTimestamp '", c("txn_timestamp"), "' is not a recognised date-time")),
         Check(10, c("direction").isNull(), STRUCTURAL, F.lit("direction is required")),
-        Check(10, text.parse_direction(c("direction")).isNull(), STRUCTURAL,
-              _say("unknown direction: ", c("direction"))),
-        Check(10, amount.isNull(), STRUCTURAL, _say("amount '", _shown(c("amount")), "' is not a valid number")),
-        Check(10, amount <= 0, STRUCTURAL,
+        Check(10, c("p_way").isNull(), STRUCTURAL, _say("unknown direction: ", c("direction"))),
+        Check(10, c("p_amount").isNull(), STRUCTURAL, _say("amount '", _shown(c("amount")), "' is not a valid number")),
+        Check(10, c("p_amount") <= 0, STRUCTURAL,
               _say("amount must be greater than zero (was ", text.strip(c("amount")), ")")),
-        Check(10, F.coalesce(F.length(text.strip(c("currency"))) != 3, F.lit(True)), STRUCTURAL,
+        Check(10, F.coalesce(F.length("p_currency") != 3, F.lit(True)), STRUCTURAL,
               _say("currency must be a 3-letter ISO-4217 code (was '", _shown(c("currency")), "')")),
-        Check(10, ~text.is_blank(c("counterparty_country")) & (F.length(text.strip(c("counterparty_country"))) != 2),
-              STRUCTURAL, _say("counterpartyCountry must be a 2-letter ISO code (was '", c("counterparty_country"), "')")),
+        Check(10, F.length("p_country") != 2, STRUCTURAL,
+              _say("counterpartyCountry must be a 2-letter ISO code (was '", c("counterparty_country"), "')")),
         Check(20, c("owner_id").isNull(), REFERENTIAL, _say("accountId '", c("account_id"), "' does not exist")),
-        Check(20, stated != c("owner_id"), REFERENTIAL,
+        Check(20, c("p_customer") != c("owner_id"), REFERENTIAL,
               _say("customerId '", c("customer_id"), "' does not own account '", c("account_id"), "' (owner is '",
                    c("owner_id"), "')")),
         Check(30, c("fx_rate").isNull(), BUSINESS,
-              _say("unknown currency '", F.upper(text.strip(c("currency"))), "' — no rate configured in fx_rates, "
+              _say("unknown currency '", c("p_currency"), "' — no rate configured in fx_rates, "
                    "so the amount cannot be normalised for threshold comparison")),
         Check(30, future, BUSINESS, _say("txnTimestamp '", c("txn_timestamp"), "' is in the future")),
     ]
 
 
+def prepared(raw: DataFrame) -> DataFrame:
+    """Each field stripped and parsed once, under `p_` names.
+
+    The checks then compare plain columns. Written out inside every check, the
+    same parsing makes one method too large for the JVM to compile.
+    """
+    c = F.col
+    rows = raw.withColumns({
+        "p_id": text.text_or(c("transaction_id")), "p_account": text.text_or(c("account_id")),
+        "p_customer": text.text_or(c("customer_id")), "p_time": text.strip(c("txn_timestamp")),
+        "p_way": text.parse_direction(c("direction")), "p_amount": text.parse_decimal(c("amount"), "decimal(38,18)"),
+        "p_currency": F.upper(text.text_or(c("currency"))), "p_country": F.upper(text.text_or(c("counterparty_country")))})
+    rows = rows.withColumn("p_plain", text.without_marks(c("p_time")))
+    rows = rows.withColumn("p_iso", text.iso_text_of(c("p_time"), c("p_plain")))
+    return rows.withColumn("p_ts", text.iso_timestamp(c("p_iso"))).drop("p_time", "p_plain", "p_iso")
+
+
 def request_checks() -> list[Check]:
     """Stricter limits for JSON requests; a violating row is rejected by itself."""
     c = F.col
@@ -78,7 +93,7 @@ def request_checks() -> list[Check]:
         Check(0, F.length("transaction_id") > 40, STRUCTURAL, F.lit("size must be between 0 and 40")),
         Check(0, F.length("account_id") > 32, STRUCTURAL, F.lit("size must be between 0 and 32")),
         Check(0, ~c("direction").rlike("(?i)^(CREDIT|DEBIT)$"), STRUCTURAL, F.lit("direction must be CREDIT or DEBIT")),
-        Check(0, c("amount_number") < F.lit("0.01").cast("decimal(4,2)"), STRUCTURAL, F.lit("amount must be greater than zero")),
+        Check(0, c("p_amount") < F.lit("0.01").cast("decimal(4,2)"), STRUCTURAL, F.lit("amount must be greater than zero")),
         Check(0, ~c("currency").rlike("^[A-Za-z]{3}$"), STRUCTURAL, F.lit("currency must be a 3-letter ISO-4217 code")),
         Check(0, ~c("counterparty_country").rlike("^([A-Za-z]{2})?$"), STRUCTURAL,
               F.lit("counterpartyCountry must be a 2-letter ISO code")),
@@ -126,15 +141,9 @@ def check_rows(raw: DataFrame, accounts: DataFrame, fx: DataFrame, checks: list[
     """Every check that looks at one row; adds `failed` and the parsed fields."""
     owners = accounts.select(text.strip(F.col("account_id")).alias("_account"), F.col("customer_id").alias("owner_id"))
     rates = active_fx(fx)
-    rows = raw.withColumns({
-        "_iso": text.iso_text(F.col("txn_timestamp")),
-        "amount_number": text.parse_decimal(F.col("amount"), "decimal(38,18)"),
-        "_to_account": text.strip(F.col("account_id")), "_to_currency": F.upper(text.strip(F.col("currency")))})
-    rows = rows.withColumn("parsed_ts", text.iso_timestamp(F.col("_iso")))
-    rows = rows.join(owners, F.col("_to_account") == F.col("_account"), "left")
-    rows = rows.join(F.broadcast(rates), F.col("_to_currency") == F.col("fx_currency"), "left")
-    return rows.withColumn("failed", first_failure(checks)).drop(
-        "_iso", "_to_account", "_to_currency", "_account", "fx_currency")
+    rows = prepared(raw).join(owners, F.col("p_account") == F.col("_account"), "left")
+    rows = rows.join(F.broadcast(rates), F.col("p_currency") == F.col("fx_currency"), "left")
+    return rows.withColumn("failed", first_failure(checks)).drop("_account", "fx_currency")
 
 
 def first_rows(rows: DataFrame, key: Column) -> DataFrame:
@@ -156,7 +165,7 @@ def flag_repeats(checked: DataFrame, checks: list[Check]) -> DataFrame:
     shadows a later good one. The list of repeated ids is computed first; the rows
     themselves are shuffled only if that list is too large to broadcast.
     """
-    key = text.strip(F.col("transaction_id"))
+    key = F.col("p_id")
     repeats = checked_side(first_rows(checked.where("failed is null"), key))
     joined = checked.join(repeats, key == F.col("_key"), "left")
     late = F.col("failed").isNull() & (F.col("row_number") > F.col("_first"))
@@ -165,15 +174,15 @@ def flag_repeats(checked: DataFrame, checks: list[Check]) -> DataFrame:
 
 def accepted(checked: DataFrame) -> DataFrame:
     """Typed ledger rows: owner from the account, amounts in the base currency."""
-    amount = money.to_money(F.col("amount_number"))
+    amount = money.to_money(F.col("p_amount"))
     typed = {
-        "transaction_id": text.strip(F.col("transaction_id")),
-        "account_id": text.strip(F.col("account_id")),
+        "transaction_id": F.col("p_id"),
+        "account_id": F.col("p_account"),
         "customer_id": F.col("owner_id"),
-        "txn_timestamp": F.col("parsed_ts"),
-        "direction": text.parse_direction(F.col("direction")),
+        "txn_timestamp": F.col("p_ts"),
+        "direction": F.col("p_way"),
         "amount": amount,
-        "currency": F.upper(text.strip(F.col("currency"))),
+        "currency": F.col("p_currency"),
         "amount_base": money.to_base(amount, F.col("fx_rate")),
         "fx_rate_applied": F.col("fx_rate"),
         "counterparty_country": F.upper(text.strip(F.col("counterparty_country"))),

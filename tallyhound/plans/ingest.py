@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.functions import text
 from tallyhound.operators import validate
+from tallyhound.operators.skew import spread
 from tallyhound.sources import files
 
 
@@ -24,7 +25,7 @@ def ingest(raw: DataFrame, accounts: DataFrame, fx: DataFrame, as_of: datetime,
            extra: list[validate.Check] | None = None) -> Ingested:
     """Validate raw transactions and split them into ledger rows and rejects."""
     checks = validate.chain(as_of, strict, extra)
-    checked = validate.flag_repeats(validate.check_rows(raw, accounts, fx, checks), checks)
+    checked = validate.flag_repeats(validate.check_rows(spread(raw), accounts, fx, checks), checks)
     return Ingested(validate.accepted(checked), validate.rejected(checked, checks), checked)
 
 

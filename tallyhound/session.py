@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 CALL_SITES = ("spark.python.sql.dataFrameDebugging.enabled", "false")
 
 
+# The JVM does not compile methods above 8000 bytes of bytecode. A stage that would
+# generate a larger one runs faster as separate operators.
+METHOD_SIZE = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def build_session(app: str = "tallyhound", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings every job here relies on.
 
@@ -25,6 +30,7 @@ def build_session(app: str = "tallyhound", master: str | None = None, **conf: st
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config(*CALL_SITES)
+        .config(*METHOD_SIZE)
     )
     if master:
         builder = builder.master(master)
