@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import logging
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.functions.params import RuleSetting
@@ -31,24 +32,28 @@ def run_detection(contexts: rules.RuleContext | dict[str, rules.RuleContext], se
     the findings of the others are kept. `contexts` may differ by rule scope."""
     if isinstance(contexts, rules.RuleContext):
         contexts = {scope: contexts for scope in rules.SCOPES}
-    ctx = contexts[rules.TRANSACTION]
     began = time.monotonic()
-    failed, hits = [], 0
-    spark = ctx.ledger.sparkSession
-    for r in rules.active_rules(settings):
+
+    def run_rule(r: rules.Rule) -> int | None:
         try:
             found = r.find(contexts[r.scope], settings[r.code])
+            seen = Observation()
             stamped = found.hits.withColumn("detected_at", F.lit(detected_at).cast("timestamp_ntz"))
-            folder = f"{path}/hits/run={r.code}"
             # Evidence first: hits appear only once everything they cite is in place.
             write_batch(found.evidence, f"{path}/evidence/run={r.code}", batch_id)
-            write_batch(stamped, folder, batch_id)
-            hits += spark.read.parquet(f"{folder}/batch_id={batch_id}").count()
+            write_batch(stamped.observe(seen, F.count(F.lit(1)).alias("hits")), f"{path}/hits/run={r.code}", batch_id)
+            return seen.get["hits"]
         except Exception:
             log.exception("rule %s failed and is skipped for batch %s", r.code, batch_id)
-            failed.append(r.code)
-    evaluated = ctx.current.count()
-    return RunResult(evaluated, hits, failed, int((time.monotonic() - began) * 1000))
+            return None
+
+    active = rules.active_rules(settings)
+    # The rules' jobs share the cluster, so one rule's last tasks do not leave it idle.
+    with ThreadPoolExecutor(max_workers=max(1, len(active))) as pool:
+        evaluated = pool.submit(contexts[rules.TRANSACTION].current.count)
+        counts = list(pool.map(run_rule, active))
+    failed = [r.code for r, n in zip(active, counts) if n is None]
+    return RunResult(evaluated.result(), sum(n or 0 for n in counts), failed, int((time.monotonic() - began) * 1000))
 
 
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
