@@ -68,7 +68,9 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf: str) -> DataFrame:
-    return _written(spark, sf, "evidence", lambda: all_findings(spark, sf).evidence)
+    def build() -> DataFrame:
+        return rules.expand_evidence(all_findings(spark, sf).evidence, hits(spark, sf), sd.ledger(spark, sf), settings(spark))
+    return _written(spark, sf, "evidence", build)
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,7 +114,7 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    return cs.members(case_requests(spark, sf), cases(spark, sf))
+    return _written(spark, sf, "members", lambda: cs.members(case_requests(spark, sf), cases(spark, sf)))
 
 
 def case_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.functions import scoring, text
 from tallyhound.functions.params import RuleSetting
+from tallyhound.operators.rules import RANGED
 
 
 def rule_weights(settings: dict[str, RuleSetting]) -> Column:
@@ -52,14 +53,17 @@ def derive_alerts(hits: DataFrame, customers: DataFrame, settings: dict[str, Rul
     merged = hits.groupBy("dedup_key").agg(
         F.count(F.lit(1)).alias("trigger_count"),
         F.max("evidence_amount_base").alias("evidence_amount_base"),
-        F.sum("evidence_count").alias("evidence_count"),
+        F.sum("evidence_count").alias("evidence_count"), F.max("evidence_count").alias("_largest"),
         F.min_by(F.struct("rule_code", "typology", "customer_id", "account_id", "explanation"), order).alias("first_hit"),
         F.max_by(F.struct("jurisdiction_uplift", "magnitude_ratio"), order).alias("last_hit"),
         F.min(at).alias("first_detected_at"), F.max(at).alias("last_detected_at"))
     if evidence is not None:
         cited = evidence.select("dedup_key", "transaction_id").distinct().groupBy("dedup_key").agg(
             F.count(F.lit(1)).alias("evidence_count"))
-        merged = merged.drop("evidence_count").join(cited, "dedup_key", "left").fillna(0, ["evidence_count"])
+        # A time window's evidence only grows from run to run, so its last count holds all of it.
+        ranged = F.col("first_hit.rule_code").isin(RANGED)
+        merged = merged.drop("evidence_count").join(cited, "dedup_key", "left").withColumn(
+            "evidence_count", F.when(ranged, F.col("_largest")).otherwise(F.coalesce("evidence_count", F.lit(0))))
     flat = merged.select("*", "first_hit.*", "last_hit.*").drop("first_hit", "last_hit")
     scored = score_hits(flat, customers, settings, F.col("trigger_count") - 1)
     return scored.select(

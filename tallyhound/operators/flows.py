@@ -71,12 +71,41 @@ def _read_off(totals: DataFrame) -> DataFrame:
         .where("outflow_count > 0"))
 
 
+def windows_covering(rows: DataFrame, windows: DataFrame, hot_limit: int | None = None) -> DataFrame:
+    """For each row (account_id, transaction_id, txn_timestamp), how many windows
+    (account_id, first_ts, last_ts, is_new) on its account cover it: `covered`, `covered_new`.
+
+    Windows opened so far less windows closed so far: a running count, no pairs.
+    """
+    one = F.lit(1).cast("long")
+
+    def mark(df: DataFrame, at: str, kind: int, step: int, txn: Column, new: Column) -> DataFrame:
+        return df.select("account_id", F.col(at).alias("at"), F.lit(kind).alias("kind"), txn.alias("transaction_id"),
+                         (one * step).alias("step"), (new * step).alias("step_new"))
+
+    blank, fresh = F.lit(""), F.col("is_new").cast("long")
+    marks = (mark(windows, "first_ts", _OPEN, 1, blank, fresh)
+             .unionByName(mark(windows, "last_ts", _CLOSE, -1, blank, fresh))
+             .unionByName(mark(rows, "txn_timestamp", _DEBIT, 0, F.col("transaction_id"), one)))
+    hot = skew.hot_keys(marks, ["account_id"], hot_limit)
+    plain, heavy = skew.split_hot(marks, hot, ["account_id"])
+    running = Window.partitionBy("account_id").orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, 0)
+    out = plain.select("transaction_id", "kind", F.sum("step").over(running).alias("covered"),
+                       F.sum("step_new").over(running).alias("covered_new"))
+    if heavy is not None:
+        split = skew.running_sum(skew.cut_into_pieces(heavy, ["account_id"], _ORDER), ["account_id"], _ORDER,
+                                 {"covered": F.col("step"), "covered_new": F.col("step_new")})
+        out = out.unionByName(split.select("transaction_id", "kind", "covered", "covered_new"))
+    return out.where(F.col("kind") == _DEBIT).drop("kind")
+
+
 def outflows_of(deposits: DataFrame, ledger: DataFrame, is_outflow: Column, hours: int) -> DataFrame:
     """The outflow rows behind each given deposit (dedup_key, account_id, anchor time).
 
     One row per (deposit, outflow): this is the evidence list itself, so its size
-    is the size of the answer. The time bucket in the join key bounds the rows
-    compared, and the adaptive skew join splits a bucket that is still large.
+    is the size of the answer. Ask for it on the findings to be shown. The time
+    bucket in the join key bounds the rows compared, and the adaptive skew join
+    splits a bucket that is still large.
     """
     span = hours * 3600
     def bucket(ts):

@@ -241,9 +241,25 @@ def rapid_movement(ctx: RuleContext, s: RuleSetting) -> Findings:
         evidence_amount_base=F.col("outflow_total"), evidence_count=F.col("outflow_count") + 1,
         magnitude_ratio=money.divide_half_up(F.col("ratio"), needed_col, 4, scale=6),
         first_ts=t, last_ts=t + clusters._hours(hours), anchor_txn_id=F.col("transaction_id"))
-    outflows = flows.outflows_of(hits, ctx.ledger, debit, hours)
-    evidence = _single_evidence(hits, s.code).unionByName(evidence_rows(outflows, s.code, position=F.lit(1)))
-    return Findings(hits, evidence)
+    return Findings(hits, _single_evidence(hits, s.code))
+
+
+# Rules whose evidence is an anchor and a time window. Only the anchor is logged: one
+# debit may count for any number of deposits, so the full lists could grow with the
+# square of an account's rows.
+RANGED = ["RAPID_MOVEMENT"]
+
+
+def expand_evidence(evidence: DataFrame, hits: DataFrame, ledger: DataFrame, settings: dict[str, RuleSetting]) -> DataFrame:
+    """Evidence with the debits behind each rapid-movement hit written out.
+
+    Pass the hits to be shown or reported; the counts and sums of all others are
+    on the hits already."""
+    code = RANGED[0]
+    wanted = hits.where(F.col("rule_code") == code).select("dedup_key", "account_id", "first_ts").distinct()
+    debits = flows.outflows_of(wanted, ledger, F.col("direction") == "DEBIT", settings[code].params["windowHours"])
+    return evidence.select(*[part.split(" ", 1)[0] for part in EVIDENCE_DDL.split(", ")]).unionByName(
+        evidence_rows(debits, code, position=F.lit(1)))
 
 
 def daily_volume(ledger: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyhound import refs
 from tallyhound.functions.params import load_settings
-from tallyhound.operators import rules
+from tallyhound.operators import flows, rules
 from tallyhound.plans import detection, store
 from tallyhound.plans.ingest import ingest, summarise
 from tallyhound.schemas import LEDGER_COLUMNS
@@ -86,13 +86,18 @@ class StreamJob:
 
 
 def event_answers(fresh: DataFrame, hits: DataFrame, evidence: DataFrame, earlier: DataFrame, latency_ms: int) -> DataFrame:
-    """Per event: hits that cite it, and how many of those opened a new alert."""
-    new = hits.select("dedup_key").distinct().join(
-        earlier.select("dedup_key").distinct(), "dedup_key", "left_anti").withColumn("_new", F.lit(1))
-    cited = evidence.select("transaction_id", "rule_code", "dedup_key").distinct().join(new, "dedup_key", "left")
-    counts = cited.groupBy("transaction_id").agg(
-        F.count(F.lit(1)).alias("rules_triggered"), F.count("_new").alias("alerts_created"))
-    return fresh.select("transaction_id").join(counts, "transaction_id", "left").select(
+    """Per event: hits of this batch that cite it, and how many of those opened a new alert."""
+    known = earlier.select("dedup_key").distinct().withColumn("_known", F.lit(True))
+    marked = hits.join(known, "dedup_key", "left").withColumn("is_new", F.col("_known").isNull()).drop("_known")
+    listed = (
+        evidence.select("transaction_id", "dedup_key").distinct()
+        .join(marked.select("dedup_key", "is_new").distinct(), "dedup_key")
+        .groupBy("transaction_id").agg(F.count(F.lit(1)).alias("covered"), F.count_if("is_new").alias("covered_new")))
+    windows = marked.where(F.col("rule_code").isin(rules.RANGED)).select("account_id", "first_ts", "last_ts", "is_new")
+    debits = fresh.where("direction = 'DEBIT'").select("account_id", "transaction_id", "txn_timestamp")
+    cited = listed.unionByName(flows.windows_covering(debits, windows)).groupBy("transaction_id").agg(
+        F.sum("covered").alias("rules_triggered"), F.sum("covered_new").alias("alerts_created"))
+    return fresh.select("transaction_id").join(cited, "transaction_id", "left").select(
         "transaction_id", F.lit(True).alias("accepted"), F.coalesce("rules_triggered", F.lit(0)).alias("rules_triggered"),
         F.coalesce("alerts_created", F.lit(0)).alias("alerts_created"), F.lit(latency_ms).cast("long").alias("detection_ms"))
 

@@ -74,7 +74,9 @@ def test_rapid_window_floor_and_order(spark):
     assert len(hits(spark, "RAPID_MOVEMENT", [txn("DEP", 100000)])) == 0
     found = find(spark, "RAPID_MOVEMENT", outflow(90000, parts=3))
     assert found.hits.count() == 1
-    assert [r["transaction_id"] for r in found.evidence.orderBy("position", "txn_timestamp").collect()] == ["DEP", "OUT0", "OUT1", "OUT2"]
+    full = rules.expand_evidence(found.evidence, found.hits, ledger(spark, outflow(90000, parts=3)), settings(spark))
+    assert [r["transaction_id"] for r in full.orderBy("position", "txn_timestamp").collect()] == ["DEP", "OUT0", "OUT1", "OUT2"]
+    assert found.evidence.count() == 1 and found.hits.first()["evidence_count"] == 4
 
 
 # --- listed parties --------------------------------------------------------
@@ -191,6 +193,17 @@ def test_outflows_match_brute_force(spark, seed, hours):
         assert sorted((r["transaction_id"], r["outflow_count"], r["outflow_total"]) for r in found.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("limit", [None, 10])
+def test_windows_covering_matches_brute_force(spark, limit):
+    rows = random_rows(9, 120, grain=3)
+    spans = [(r["account_id"], r["txn_timestamp"], r["txn_timestamp"] + timedelta(hours=9), i % 2 == 0) for i, r in enumerate(random_rows(8, 40, grain=3))]
+    want = sorted((r["transaction_id"], sum(a == r["account_id"] and lo <= r["txn_timestamp"] <= hi for a, lo, hi, _ in spans),
+                   sum(a == r["account_id"] and lo <= r["txn_timestamp"] <= hi and new for a, lo, hi, new in spans)) for r in rows)
+    windows = spark.createDataFrame(spans, "account_id string, first_ts timestamp_ntz, last_ts timestamp_ntz, is_new boolean")
+    got = flows.windows_covering(ledger(spark, rows).select("account_id", "transaction_id", "txn_timestamp"), windows, limit)
+    assert sorted(map(tuple, got.collect())) == want
+
+
 # --- engine ----------------------------------------------------------------
 
 def test_active_rules_and_lookback(spark):
