@@ -359,8 +359,9 @@ def det_context(spark: SparkSession, sf: str) -> DataFrame:
     l = sd.ledger(spark, sf)
     batch = l.where("txn_timestamp >= '2024-01-15' and txn_timestamp < '2024-01-16' and amount_base >= 20000")
     hours = F.make_dt_interval(hours=F.lit(rules.max_lookback_hours(sc.settings(spark))))
-    span = batch.agg((F.min("txn_timestamp") - hours).alias("_from"), (F.max("txn_timestamp") + hours).alias("_to"))
-    near = l.join(F.broadcast(span)).where("txn_timestamp between _from and _to")  # span is one row
+    first = batch.agg(F.min("txn_timestamp") - hours).scalar()
+    last = batch.agg(F.max("txn_timestamp") + hours).scalar()
+    near = l.where(F.col("txn_timestamp").between(first, last))
     return near.join(batch.select("account_id").distinct(), "account_id", "left_semi").select(
         "account_id", "transaction_id", "txn_timestamp", "amount_base")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +31,13 @@ def count_by_rule(alerts: DataFrame) -> DataFrame:
 
 def totals(**tables: DataFrame) -> DataFrame:
     """One row with the size of each table."""
-    parts = [df.agg(F.count(F.lit(1)).alias(name)) for name, df in tables.items()]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part)  # one row each
-    return out
+    return _side_by_side([df.agg(F.count(F.lit(1)).alias(name)) for name, df in tables.items()])
+
+
+def _side_by_side(parts: list[DataFrame]) -> DataFrame:
+    """One-row results with different columns as one row."""
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
 
 
 def heatmap(alerts: DataFrame) -> DataFrame:
@@ -118,7 +122,7 @@ def productivity(alerts: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "OPEN").alias("open_alerts"),
         percentage(F.count_if(F.col("disposition") == "FALSE_POSITIVE"), F.count("disposition")).alias("false_positive_rate_pct"),
         F.count_if(F.col("disposition") == "ESCALATED_TO_SAR").alias("sar_count"))
-    return counts.join(disposition_hours(records))  # one row each
+    return _side_by_side([counts, disposition_hours(records)])
 
 
 # --- customers -------------------------------------------------------------

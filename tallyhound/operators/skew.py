@@ -17,6 +17,8 @@ from tallyhound.session import cut_lineage
 HOT_ROWS = 100_000
 # Inputs the planner sizes below this are never split.
 SMALL_INPUT_BYTES = 64 * 1024 * 1024
+# A side with at most this many narrow rows may be sent to every executor.
+BROADCAST_ROWS = 500_000
 
 
 def planned_bytes(df: DataFrame) -> int | None:
@@ -39,6 +41,20 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def checked_side(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Compute a join side, count it, and broadcast it only when it is small.
+
+    Beyond the limit it is joined by shuffle, where adaptive execution splits hot
+    keys. Where the whole input is small, the planner's own choice is good enough.
+    """
+    limit = BROADCAST_ROWS if limit is None else limit
+    size = planned_bytes(df)
+    if size is not None and size < SMALL_INPUT_BYTES:
+        return df
+    stored = cut_lineage(df)
+    return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
+
+
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
     """Keys with more than `limit` rows, or None when there are none.
 
@@ -83,7 +99,7 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[s
     carried = sums.select(
         *keys, "piece", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_c_{n}") for n in values])
     out = df.withColumns({f"_l_{n}": F.sum(v).over(local) for n, v in values.items()})
-    out = out.join(F.broadcast(carried), [*keys, "piece"])
+    out = out.join(checked_side(carried), [*keys, "piece"])
     out = out.withColumns({n: F.coalesce(F.col(f"_l_{n}"), F.lit(0)) + F.col(f"_c_{n}") for n in values})
     return out.drop(*[f"_l_{n}" for n in values], *[f"_c_{n}" for n in values])
 
@@ -100,9 +116,9 @@ def running_last(df: DataFrame, keys: list[str], order: list[str], value: Column
     ends = (
         df.withColumn("_v", value).where("_v is not null")
         .groupBy(*keys, "piece").agg(pick("_v", F.struct(*order)).alias("_end")))
-    all_pieces = df.select(*keys, "piece").distinct().join(F.broadcast(ends), [*keys, "piece"], "left")
+    all_pieces = df.select(*keys, "piece").distinct().join(ends, [*keys, "piece"], "left")
     carried = all_pieces.select(
         *keys, "piece", F.last("_end", ignorenulls=True).over(before).alias("_before"))
     out = df.withColumn("_here", F.last(value, ignorenulls=True).over(local))
-    out = out.join(F.broadcast(carried), [*keys, "piece"])
+    out = out.join(checked_side(carried), [*keys, "piece"])
     return out.withColumn(name, F.coalesce("_here", "_before")).drop("_here", "_before")

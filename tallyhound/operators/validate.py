@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.functions import money, text
-from tallyhound.operators.joins import checked_side
+from tallyhound.operators.skew import checked_side
 from tallyhound.refs import active_fx
 from tallyhound.schemas import LEDGER_COLUMNS
 

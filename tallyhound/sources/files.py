@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyhound.functions import text
+from tallyhound.operators.skew import checked_side
 from tallyhound.schemas import ACCOUNT_COLUMNS, CUSTOMER_COLUMNS, RAW_TRANSACTION_COLUMNS
 
 # JSON request field to column.
@@ -47,7 +48,7 @@ def number_rows(rows: DataFrame) -> DataFrame:
     blocks = placed.groupBy("_f", "_b").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select("_f", "_b", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    return placed.join(F.broadcast(offsets), ["_f", "_b"]).select(
+    return placed.join(checked_side(offsets), ["_f", "_b"]).select(
         (F.col("_offset") + F.col("_m") - F.col("_first") + 1).alias("row_number"), *[F.col(f"`{n}`") for n in names])
 
 
