@@ -30,7 +30,7 @@ def planned_bytes(df: DataFrame) -> int | None:
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except AttributeError:
+    except (AttributeError, ValueError):  # no classic plan, or a figure too long to read
         return None
 
 
