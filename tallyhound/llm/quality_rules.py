@@ -10,7 +10,7 @@ host of its own; repeated rows count as often as they occur; an empty table give
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.llm.common import BLANKS, stored
@@ -18,11 +18,11 @@ from tallyhound.llm.common import BLANKS, stored
 SYMBOLS = "#*$%&|<>"
 BLANK_CHARS = " \t\n\x0b\x0c\r"
 # A document fails these when ...
-RULES: dict[str, Column] = {
-    "short": F.expr("n_words < 50"),
-    "repeats": F.expr("100 * n_repeat_words > 50 * n_words"),
-    "symbols": F.expr("10 * n_symbols > n_words"),
-    "lines": F.expr("100 * n_dup_lines > 30 * n_lines"),
+RULES = {
+    "short": "n_words < 50",
+    "repeats": "100 * n_repeat_words > 50 * n_words",
+    "symbols": "10 * n_symbols > n_words",
+    "lines": "100 * n_dup_lines > 30 * n_lines",
 }
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 # A host goes when the lower end of its shrunk rate (this many deviations down) is above the limit.
@@ -72,7 +72,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 def host_rates(m: DataFrame) -> DataFrame:
     """One row per host and rule: documents, failures, shrunk rate, verdict."""
     failures = m.groupBy("host").agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(c.cast("long")).alias(r) for r, c in RULES.items()])
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.expr(c).cast("long")).alias(r) for r, c in RULES.items()])
     rates = failures.select("host", "n", F.explode(F.create_map(
         *[x for r in RULES for x in (F.lit(r), F.col(r))])).alias("rule", "failed"))
     share = F.col("failed") / F.col("n")
@@ -92,7 +92,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """Every row's measures, `base_failed`, `host_rejected` and `kept`."""
     m = stored(measured(docs, id_col, text_col, host_col), "host-rules")
     hosts = host_rates(m).groupBy(F.col("host").alias("h")).agg(F.bool_or("rejected").alias("host_rejected"))
-    base = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    base = F.expr(f"({RULES['short']}) OR ({RULES['repeats']})")
     return m.join(hosts, m["host"].eqNullSafe(hosts["h"]), "left").select(
         "doc_id", *MEASURES, base.alias("base_failed"), "host_rejected",
         (~base & ~F.coalesce(F.col("host_rejected"), F.lit(False))).alias("kept"))
