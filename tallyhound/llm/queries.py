@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import packing, quality_rules
-from tallyhound.llm.common import table
+from tallyhound.llm import packing, quality_model, quality_rules, toxicity
+from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -31,3 +31,19 @@ def op7_host_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_pattern_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op2_attention_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = quality_model.train(docs, table(spark, sf, "labels"))
+    return quality_model.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "passages")
+
+
+@query
+def op4_sentence_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")

@@ -8,8 +8,8 @@ ORACLE["op7_host_rules"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
 w AS (
-  SELECT rid, doc_id, host, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-         list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  SELECT rid, doc_id, host, text, [x FOR x IN string_split_regex(text, '[\x20\x09-\x0D]+') IF x <> ''] AS ws,
+         [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls
   FROM d),
 pos AS (SELECT rid, unnest(generate_series(1, len(ws) - 2)) AS i, ws FROM w WHERE len(ws) >= 3),
 tri AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM pos),
