@@ -32,6 +32,10 @@ REMEMBERED = 150_000
 GROUP_ROWS = 20_000
 # Blanks that the tokenizer does not count as white space, while str.split() does.
 ODD_BLANKS = ("\x1c", "\x1d", "\x1e", "\x1f")
+# Byte-level vocabularies write each byte as a printable letter: printable bytes as themselves, the
+# others, in order, as the letters from 256 on.
+PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in PRINTABLE)}
 PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long, order_key long"
 
 
@@ -46,12 +50,20 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def word_ids(self, part: str) -> bytes:
+        """Ids of lower-case Latin letters only, or of closing punctuation only. The tokenizer's
+        normaliser leaves these as they are and cuts them nowhere, so its merges apply at once."""
+        if not part.isascii():
+            part = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(part)])
+
     def remember(self, words: dict[str, bytes]) -> None:
         if len(self.known) < REMEMBERED:
             self.known.update(words)
@@ -75,8 +87,7 @@ class WordTokenizer:
                 plain.append(w)
         wanted = {p for pair in parts.values() for p in pair if p}
         have = {p: ids for p in wanted if (ids := self.known.get(p) or self.recent.get(p))}
-        missing = [p for p in wanted if p not in have]
-        new = dict(zip(missing, self.encode(missing))) if missing else {}
+        new = {p: self.word_ids(p) for p in wanted if p not in have}
         have.update(new)
         have[""] = b""
         if plain:
