@@ -26,8 +26,12 @@ from tallyhound.llm.common import reach_workers, stored, whole
 
 LIMIT = 2048
 END = b"\0\0\0\0"
-# Words a worker remembers, in each of its two stores.
-REMEMBERED = 150_000
+# Words a worker remembers, in each of its three stores.
+REMEMBERED = 300_000
+# Texts tokenised together.
+TOGETHER = 1_000
+# Punctuation that may close a word and is cut off it as one part.
+CLOSING = "!.,|#$%&*:;"
 # Rows of one numbering group.
 GROUP_ROWS = 20_000
 # Blanks that the tokenizer does not count as white space, while str.split() does.
@@ -53,49 +57,44 @@ class WordTokenizer:
         self.merge = self.tokenizer.model.tokenize
         self.known: dict[str, bytes] = {}
         self.recent: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word_ids(self, part: str) -> bytes:
+    def part_ids(self, part: str) -> bytes:
         """Ids of lower-case Latin letters only, or of closing punctuation only. The tokenizer's
         normaliser leaves these as they are and cuts them nowhere, so its merges apply at once."""
-        if not part.isascii():
-            part = part.encode().decode("latin-1").translate(BYTE_LETTERS)
-        return b"".join([t.id.to_bytes(4, "little") for t in self.merge(part)])
-
-    def remember(self, words: dict[str, bytes]) -> None:
-        if len(self.known) < REMEMBERED:
-            self.known.update(words)
-            return
-        if len(self.recent) > REMEMBERED:
-            self.recent.clear()
-        self.recent.update(words)
+        ids = self.parts.get(part)
+        if ids is None:
+            raw = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = self.parts[part] = np.array([t.id for t in self.merge(raw)], "<u4").tobytes()
+        return ids
 
     def look_up(self, words: set[str]) -> dict[str, bytes]:
         """Ids of these words, none of which is in `known`."""
-        found, parts, plain = {}, {}, []
+        found, plain, recent = {}, [], self.recent
         for w in words:
-            ids = self.recent.get(w)
-            if ids is not None:
-                found[w] = ids
-                continue
-            core = w.rstrip("!.,|#$%&*:;")
-            if core.isalpha() and max(core) < "Ā":
-                parts[w] = (core.lower(), w[len(core):])
-            else:
-                plain.append(w)
-        wanted = {p for pair in parts.values() for p in pair if p}
-        have = {p: ids for p in wanted if (ids := self.known.get(p) or self.recent.get(p))}
-        new = {p: self.word_ids(p) for p in wanted if p not in have}
-        have.update(new)
-        have[""] = b""
+            ids = recent.get(w)
+            if ids is None:
+                core = w.rstrip(CLOSING)
+                if not core.isalpha() or not (core.isascii() or max(core) < "\u0100"):
+                    plain.append(w)
+                    continue
+                ids = self.part_ids(core.lower())
+                if len(core) < len(w):
+                    ids += self.part_ids(w[len(core):])
+            found[w] = ids
         if plain:
-            new.update(zip(plain, self.encode(plain)))
-        for w, (core, tail) in parts.items():
-            found[w] = have[core] + have[tail]
-        found.update(new)
-        self.remember(found)
+            found.update(zip(plain, self.encode(plain)))
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        if len(self.known) < REMEMBERED:
+            self.known.update(found)
+        else:
+            if len(recent) > REMEMBERED:
+                recent.clear()
+            recent.update(found)
         return found
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -134,8 +133,8 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "d
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _worker_tokenizer(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(at, TOGETHER)
                 row, nth, start, length, crc, order = [], [], [], [], [], []
                 for r, ids in enumerate(tok(part.column(1).to_pylist())):
                     ids += END

@@ -103,19 +103,22 @@ DIGIT_WORDS = {
     for d, w in enumerate(words.split())} | {"oh": "0"}
 _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 ODD = re.compile("[^\x00-ſ]|[" + HIDDEN + "\xa0]")
-SPELLED = re.compile(rf"\b(?:(?:{_DIGIT})\b(?:[\x20-]+|\s*,\s*)){{2,}}(?:{_DIGIT})\b", re.I)
-DIGIT = re.compile(rf"\b(?:{_DIGIT})\b", re.I)
+_SPOKEN_DOT = "dot|punto|punkt|point"
+SPELLED = re.compile(rf"\b(?:(?:{_DIGIT})\b(?:[\x20-]+|\s*,\s*)(?:(?:{_SPOKEN_DOT})\x20+)?){{2,}}(?:{_DIGIT})\b", re.I)
+DIGIT = re.compile(rf"\b(?:{_DIGIT}|{_SPOKEN_DOT})\b", re.I)
 PLUS = re.compile(r"\bplus\s+(?=[0-9])", re.I)
 AT, DOT = r"(?:at|arroba|@)", r"(?:dot|punto|punkt|point|\.)"
 BOXED_AT = re.compile(rf"(?<=[A-Za-z0-9])\s*[\[({{<]\s*{AT}\s*[\])}}>]\s*(?=[A-Za-z0-9])", re.I)
 BOXED_DOT = re.compile(rf"(?<=[A-Za-z0-9])\s*[\[({{<]\s*{DOT}\s*[\])}}>]\s*(?=[A-Za-z0-9])", re.I)
-SPACED_DOT = re.compile(r"(?<=[A-Za-z0-9])\x20+(?:dot|punto|punkt|point)\x20+(?=[A-Za-z0-9])", re.I)
+SPACED_DOT = re.compile(rf"(?<=[A-Za-z0-9])\x20+(?:{_SPOKEN_DOT}|\.)\x20+(?=[A-Za-z0-9])", re.I)
 # A dot that was written out, until all rules are through.
 WRITTEN_DOT = ""
 _NAME = r"[A-Za-z0-9-]+"
 SPACED_AT = re.compile(
     rf"(?<=[A-Za-z0-9])\x20+{AT}\x20+(?={_NAME}(?:\.{_NAME})*{WRITTEN_DOT}{_NAME})"
     rf"|(?<=[A-Za-z0-9])\x20*@\x20*(?={_NAME}(?:[.{WRITTEN_DOT}]{_NAME})*[.{WRITTEN_DOT}][A-Za-z]{{2}})", re.I)
+# "name at host.com" counts where the name looks like an account: it has a digit or one of ._+-
+PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\x20at\x20(?={_NAME}(?:\.{_NAME})*\.(?:com|org|net|edu|gov|io|info|co|de|fr|es|uk)\b)", re.I)
 MARKS = re.compile(rf"[\[({{<]\s*(?:{AT}|{DOT})\s*[\])}}>]", re.I)
 
 
@@ -159,12 +162,21 @@ def sign(c: str) -> Callable[[re.Match], list[tuple[str, int, int]]]:
 
 
 def digits(m: re.Match) -> list[tuple[str, int, int]]:
-    return [(DIGIT_WORDS[w[0].lower()], *w.span()) for w in DIGIT.finditer(m.string, m.start(), m.end())]
+    return [(DIGIT_WORDS.get(w[0].lower(), "."), *w.span()) for w in DIGIT.finditer(m.string, m.start(), m.end())]
+
+
+def account_at(m: re.Match) -> list[tuple[str, int, int]]:
+    name = m.string[m.string.rfind(" ", 0, m.start()) + 1:m.start()]
+    if any(c in "0123456789._+-" for c in name[:-1]):
+        return [("@", m.start(), m.end())]
+    return [(m.string[i], i, i + 1) for i in range(m.start(), m.end())]
 
 
 def spells_digits(low: str) -> bool:
     """Whether at least three words of the lower-case text are digit words."""
-    return len([w for w in low.replace("-", " ").replace(",", " ").split() if w in DIGIT_WORDS]) > 2
+    for c in "-,()":
+        low = low.replace(c, " ")
+    return len([w for w in low.split() if w in DIGIT_WORDS]) > 2
 
 
 def normalise(text: str) -> Tape | None:
@@ -174,7 +186,8 @@ def normalise(text: str) -> Tape | None:
     odd = not text.isascii() and ODD.search(text) is not None
     # An odd character may hide any of the rest.
     spelled = odd or spells_digits(low) and SPELLED.search(text) is not None
-    marked = odd or any(s in low for s in (" @", "@ ", " dot ", " punto ", " punkt ", " point ")) or (
+    marked = odd or any(s in low for s in (" @", "@ ", " dot ", " punto ", " punkt ", " point ", " . ")) or (
+        " at " in low and PLAIN_AT.search(text) is not None) or (
         any(c in text for c in "([{<") and MARKS.search(text) is not None)
     if not (odd or spelled or marked):
         return None
@@ -183,7 +196,7 @@ def normalise(text: str) -> Tape | None:
         tape.rewrite(ODD, plain)
     for pattern, write in (
             (SPELLED, digits), (PLUS, sign("+")), (BOXED_DOT, sign(WRITTEN_DOT)), (SPACED_DOT, sign(WRITTEN_DOT)),
-            (BOXED_AT, sign("@")), (SPACED_AT, sign("@"))):
+            (BOXED_AT, sign("@")), (SPACED_AT, sign("@")), (PLAIN_AT, account_at)):
         tape.rewrite(pattern, write)
     tape.text = tape.text.replace(WRITTEN_DOT, ".")
     return tape

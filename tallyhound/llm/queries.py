@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import packing, quality_model, quality_rules, toxicity
+from tallyhound.llm import packing, pii, quality_model, quality_rules, toxicity
 from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,8 @@ def op4_sentence_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf, "labels"))
     return toxicity.score(docs, model).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending")
+
+
+@query
+def op6_disguised_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.scan(table(spark, sf, "documents")).drop("found")
