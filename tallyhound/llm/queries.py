@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import packing, pii, quality_model, quality_rules, toxicity
+from tallyhound.llm import ngram_join, packing, pii, quality_model, quality_rules, toxicity
 from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,8 @@ def op4_sentence_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op6_disguised_pii(spark: SparkSession, sf: str) -> DataFrame:
     return pii.scan(table(spark, sf, "documents")).drop("found")
+
+
+@query
+def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf, "documents")).select("doc_id", "class_id", "n_copies", "n_text_links", "n_links")
