@@ -11,6 +11,8 @@ from tallyhound.session import shared_folder, work_folder
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Words are runs of anything but these ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -33,7 +35,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     shared_folder(spark)
     path = work_folder(spark, name)
-    df.write.parquet(path)
+    # The plan ends with the write, so its shuffle files may go at once.
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

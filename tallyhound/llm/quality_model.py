@@ -21,15 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tallyhound.llm.common import learning_sample, reach_workers, stored, whole
+from tallyhound.llm.words import chunks
 
 # Labelled documents used to learn, at most, and passages a sampled document may send to the driver:
 # longer ones send evenly spread passages. Scoring reads all passages.
 SAMPLE_ROWS = 4_000
 SAMPLE_PASSAGES = 64
 PASSAGE_WORDS = 64
-# Bytes turned into features at a time.
-CHUNK_BYTES = 4_000_000
-
 # Byte classes, counted per passage.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".?", "comma": b",;:", "shout": b"!",
            "bar": b"|", "symbol": b"#$%&*<>=~^_\\/@+", "bracket": b"()[]{}\"'`-", "line": b"\n"}
@@ -105,16 +103,6 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.sqrt(out), count
 
 
-def chunks(texts: pa.Array) -> Iterator[pa.Array]:
-    """Slices of about CHUNK_BYTES, never splitting a text."""
-    size = np.asarray(pa.compute.binary_length(texts)).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-    group = np.cumsum(size) // CHUNK_BYTES
-    cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield texts.slice(a, b - a)
-
-
 @dataclass(frozen=True)
 class AttentionModel:
     mean: np.ndarray

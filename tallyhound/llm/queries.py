@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import ngram_join, packing, pii, quality_model, quality_rules, toxicity
+from tallyhound.llm import ngram_join, packing, pii, quality_model, quality_rules, suffix_index, toxicity
 from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,10 @@ def op6_disguised_pii(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_ngram_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(table(spark, sf, "documents")).select("doc_id", "class_id", "n_copies", "n_text_links", "n_links")
+
+
+@query
+def op3_suffix_family(spark: SparkSession, sf: str) -> DataFrame:
+    cut = suffix_index.remove(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # Bytes of text worked on at a time.
 CHUNK_BYTES = 4_000_000
@@ -39,7 +40,7 @@ def chunks(texts: pa.Array) -> Iterator[pa.Array]:
     """Slices of about CHUNK_BYTES; a text is never split."""
     if not len(texts):
         return
-    size = np.asarray(pa.compute.binary_length(texts)).astype(np.int64)
+    size = np.asarray(pc.binary_length(texts)).astype(np.int64)
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // CHUNK_BYTES)) + 1).tolist(), len(texts)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
