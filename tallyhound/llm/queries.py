@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import ngram_join, packing, pii, quality_model, quality_rules, suffix_index, toxicity
+from tallyhound.llm import line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, toxicity
 from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,11 @@ def op3_suffix_family(spark: SparkSession, sf: str) -> DataFrame:
     cut = suffix_index.remove(table(spark, sf, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op5_line_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    r = line_align.remove(table(spark, sf, "documents"))
+    return r.select(
+        F.col("row.doc_id"), F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")).alias("n_lines"),
+        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.length("kept").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
