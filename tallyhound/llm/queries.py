@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, toxicity
+from tallyhound.llm import line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, template_decontam, toxicity
 from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op5_line_alignment(spark: SparkSession, sf: str) -> DataFrame:
     return r.select(
         F.col("row.doc_id"), F.size(F.split(F.coalesce("row.text", F.lit("")), "\n")).alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"), F.length("kept").alias("kept_chars"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op1_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = template_decontam.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "slots", "changed")
