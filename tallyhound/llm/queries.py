@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, template_decontam, toxicity
+from tallyhound.llm import license_scan, line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, template_decontam, toxicity
 from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,10 @@ def op5_line_alignment(spark: SparkSession, sf: str) -> DataFrame:
 def op1_template_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     found = template_decontam.find(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "slots", "changed")
+
+
+@query
+def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """`documents` has no paths: source/lang/id stands in, and source/id for every fifth id."""
+    path = F.concat_ws("/", "source", F.when(F.col("doc_id") % 5 != 0, F.col("lang")), F.col("doc_id").cast("string"))
+    return license_scan.scan(table(spark, sf, "documents").withColumn("path", path))
