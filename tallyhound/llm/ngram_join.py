@@ -43,10 +43,10 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
     threshold with at most `most` hashes."""
     best = (most, 1)
     for rows in range(1, most + 1):
-        miss = 1 - threshold ** rows
-        bands = int(np.ceil(np.log(1 - recall) / np.log(miss)))
-        if bands * rows <= most:
-            best = (bands, rows)
+        bands = np.ceil(np.log(1 - recall) / np.log1p(-threshold ** rows))
+        if bands * rows > most:
+            break
+        best = (int(bands), rows)
     return best
 
 

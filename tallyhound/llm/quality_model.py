@@ -147,7 +147,7 @@ def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, width: int = 16, gate:
     q = {"W": rng.normal(0, n ** -0.5, (n, width)), "c": np.zeros(width), "V": rng.normal(0, width ** -0.5, (width, gate)),
          "U": rng.normal(0, width ** -0.5, (width, gate)), "w": rng.normal(0, gate ** -0.5, gate), "o": np.zeros(width), "b": np.zeros(())}
     good = y.mean() if len(y) else 0.5
-    if not 0 < good < 1:
+    if not len(y) or not 0 < good < 1:
         good = float(np.clip(good, 1e-3, 1 - 1e-3))
         return AttentionModel(np.zeros(n), np.ones(n), q | {"b": np.array(np.log(good / (1 - good)))})
     q["b"] = np.array(np.log(good / (1 - good)))
