@@ -134,7 +134,9 @@ def repeats(docs: DataFrame, batches: int = BATCHES, match: int = MATCH, width:
     family = SuffixFamily()
     for b in range(batches):
         family.add(anchors.where(F.col("batch") == b))
-    again = family.repeated().select(F.col("key").alias("k"))
+    # Join sides that are aggregates are written first: adaptive execution splits a hot key only
+    # between two plain shuffles.
+    again = stored(family.repeated().select(F.col("key").alias("k")), "repeated-keys")
     matched = stored(anchors.drop("batch").join(again, F.col("key") == F.col("k"), "left_semi"), "matched")
 
     # Contexts that occur more than once settle all their anchors.
@@ -144,7 +146,8 @@ def repeats(docs: DataFrame, batches: int = BATCHES, match: int = MATCH, width:
         "d", F.expr(LO).alias("start"), (F.expr(HI) + match).alias("stop"))
 
     # Suffixes with several contexts, one of them single, need their strings compared.
-    open_keys = states.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select(F.col("key").alias("k"), "m")
+    open_keys = stored(states.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where(
+        "m > 1 AND least = 1").select(F.col("key").alias("k"), "m"), "open-keys")
     probe = stored(states.join(open_keys, F.col("key") == F.col("k")).select(
         "key", "m", (F.col("n") == 1).alias("loose"), F.col("rep.d").alias("pd"), F.col("rep.pos").alias("pos")), "probes")
     asked = probe.groupBy("pd").agg(F.collect_list(F.struct(

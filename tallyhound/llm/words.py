@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Bytes of text worked on at a time.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 SHINGLE = 5
 U = np.uint64
 BASE = U(0x9FB21C651E98DF25)
