@@ -1,7 +1,8 @@
 """Connected components of an edge table, by alternating large and small star steps.
 
-Every step is joins and minima on the edges; no node's neighbours are ever gathered, and adaptive
-execution splits the rows of a node with many edges. Edges are written after each round.
+Every step is joins and minima on the edges; no node's neighbours are ever gathered. Minima are
+written before they are joined, so both sides are plain shuffles and adaptive execution can split the rows
+of a node with many edges. Edges are written after each round.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = _checksum(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m")), "least")
         # Large star: greater neighbours move to the least node around.
-        large = both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = stored(both.where("b > a").join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large-star")
         # Small star: lesser neighbours and the node itself do.
-        least = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m")
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"), "least")
         small = (large.join(least, F.col("a") == F.col("n")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct())
         e = stored(small, "edges")

@@ -167,14 +167,16 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         F.min(F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id"), F.col("h"))).alias("rep"),
         F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands")), "texts")
     held = texts.select("c", F.explode("bands").alias("b"))
-    heads = held.groupBy("b").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("b").alias("hb"), "head")
+    # Aggregates are written before they are joined: adaptive execution splits a hot key only between
+    # two plain shuffles.
+    heads = stored(held.groupBy("b").agg(F.min("c").alias("head"), F.count(F.lit(1)).alias("k")).where("k > 1").select(F.col("b").alias("hb"), "head"), "band-heads")
     edges = held.join(heads, F.col("b") == F.col("hb")).where("c <> head").select(F.col("c").alias("a"), F.col("head").alias("b"))
     group = components(edges)
 
     # Verification blocks.
     member = stored(group.join(texts.drop("bands"), F.col("node") == F.col("c")).select("c", "root", "rep", "copies", "n"), "members")
-    size = member.groupBy("root").agg(F.greatest(
-        F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks")).select(F.col("root").alias("r"), "blocks")
+    size = stored(member.groupBy("root").agg(F.greatest(
+        F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_WORDS)).cast("int").alias("blocks")).select(F.col("root").alias("r"), "blocks"), "group-sizes")
     total = member.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     deals = max(1, int(total // (BLOCK_WORDS // 4)))
     x = F.expr("transform(sequence(0, blocks - 1), i -> struct(least(i, block) AS x, greatest(i, block) AS y))")
@@ -191,16 +193,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
         with_text.groupBy("deal", "x", "y").applyInPandas(
             lambda pdf: verified(pdf, threshold), "c1 long, c2 long, links long, weighted long, l1 long, l2 long, final boolean"), "verified")
     checked = checked.select(F.struct("c1", "c2").alias("c"), F.struct(F.col("l1").alias("c1"), F.col("l2").alias("c2")).alias("l"), "links", "weighted", "final")
-    linked = checked.groupBy("c").agg(F.sum("links").alias("links"), F.sum("weighted").alias("weighted"))
+    linked = checked.groupBy(F.col("c").alias("lc")).agg(F.sum("links").alias("links"), F.sum("weighted").alias("weighted"))
     # Groups of one block have their classes already; those of several are connected by their edges.
     spread = components(checked.where("NOT final").select(F.col("c").alias("a"), F.col("l").alias("b")))
     classes = checked.where("final").select(F.col("c").alias("node"), F.col("l").alias("root")).unionByName(spread)
-    named = texts.select("c", "rep", "copies").join(classes, F.col("c") == F.col("node"), "left").select(
-        "c", "rep", "copies", F.coalesce("root", "c").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("first")).select(F.col("root").alias("r"), "first")
-    named = named.join(least, F.col("root") == F.col("r")).join(linked.withColumnRenamed("c", "lc"), F.col("c") == F.col("lc"), "left").select(
-        F.col("c").alias("tc"), "first", "copies", F.coalesce("links", F.lit(0)).alias("n_text_links"),
-        (F.coalesce("weighted", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = stored(texts.select("c", "rep", "copies").join(classes, F.col("c") == F.col("node"), "left").join(linked, F.col("c") == F.col("lc"), "left").select(
+        "c", "rep", "copies", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("n_text_links"),
+        (F.coalesce("weighted", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named-texts")
+    least = stored(named.groupBy("root").agg(F.min("rep").alias("first")).select(F.col("root").alias("r"), "first"), "class-heads")
+    named = stored(named.join(least, F.col("root") == F.col("r")).select(F.col("c").alias("tc"), "first", "copies", "n_text_links", "n_links"), "classes")
     return sig.select("_id", "h", "c").join(named, F.col("c") == F.col("tc")).select(
         F.col("_id").alias("doc_id"), "h", F.col("first._id").alias("class_id"), F.col("first.h").alias("class_h"),
         F.col("copies").alias("n_copies"), "n_text_links", "n_links")
