@@ -171,8 +171,9 @@ def scan(files: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     parts = F.split("dir", "/")
     above = own.select("dir").where("dir IS NOT NULL").distinct().select("dir", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("up")))).alias("a"))
-    nearest = above.join(verdict, F.col("a.up") == F.col("vd")).groupBy("dir").agg(
-        F.max_by(F.struct("licence", "vd"), "a.depth").alias("n")).select(F.col("dir").alias("nd"), F.col("n.licence").alias("up_licence"), F.col("n.vd").alias("up"))
+    # Written first: adaptive execution splits a hot directory only between two plain shuffles.
+    nearest = stored(above.join(verdict, F.col("a.up") == F.col("vd")).groupBy("dir").agg(
+        F.max_by(F.struct("licence", "vd"), "a.depth").alias("n")).select(F.col("dir").alias("nd"), F.col("n.licence").alias("up_licence"), F.col("n.vd").alias("up")), "nearest-licences")
     return own.join(nearest, F.col("dir") == F.col("nd"), "left").select(
         F.col("_id").alias("doc_id"), "path", "own", "cosine", "is_licence_file",
         F.when(F.col("own").isNull(), F.col("up")).alias("inherited_from"), F.coalesce("own", "up_licence").alias("licence"))

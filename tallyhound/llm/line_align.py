@@ -95,14 +95,15 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
                             F.transform("ls", lambda s: (F.length(s) >= least_line) & s.rlike(r"[^\x20\x09-\x0D]")).alias("ok")), "lines")
     held = lines.select("_id", "d", F.explode(F.array_distinct(F.expr("transform(filter(arrays_zip(h, ok), x -> x.ok), x -> x.h)"))).alias("h")).distinct()
     # The distinct above is over (id, d, line): a row that repeats another counts once.
-    holders = held.groupBy("h").agg(F.min(F.struct("_id", "d")).alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select(
-        F.col("h").alias("fh"), F.col("first.d").alias("f"), "df")
-    pairs = held.join(holders, F.col("h") == F.col("fh")).where("d <> f").groupBy("d", "f").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("df").alias("rarest")).where((F.col("rarest") <= rare) | (F.col("shared") > 1)).select(F.col("d").alias("pd"), "f")
+    # Written first: adaptive execution splits a hot line only between two plain shuffles.
+    holders = stored(held.groupBy("h").agg(F.min(F.struct("_id", "d")).alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select(
+        F.col("h").alias("fh"), F.col("first.d").alias("f"), "df"), "first-holders")
+    pairs = stored(held.join(holders, F.col("h") == F.col("fh")).where("d <> f").groupBy("d", "f").agg(
+        F.count(F.lit(1)).alias("shared"), F.min("df").alias("rarest")).where((F.col("rarest") <= rare) | (F.col("shared") > 1)).select(F.col("d").alias("pd"), "f"), "pairs")
     one = lines.groupBy("d").agg(F.first("h").alias("h"), F.first("n").alias("n"))
     one = stored(one, "line-arrays")
-    both = (pairs.join(one, F.col("pd") == F.col("d")).select("d", "f", "h", "n")
-            .join(one.select(F.col("d").alias("fd"), F.col("h").alias("fhs")), F.col("f") == F.col("fd")).select("d", "h", "n", "fhs"))
+    later = stored(pairs.join(one, F.col("pd") == F.col("d")).select("d", "f", "h", "n"), "later-lines")
+    both = (later.join(one.select(F.col("d").alias("fd"), F.col("h").alias("fhs")), F.col("f") == F.col("fd")).select("d", "h", "n", "fhs"))
     reach_workers(docs.sparkSession)
 
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -91,7 +91,8 @@ def host_rates(m: DataFrame) -> DataFrame:
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Every row's measures, `base_failed`, `host_rejected` and `kept`."""
     m = stored(measured(docs, id_col, text_col, host_col), "host-rules")
-    hosts = host_rates(m).groupBy(F.col("host").alias("h")).agg(F.bool_or("rejected").alias("host_rejected"))
+    # Written first: adaptive execution splits a hot host only between two plain shuffles.
+    hosts = stored(host_rates(m).groupBy(F.col("host").alias("h")).agg(F.bool_or("rejected").alias("host_rejected")), "host-verdicts")
     base = F.expr(f"({RULES['short']}) OR ({RULES['repeats']})")
     return m.join(hosts, m["host"].eqNullSafe(hosts["h"]), "left").select(
         "doc_id", *MEASURES, base.alias("base_failed"), "host_rejected",
