@@ -21,7 +21,7 @@ from tallyhound.operators import rules  # noqa: E402
 from tallyhound.plans import detection, store  # noqa: E402
 from tallyhound.plans.ingest import ingest  # noqa: E402
 from tallyhound.session import build_session, work_folder  # noqa: E402
-from tallyhound.sources import sampledata as sd  # noqa: E402
+from checks import sampledata as sd  # noqa: E402
 
 # The rules, the chain from raw rows to alerts, and the reports on them.
 QUERIES = [

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from checks import scenario as sc
 from tallyhound import refs
 
@@ -370,7 +372,7 @@ ORACLE["det_evidence"] = f"""WITH RECURSIVE {HITS}, {EVIDENCE} SELECT rule_code,
 ORACLE["src_lookup_by_ids"] = f"""WITH RECURSIVE {HITS}, {EVIDENCE} SELECT transaction_id, customer_id, {dbl('amount_base')} AS amount_base FROM ledger
   WHERE transaction_id IN (SELECT transaction_id FROM evidence)"""
 ORACLE["det_daily_volume"] = f"""WITH {LEDGER}, {DAILY} SELECT customer_id, CAST(d AS VARCHAR) AS day, {dbl('total')} AS total_base, n AS txn_count FROM dv"""
-ORACLE["det_context"] = f"""WITH {LEDGER}, b AS (SELECT * FROM ledger WHERE txn_timestamp >= '2024-01-15' AND txn_timestamp < '2024-01-16' AND amount_base >= 20000)
+ORACLE["det_context"] = f"""WITH {LEDGER}, b AS (SELECT * FROM ledger WHERE currency = 'USD')
 SELECT account_id, transaction_id, {ts('txn_timestamp')} AS txn_timestamp, {dbl('amount_base')} AS amount_base FROM ledger
 WHERE account_id IN (SELECT account_id FROM b) AND txn_timestamp BETWEEN (SELECT min(txn_timestamp) FROM b) - INTERVAL 240 HOUR AND (SELECT max(txn_timestamp) FROM b) + INTERVAL 240 HOUR"""
 ORACLE["det_all_rules"] = f"""WITH RECURSIVE {HITS} SELECT rule_code, typology, count(*) AS hits, CAST(sum(evidence_count) AS BIGINT) AS evidence,
@@ -458,8 +460,10 @@ ORACLE["alr_detail"] = C + f""" SELECT alert_ref, coalesce(first_name || ' ' ||
 ORACLE["alr_detail_evidence"] = f"""{A}, {EVIDENCE} SELECT alert_ref, transaction_id, {ts('l.txn_timestamp')} AS txn_timestamp, direction, {dbl('amount')} AS amount, currency,
   {dbl('amount_base')} AS amount_base, channel, counterparty_name, counterparty_country
   FROM alerts JOIN (SELECT DISTINCT dedup_key, transaction_id FROM evidence) USING (dedup_key) JOIN ledger l USING (transaction_id)"""
-ORACLE["alr_customer_alerts"] = A + """ SELECT customer_id, arg_max(alert_ref, (risk_score, alert_ref)) AS alert_ref, arg_max(dedup_key, (risk_score, alert_ref)) AS dedup_key,
-  max(risk_score) AS risk_score FROM alerts GROUP BY customer_id"""
+ORACLE["alr_customer_alerts"] = A + " SELECT customer_id, alert_ref, dedup_key, risk_score FROM alerts JOIN customers USING (customer_id)"
+ORACLE["alr_lookups"] = C + """ SELECT 'ref' AS kind, alert_ref, customer_id, risk_score FROM alerts WHERE severity = 'CRITICAL'
+  UNION ALL SELECT 'key', alert_ref, customer_id, risk_score FROM alerts WHERE dedup_key IN (SELECT dedup_key FROM hits WHERE evidence_count = 1)
+  UNION ALL SELECT 'case', alert_ref, customer_id, risk_score FROM alerts WHERE alert_ref IN (SELECT alert_ref FROM members JOIN cases USING (case_ref) WHERE opened_by = 'analyst2')"""
 ORACLE["lim_timeline"] = f"""{A}, {EVIDENCE}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY txn_timestamp DESC, transaction_id) AS place FROM ledger) WHERE place <= 20),
 cited AS (SELECT DISTINCT e.transaction_id, a.customer_id, a.alert_ref, a.risk_score FROM evidence e JOIN alerts a USING (dedup_key))
 SELECT t.customer_id, place, t.transaction_id, {ts('txn_timestamp')} AS txn_timestamp, direction, {dbl('amount_base')} AS amount_base, alert_ref, risk_score
@@ -537,9 +541,6 @@ ORACLE["lif_alerts_with_status"] = CC + f""" SELECT alert_ref, CASE WHEN c.entit
 ORACLE["lif_open_cases"] = C + f" SELECT * REPLACE ({ts('opened_at')} AS opened_at) FROM cases"
 ORACLE["lif_refused_cases"] = C + """ SELECT case_key, alert_count, CASE WHEN unknown > 0 THEN 'unknown alert reference'
   ELSE 'All alerts in a case must belong to customer ' || customer_id END AS problem FROM rc WHERE unknown > 0 OR alien > 0"""
-ORACLE["lif_case_queue"] = CC + f""" SELECT case_ref, customer_id, title, status, priority, aggregate_risk_score, disposition, {ts('closed_at')} AS closed_at,
-  (SELECT count(*) FROM members m WHERE m.case_ref = c.case_ref) AS member_count FROM closed_cases c WHERE status = 'CLOSED' AND assigned_to = 'analyst1'
-  ORDER BY aggregate_risk_score DESC, case_ref LIMIT 200"""
 ORACLE["lif_case_detail"] = CC + f""" SELECT case_ref, CASE WHEN first_name IS NULL THEN 'Unknown' ELSE {mask_name("first_name || ' ' || last_name")} END AS customer_name_masked, status, disposition,
   disposition_reason, {ts('closed_at')} AS closed_at FROM closed_cases LEFT JOIN customers USING (customer_id)"""
 ORACLE["agg_by_status"] = CC + f""", {DISPOSED}, domain(kind, value) AS (VALUES {_values(
@@ -549,10 +550,20 @@ ORACLE["agg_by_status"] = CC + f""", {DISPOSED}, domain(kind, value) AS (VALUES
 seen AS (SELECT 'alert_status' AS kind, status AS value FROM disposed UNION ALL SELECT 'severity', severity FROM disposed UNION ALL SELECT 'case_status', status FROM closed_cases
   UNION ALL SELECT 'disposition', disposition FROM disposed)
 SELECT d.kind, d.value, count(s.value) AS n FROM domain d LEFT JOIN seen s ON s.kind = d.kind AND s.value = d.value GROUP BY ALL"""
-_ASSIGN = "a AS (SELECT 'CASE_' || user_id AS case_ref, event_id AS seq, 'analyst' || (event_id % 6) AS assignee FROM events WHERE event_type <> 'click')"
-ORACLE["lif_reassignments"] = f"""WITH {_ASSIGN} SELECT case_ref, seq, coalesce(lag(assignee) OVER (PARTITION BY case_ref ORDER BY seq), 'opener') AS from_state, assignee AS to_state,
-  'CASE_ASSIGNED' AS action, 'Reassigned' AS details FROM a"""
-ORACLE["lif_last_assignee"] = f"WITH {_ASSIGN} SELECT case_ref, arg_max(assignee, seq) AS assigned_to, count(*) AS assignments FROM a GROUP BY 1"
+_ASSIGN = "a AS (SELECT case_ref, event_id AS seq, 'analyst' || (event_id % 6) AS assignee FROM events JOIN cases ON customer_id = 'CUST_' || user_id)"
+ORACLE["lif_reassignments"] = f"""{C}, {_ASSIGN} SELECT case_ref, seq, coalesce(lag(assignee) OVER (PARTITION BY case_ref ORDER BY seq), opened_by) AS from_state, assignee AS to_state,
+  'CASE_ASSIGNED' AS action, 'Reassigned' AS details FROM a JOIN cases USING (case_ref)"""
+ORACLE["lif_case_queue"] = f"""{CC}, {_ASSIGN}, now AS (SELECT case_ref, arg_max(assignee, seq) AS who FROM a GROUP BY 1)
+  SELECT case_ref, customer_id, title, status, priority, aggregate_risk_score, disposition, {ts('closed_at')} AS closed_at,
+  (SELECT count(*) FROM members m WHERE m.case_ref = c.case_ref) AS member_count FROM closed_cases c LEFT JOIN now USING (case_ref)
+  WHERE status = 'CLOSED' AND coalesce(who, opened_by) = 'analyst1' ORDER BY aggregate_risk_score DESC, case_ref LIMIT 200"""
+ORACLE["lif_case_members"] = f"""{C} SELECT case_ref, alert_ref, {mask_id('account_id')} AS account_masked, rule_code, risk_score, severity, evidence_count
+  FROM members JOIN alerts USING (alert_ref)"""
+ORACLE["lif_case_trail"] = f"""{CR}, rows AS (SELECT entity AS entity_id, 'CASE_STATUS_CHANGED' AS action, actor, from_state, to_state, t AS occurred_at, seq AS event_seq
+    FROM ca WHERE outcome = 'APPLIED' UNION ALL SELECT case_ref, 'CASE_OPENED', opened_by, NULL, 'NEW', opened_at, 0 FROM cases),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY occurred_at DESC, event_seq DESC, action, to_state) AS place FROM rows)
+  SELECT entity_id, place, action, actor, from_state, to_state, {ts('occurred_at')} AS occurred_at, event_seq FROM placed WHERE place <= 100"""
+ORACLE["lif_last_assignee"] = f"{C}, {_ASSIGN} SELECT case_ref, arg_max(assignee, seq) AS assigned_to, count(*) AS assignments FROM a GROUP BY 1"
 ORACLE["lif_list_changes"] = """SELECT 'K' || (event_id % 200) AS country_code, arg_max(event_id % 41, event_id) AS risk_weight, arg_max(event_type <> 'error', event_id) AS active,
   count(*) AS changes FROM events GROUP BY 1"""
 _MOVED = """SELECT 'ALERT' AS entity_type, entity AS entity_id, 'ALERT_STATUS_CHANGED' AS action, actor, CASE WHEN senior THEN 'SENIOR_ANALYST' ELSE 'ANALYST' END AS actor_roles,
@@ -648,7 +659,32 @@ FROM header JOIN story USING (case_ref) JOIN lines USING (case_ref) JOIN sources
 
 ORACLE["str_stateless_rules"] = f"""WITH {LEDGER}, {CTR}, {LISTED} SELECT rule_code, dedup_key, {dbl('evidence_amount_base')} AS evidence_amount_base, jurisdiction_uplift
   FROM (SELECT * FROM h_ctr UNION ALL SELECT * FROM h_jur)"""
-ORACLE["str_continuous_job"] = f"WITH RECURSIVE {HITS} SELECT DISTINCT rule_code, dedup_key FROM hits"
+
+
+def _stream_sql() -> str:
+    """Each micro-batch's account patterns over the rows in its reach; the rest once."""
+    parts, log, cited = [], [], []
+    for k, (start, end) in enumerate(zip(sc.STREAM_CUTS, sc.STREAM_CUTS[1:])):
+        parts.append(f"""b{k} AS (SELECT * FROM ledger WHERE txn_timestamp >= '{start}' AND txn_timestamp < '{end}'),
+led{k} AS MATERIALIZED (SELECT * FROM ledger WHERE txn_timestamp < '{end}' AND account_id IN (SELECT account_id FROM b{k}) AND txn_timestamp BETWEEN
+  (SELECT min(txn_timestamp) FROM b{k}) - INTERVAL 240 HOUR AND (SELECT max(txn_timestamp) FROM b{k}) + INTERVAL 240 HOUR)""")
+        for cte, short in ((STRUCT, "st"), (ROUND, "ro"), (RAPID, "ra")):
+            own = re.sub(r"\b(FROM|JOIN) ledger\b", rf"\1 led{k}", cte)
+            parts.append(re.sub(rf"\b{short}_", f"{short}{k}_", re.sub(rf"\bh_{short}\b", f"h_{short}{k}", own)))
+            log.append(f"SELECT *, {k} AS batch_id FROM h_{short}{k}")
+        for code, short in (("STRUCTURING", "st"), ("ROUND_AMOUNT_PATTERN", "ro")):
+            cited.append(f"SELECT '{code}|ACCT|' || m.account_id || '|' || CAST(CAST(s.cluster_ts AS DATE) AS VARCHAR) AS dedup_key, m.transaction_id FROM {short}{k}_m m JOIN {short}{k}_s s "
+                         "ON s.account_id = m.account_id AND s.first_rn = m.first_rn")
+    once = "SELECT *, 0 AS batch_id FROM {0}"
+    return f"""WITH RECURSIVE {LEDGER}, {CTR}, {LISTED}, {BEHAVE}, {CUSTOMERS}, {', '.join(parts)},
+log AS MATERIALIZED ({' UNION ALL '.join(log + [once.format(t) for t in ('h_ctr', 'h_jur', 'h_be')])}),
+cited AS (SELECT dedup_key, count(DISTINCT transaction_id) AS n FROM ({' UNION ALL '.join(cited)}) GROUP BY 1),
+widest AS (SELECT dedup_key, max(evidence_count) AS w FROM log GROUP BY 1)
+SELECT rule_code, dedup_key, trigger_count, total AS risk_score, coalesce(n, w) AS evidence_count
+FROM ({score_sql(merged_sql('log', '(batch_id, first_ts, anchor_txn_id)', 'last_ts'), 's.trigger_count - 1')}) LEFT JOIN cited USING (dedup_key) JOIN widest USING (dedup_key)"""
+
+
+ORACLE["str_continuous_job"] = _stream_sql()
 ORACLE["flagship_alert_queue"] = A + f""" SELECT alert_ref, customer_id, CASE WHEN first_name IS NULL THEN 'U******' ELSE {mask_name("first_name || ' ' || last_name")} END AS customer_name_masked,
   {mask_id('account_id')} AS account_masked, rule_code, typology, risk_score, severity, 'OPEN' AS status, {dbl('evidence_amount_base')} AS evidence_amount_base, evidence_count, trigger_count,
   CAST(NULL AS VARCHAR) AS disposition, {ts('first_detected_at')} AS first_detected_at, {ts('last_detected_at')} AS last_detected_at

@@ -12,11 +12,11 @@ from tallyhound.functions import money, params, scoring, text
 from tallyhound.operators import alerts as al
 from tallyhound.operators import cases as cs
 from tallyhound.operators import clusters, lifecycle as lc, reports, rules, sar, validate
-from tallyhound.plans import store
+from tallyhound.plans import context, store
 from tallyhound.plans.ingest import batch_report, ingest, ingest_accounts, ingest_customers, summarise
 from tallyhound.session import work_folder
 from tallyhound.sources import files
-from tallyhound.sources import sampledata as sd
+from checks import sampledata as sd
 from tallyhound.streaming.job import StreamJob, stateless_hits
 
 TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -355,14 +355,9 @@ def det_daily_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def det_context(spark: SparkSession, sf: str) -> DataFrame:
-    """History around a batch: its accounts' rows from `lookback` before it to `lookback` after it."""
+    """History around a batch, the transactions in dollars: its accounts' rows from `lookback` before it to `lookback` after it."""
     l = sd.ledger(spark, sf)
-    batch = l.where("txn_timestamp >= '2024-01-15' and txn_timestamp < '2024-01-16' and amount_base >= 20000")
-    hours = F.make_dt_interval(hours=F.lit(rules.max_lookback_hours(sc.settings(spark))))
-    first = batch.agg(F.min("txn_timestamp") - hours).scalar()
-    last = batch.agg(F.max("txn_timestamp") + hours).scalar()
-    near = l.where(F.col("txn_timestamp").between(first, last))
-    return near.join(batch.select("account_id").distinct(), "account_id", "left_semi").select(
+    return context.account_window(l, l.where("currency = 'USD'"), sc.settings(spark)).select(
         "account_id", "transaction_id", "txn_timestamp", "amount_base")
 
 
@@ -467,10 +462,20 @@ def alr_detail_evidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def alr_customer_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    """Every customer's alerts in the order a lookup returns them."""
+    """Every customer's alerts, as a lookup returns them."""
+    return al.by_customer(sc.alerts(spark, sf), sd.customers(spark, sf)).select("customer_id", "alert_ref", "dedup_key", "risk_score")
+
+
+@query
+def alr_lookups(spark: SparkSession, sf: str) -> DataFrame:
+    """Alerts looked up by the refs of critical ones, the keys of small hits, and the cases of one analyst."""
     a = sc.alerts(spark, sf)
-    worst = a.groupBy("customer_id").agg(F.max_by("alert_ref", F.struct("risk_score", "alert_ref")).alias("alert_ref"))
-    return a.join(worst, ["customer_id", "alert_ref"]).select("customer_id", "alert_ref", "dedup_key", "risk_score")
+    found = {
+        "ref": al.by_ref(a, a.where("severity = 'CRITICAL'")),
+        "key": al.by_key(a, sc.hits(spark, sf).where("evidence_count = 1")),
+        "case": al.by_case(sc.members(spark, sf), a, sc.cases(spark, sf).where("opened_by = 'analyst2'"))}
+    rows = [df.select(F.lit(kind).alias("kind"), "alert_ref", "customer_id", "risk_score") for kind, df in found.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 @query
@@ -590,7 +595,8 @@ def lif_refused_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lif_case_queue(spark: SparkSession, sf: str) -> DataFrame:
-    found = cs.search(sc.closed_cases(spark, sf), status="CLOSED", assigned_to="analyst1")
+    now = cs.with_assignee(sc.closed_cases(spark, sf), _assignments(spark, sf))
+    found = cs.search(now, status="CLOSED", assigned_to="analyst1")
     rows = cs.queue_rows(found, sc.members(spark, sf))
     return al.page(rows, 0, 200, "aggregate_risk_score", "case_ref").select(
         "case_ref", "customer_id", "title", "status", "priority", "aggregate_risk_score", "disposition", "closed_at", "member_count")
@@ -603,14 +609,16 @@ def lif_case_detail(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _assignments(spark: SparkSession, sf: str) -> DataFrame:
-    return sd.table(spark, sf, "events").where("event_type <> 'click'").select(
-        F.concat(F.lit("CASE_"), F.col("user_id").cast("string")).alias("case_ref"), F.col("event_id").alias("seq"),
+    """Each event hands the case of its user to an analyst."""
+    named = sd.table(spark, sf, "events").withColumn("customer_id", F.concat(F.lit("CUST_"), F.col("user_id").cast("string")))
+    return named.join(sc.cases(spark, sf).select("case_ref", "customer_id"), "customer_id").select(
+        "case_ref", F.col("event_id").alias("seq"),
         F.concat(F.lit("analyst"), (F.col("event_id") % 6).cast("string")).alias("assignee"))
 
 
 @query
 def lif_reassignments(spark: SparkSession, sf: str) -> DataFrame:
-    return lc.reassignments(_assignments(spark, sf))
+    return lc.reassignments(_assignments(spark, sf), sc.cases(spark, sf))
 
 
 @query
@@ -618,6 +626,18 @@ def lif_last_assignee(spark: SparkSession, sf: str) -> DataFrame:
     return lc.last_assignee(_assignments(spark, sf))
 
 
+@query
+def lif_case_members(spark: SparkSession, sf: str) -> DataFrame:
+    queue = al.queue_rows(sc.alerts(spark, sf), sd.customers(spark, sf))
+    return cs.member_alerts(sc.members(spark, sf), queue).select("case_ref", "alert_ref", "account_masked", "rule_code", "risk_score", "severity", "evidence_count")
+
+
+@query
+def lif_case_trail(spark: SparkSession, sf: str) -> DataFrame:
+    rows = lc.audit_rows(sc.replayed_cases(spark, sf), "CASE").unionByName(cs.case_audit(sc.cases(spark, sf)))
+    return cs.trail(rows).select("entity_id", "place", "action", "actor", "from_state", "to_state", "occurred_at", "event_seq")
+
+
 @query
 def lif_list_changes(spark: SparkSession, sf: str) -> DataFrame:
     changes = sd.table(spark, sf, "events").select(
@@ -719,15 +739,14 @@ def str_stateless_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def str_continuous_job(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole ledger through the stream job in two micro-batches, in time order.
-
-    Every pattern a single batch run finds must be in the hit log under the same key."""
+    """The whole ledger through the stream job in micro-batches, in time order: the alerts of the log."""
     raw = files_like(sd.ledger(spark, sf))
     job = StreamJob(work_folder(spark, "stream-job"), lambda: sd.accounts(spark, sf), lambda: sc.AS_OF,
                     config=lambda: refs.rule_config(spark, sc.RULES), strict=False)
-    job.process(raw.where("txn_timestamp < '2024-01-16'"), 0)
-    job.process(raw.where("txn_timestamp >= '2024-01-16'"), 1)
-    return job.hits(spark).select("rule_code", "dedup_key").distinct()
+    for i, (start, end) in enumerate(zip(sc.STREAM_CUTS, sc.STREAM_CUTS[1:])):
+        job.process(raw.where(f"txn_timestamp >= '{start}' and txn_timestamp < '{end}'"), i)
+    found = al.derive_alerts(job.hits(spark), sd.customers(spark, sf), sc.settings(spark), job.evidence(spark))
+    return found.select("rule_code", "dedup_key", "trigger_count", "risk_score", "evidence_count")
 
 
 def files_like(ledger: DataFrame) -> DataFrame:

@@ -18,10 +18,12 @@ from tallyhound.operators import cases as cs
 from tallyhound.operators import lifecycle as lc
 from tallyhound.operators import rules
 from tallyhound.session import work_folder
-from tallyhound.sources import sampledata as sd
+from checks import sampledata as sd
 
 AS_OF = datetime(2024, 2, 1)
 OPENED_AT = "2024-02-01 00:00:00"
+# Days at which the stream query cuts its micro-batches; together they hold the whole ledger.
+STREAM_CUTS = ["0001-01-01", "2024-01-06", "2024-01-12", "2024-01-18", "2024-01-24", "9999-01-01"]
 INSTITUTION = "First Example Bank"
 
 RULES = [

@@ -148,7 +148,7 @@ def detail(alerts: DataFrame, customers: DataFrame, members: DataFrame | None =
 
 
 def detail_evidence(alerts: DataFrame, evidence: DataFrame, ledger: DataFrame) -> DataFrame:
-    """The transactions behind each alert, one row each, numbered in time order by sorting on read."""
+    """The transactions behind each alert, one row each, sorted on read by time."""
     cited = evidence.select("dedup_key", "transaction_id").distinct()
     wanted = alerts.select("alert_ref", "dedup_key").join(cited, "dedup_key")
     rows = ledger.select("transaction_id", "txn_timestamp", "direction", "amount", "currency", "amount_base",
@@ -156,20 +156,28 @@ def detail_evidence(alerts: DataFrame, evidence: DataFrame, ledger: DataFrame) -
     return wanted.join(rows, "transaction_id").drop("dedup_key")
 
 
-def by_customer(alerts: DataFrame, customer_id: str) -> DataFrame:
-    return alerts.where(F.col("customer_id") == customer_id).orderBy(F.desc("risk_score"), "alert_ref")
+def _matching(rows: DataFrame, key: str, wanted: str | DataFrame) -> DataFrame:
+    """Rows with one value of `key`, or with any that the column of that name in `wanted` holds."""
+    if isinstance(wanted, DataFrame):
+        return rows.join(wanted.select(key).distinct(), key, "left_semi")
+    return rows.where(F.col(key) == wanted)
 
 
-def by_ref(alerts: DataFrame, alert_ref: str) -> DataFrame:
-    return alerts.where(F.col("alert_ref") == alert_ref)
+def by_customer(alerts: DataFrame, customers: str | DataFrame) -> DataFrame:
+    """Alerts of one or more customers, each customer's from the highest score down."""
+    return _matching(alerts, "customer_id", customers).orderBy("customer_id", F.desc("risk_score"), "alert_ref")
 
 
-def by_key(alerts: DataFrame, dedup_key: str) -> DataFrame:
-    return alerts.where(F.col("dedup_key") == dedup_key)
+def by_ref(alerts: DataFrame, refs: str | DataFrame) -> DataFrame:
+    return _matching(alerts, "alert_ref", refs)
 
 
-def by_case(members: DataFrame, alerts: DataFrame, case_ref: str) -> DataFrame:
-    return alerts.join(members.where(F.col("case_ref") == case_ref).select("alert_ref"), "alert_ref", "left_semi")
+def by_key(alerts: DataFrame, keys: str | DataFrame) -> DataFrame:
+    return _matching(alerts, "dedup_key", keys)
+
+
+def by_case(members: DataFrame, alerts: DataFrame, cases: str | DataFrame) -> DataFrame:
+    return alerts.join(_matching(members, "case_ref", cases).select("alert_ref").distinct(), "alert_ref", "left_semi")
 
 
 def timeline(ledger: DataFrame, alerts: DataFrame, evidence: DataFrame, limit: int = 100, cap: int = 500) -> DataFrame:

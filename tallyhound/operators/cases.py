@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.functions import scoring, text
@@ -12,15 +12,18 @@ def check_requests(requests: DataFrame, alerts: DataFrame) -> DataFrame:
     """One row per requested case (case_key) with its `problem`, if it may not be opened.
 
     `requests` has case_key, customer_id, title, opened_by, opened_at and alert_ref, one
-    row per alert asked for; a request without alerts has a null alert_ref.
+    row per alert asked for; a request without alerts has a null alert_ref. Where the rows
+    of a request differ in the rest, the least in (opened_at, opened_by, title, customer_id) counts.
     """
     known = alerts.select("alert_ref", F.col("customer_id").alias("_owner"), "risk_score")
     linked = requests.join(known, "alert_ref", "left")
+    first = requests.groupBy("case_key").agg(F.min(F.struct("opened_at", "opened_by", "title", "customer_id")).alias("_first"))
+    linked = linked.join(first, "case_key")
     summary = linked.groupBy("case_key").agg(
-        *[F.first(c, ignorenulls=True).alias(c) for c in ("customer_id", "title", "opened_by", "opened_at")],
+        *[F.min(F.col("_first")[c]).alias(c) for c in ("customer_id", "title", "opened_by", "opened_at")],
         F.count("alert_ref").alias("alert_count"),
         F.count_if(F.col("alert_ref").isNotNull() & F.col("_owner").isNull()).alias("_unknown"),
-        F.count_if(F.col("_owner") != F.col("customer_id")).alias("_foreign"))
+        F.count_if(F.col("_owner") != F.col("_first.customer_id")).alias("_foreign"))
     scores = scoring.noisy_or(linked.where("alert_ref is not null"), ["case_key"], "risk_score", "aggregate_risk_score")
     problem = (
         F.when(F.col("alert_count") == 0, "A case must be opened against at least one alert.")
@@ -73,6 +76,12 @@ def with_state(cases: DataFrame, states: DataFrame) -> DataFrame:
     return cases.join(s, "case_ref", "left").withColumn("status", F.coalesce("state", "status")).drop("state")
 
 
+def with_assignee(cases: DataFrame, assignments: DataFrame) -> DataFrame:
+    """Cases with the analyst of their last assignment; unassigned ones stay with their opener."""
+    last = assignments.groupBy("case_ref").agg(F.max_by("assignee", "seq").alias("_last"))
+    return cases.join(last, "case_ref", "left").withColumn("assigned_to", F.coalesce("_last", "assigned_to")).drop("_last")
+
+
 def search(cases: DataFrame, status: str | None = None, assigned_to: str | None = None,
            customer_id: str | None = None) -> DataFrame:
     for column, value in {"status": status, "assigned_to": assigned_to, "customer_id": customer_id}.items():
@@ -92,6 +101,21 @@ def detail(cases: DataFrame, customers: DataFrame) -> DataFrame:
     return cases.join(names, "customer_id", "left").withColumn("customer_name_masked", F.coalesce("_name", F.lit("Unknown"))).drop("_name")
 
 
+def member_alerts(member_rows: DataFrame, alert_queue: DataFrame) -> DataFrame:
+    """The list view of each case's alerts, one row each (`alert_queue` as from alerts.queue_rows)."""
+    return member_rows.select("case_ref", "alert_ref").join(alert_queue, "alert_ref")
+
+
+TRAIL_ROWS = 100
+
+
+def trail(case_audit_rows: DataFrame, rows: int = TRAIL_ROWS) -> DataFrame:
+    """Each case's newest audit rows, numbered from the newest. Ranks above `rows` are cut
+    before the shuffle."""
+    newest = Window.partitionBy("entity_id").orderBy(F.desc("occurred_at"), F.desc("event_seq"), "action", "to_state")
+    return case_audit_rows.where("entity_type = 'CASE'").withColumn("place", F.row_number().over(newest)).where(F.col("place") <= rows)
+
+
 # --- audit rows ------------------------------------------------------------
 
 def audit(entity_type: str, action: str, rows: DataFrame, entity: Column, at: Column, details: Column,

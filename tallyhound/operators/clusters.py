@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from tallyhound.operators import skew
 from tallyhound.session import cut_lineage
 
+# Qualifying rows of one account that are folded in one go. The fold copies its list of picks at
+# every pick, so its cost grows with the square of a stretch; larger accounts take the split path.
+FOLD_ROWS = 4_000
+
 MEMBER_COLUMNS = ["account_id", "cluster_ts", "cluster_txn_id", "cluster_customer_id",
                   "transaction_id", "txn_timestamp", "amount_base"]
 _ORDER = ["txn_timestamp", "transaction_id"]
@@ -36,7 +40,7 @@ def find_clusters(candidates: DataFrame, hours: int, min_count: int, hot_limit:
     rows = candidates.select("account_id", "customer_id", *_ORDER, "amount_base")
     if min_count <= 0:
         return _ordinary(rows.where(F.lit(False)), hours, 1)
-    hot = skew.hot_keys(rows, ["account_id"], hot_limit)
+    hot = skew.hot_keys(rows, ["account_id"], FOLD_ROWS if hot_limit is None else hot_limit)
     plain, heavy = skew.split_hot(rows, hot, ["account_id"])
     out = _ordinary(plain, hours, min_count)
     if heavy is not None:

@@ -199,22 +199,25 @@ def audit_rows(replayed: DataFrame, entity_type: str) -> DataFrame:
         details.alias("details"), "occurred_at", "event_seq")
 
 
-def audit_trail(audit: DataFrame, entity_type: str | None = None, entity_id: str | None = None, size: int = 50) -> DataFrame:
-    """Newest audit rows first, at most 500."""
+def audit_trail(audit: DataFrame, entity_type: str | None = None, entity_id: str | None = None, size: int = 50,
+                cap: int = 500) -> DataFrame:
+    """Newest audit rows first: `size` of them, and never more than `cap`."""
     if entity_type and entity_type.strip():
         audit = audit.where(F.col("entity_type") == entity_type)
     if entity_id and entity_id.strip():
         audit = audit.where(F.col("entity_id") == entity_id)
-    return audit.orderBy(F.desc("occurred_at"), F.desc("event_seq"), F.asc("entity_id")).limit(min(size, 500))
+    return audit.orderBy(F.desc("occurred_at"), F.desc("event_seq"), F.asc("entity_id")).limit(min(size, cap))
 
 
-def reassignments(assignments: DataFrame, initial: str = "opener") -> DataFrame:
-    """Audit rows for changes of assignee, each with the assignee before it.
+def reassignments(assignments: DataFrame, cases: DataFrame) -> DataFrame:
+    """Audit rows for changes of assignee, each with the assignee before it; before the
+    first one that is the case's own `assigned_to`, its opener.
 
     Rows are linked to their predecessor by place in the sequence, so a case with a
     very long history is no larger a unit of work than any other."""
-    return skewed_lag(assignments, ["case_ref"], ["seq"], "assignee", "previous").select(
-        "case_ref", "seq", text.clip(F.coalesce("previous", F.lit(initial)), 32).alias("from_state"),
+    opener = cases.select("case_ref", F.col("assigned_to").alias("_opener"))
+    return skewed_lag(assignments, ["case_ref"], ["seq"], "assignee", "previous").join(opener, "case_ref", "left").select(
+        "case_ref", "seq", text.clip(F.coalesce("previous", "_opener"), 32).alias("from_state"),
         text.clip(F.col("assignee"), 32).alias("to_state"), F.lit("CASE_ASSIGNED").alias("action"),
         F.lit("Reassigned").alias("details"))
 

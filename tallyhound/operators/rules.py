@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyhound import refs
 from tallyhound.functions import money, text
 from tallyhound.functions.params import RuleSetting
-from tallyhound.operators import clusters, flows
+from tallyhound.operators import clusters, flows, skew
 from tallyhound.schemas import EVIDENCE_DDL, HIT_DDL
 
 TRANSACTION, ACCOUNT_WINDOW, CUSTOMER_WINDOW = "TRANSACTION", "ACCOUNT_WINDOW", "CUSTOMER_WINDOW"
@@ -143,11 +143,10 @@ def listed_party(ctx: RuleContext, s: RuleSetting) -> Findings:
     rows = ctx.current.withColumns({
         "_country": F.upper(text.strip(F.col("counterparty_country"))),
         "_party": F.nullif(text.normalise_party(F.col("counterparty_name")), F.lit(""))})
-    # The country list has at most 676 keys. The watchlist has no such bound, so its
-    # join is left to the planner's own size check.
+    # Neither list has a proven bound, so both are counted before they are broadcast.
     matched = (
-        rows.join(F.broadcast(by_country), F.col("_country") == F.col("_code"), "left")
-        .join(by_name, F.col("_party") == F.col("_name"), "left")
+        rows.join(skew.checked_side(by_country), F.col("_country") == F.col("_code"), "left")
+        .join(skew.checked_side(by_name), F.col("_party") == F.col("_name"), "left")
         .where("place is not null or party is not null"))
     place, party = F.col("place"), F.col("party")
     uplift = F.when(place.isNotNull() & (party.isNull() | (place["risk_weight"] >= party["risk_weight"])),

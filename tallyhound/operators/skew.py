@@ -15,42 +15,17 @@ from tallyhound.session import cut_lineage
 
 # Rows of one key that a single task may hold.
 HOT_ROWS = 100_000
-# Inputs the planner sizes below this are never split.
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
 # A side with at most this many narrow rows may be sent to every executor.
 BROADCAST_ROWS = 500_000
 
 
-def planned_bytes(df: DataFrame) -> int | None:
-    """Bytes of the tables a plan reads, or None where the planner does not know.
-
-    The planner's figure for the whole plan is of no use here: for joins it
-    multiplies the sizes of both sides.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except (AttributeError, ValueError):  # no classic plan, or a figure too long to read
-        return None
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores, where the source gave fewer partitions than that (a CSV
-    with quoted line breaks is read by one task per file)."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def checked_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     """Compute a join side, count it, and broadcast it only when it is small.
 
     Beyond the limit it is joined by shuffle, where adaptive execution splits hot
-    keys. Where the whole input is small, the planner's own choice is good enough.
+    keys. The count is made at every size of input.
     """
     limit = BROADCAST_ROWS if limit is None else limit
-    size = planned_bytes(df)
-    if size is not None and size < SMALL_INPUT_BYTES:
-        return df
     stored = cut_lineage(df)
     return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
 
@@ -58,14 +33,11 @@ def checked_side(df: DataFrame, limit: int | None = None) -> DataFrame:
 def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
     """Keys with more than `limit` rows, or None when there are none.
 
-    The count is a map-side combined aggregate. At most rows / limit keys come
-    back, so the result is far smaller than its input. Small inputs skip the count.
+    The count is a map-side combined aggregate, made at every size of input: a small
+    file may hold millions of rows of one key. At most rows / limit keys come back,
+    so the result is far smaller than its input.
     """
-    if limit is None:
-        limit = HOT_ROWS
-        size = planned_bytes(df)
-        if size is not None and size < SMALL_INPUT_BYTES:
-            return None
+    limit = HOT_ROWS if limit is None else limit
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")).where(F.col("hot_rows") > limit)
     counted = cut_lineage(counted)
     return None if counted.isEmpty() else counted

@@ -142,7 +142,7 @@ def check_rows(raw: DataFrame, accounts: DataFrame, fx: DataFrame, checks: list[
     owners = accounts.select(text.strip(F.col("account_id")).alias("_account"), F.col("customer_id").alias("owner_id"))
     rates = active_fx(fx)
     rows = prepared(raw).join(owners, F.col("p_account") == F.col("_account"), "left")
-    rows = rows.join(F.broadcast(rates), F.col("p_currency") == F.col("fx_currency"), "left")
+    rows = rows.join(checked_side(rates), F.col("p_currency") == F.col("fx_currency"), "left")
     return rows.withColumn("failed", first_failure(checks)).drop("_account", "fx_currency")
 
 

@@ -41,8 +41,9 @@ def current_ledger(log: DataFrame) -> DataFrame:
 
 
 def current_rows_of(log: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Current ledger rows of some accounts or customers, reading only the id
-    columns of the rest. A row counts if no later batch rewrote its id."""
+    """Current ledger rows of some accounts or customers, reading only the id columns of the rest. A
+    row counts if no later batch in `log` rewrote its id. For a log cut to some days, a row whose
+    rewrite moved it to another day outside them still counts until the ledger is compacted."""
     mine = log.join(ids.select(key).distinct(), key, "left_semi")
     newest = (
         log.select("transaction_id", "batch_id")
@@ -58,7 +59,10 @@ def compact_ledger(spark: SparkSession, path: str, target: str) -> None:
 
 def ledger_window(ledger: DataFrame, account_ids: DataFrame, start, end) -> DataFrame:
     """Rows of the given accounts between two times, both included, in account and time order."""
-    rows = ledger.where(F.col("txn_timestamp").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+    rows = ledger.where(F.col("txn_timestamp").between(start, end))
+    if "txn_date" in ledger.columns:  # a stored ledger: other days are not opened
+        rows = rows.where(F.col("txn_date").between(F.to_date(start), F.to_date(end)))
     return rows.join(account_ids.select("account_id").distinct(), "account_id", "left_semi").orderBy(
         "account_id", "txn_timestamp", "transaction_id")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.functions.text import normalise_party
+from tallyhound.operators.skew import checked_side
 
 BASE_CURRENCY = "INR"
 
@@ -122,13 +123,11 @@ def list_type_weight(list_type):
 # --- active views used by the rules ----------------------------------------
 
 def active_jurisdictions(df: DataFrame) -> DataFrame:
-    """Listed countries in force. The key is a two-letter code, so at most 676 rows
-    remain and the table may be broadcast whatever its source."""
+    """Listed countries in force, whatever their codes look like, one row per code."""
     return (
         df.where("active")
         .select(F.upper(F.trim("country_code")).alias("country_code"), "country_name", "category",
                 "risk_weight", "source")
-        .where("country_code rlike '^[A-Z]{2}$'")
         .groupBy("country_code")
         .agg(F.max_by(F.struct("country_name", "category", "risk_weight", "source"),
                       F.struct("risk_weight", "country_name")).alias("listing"))
@@ -152,18 +151,16 @@ def country_weight(codes: DataFrame, column: str, listed: DataFrame) -> DataFram
     keys = active_jurisdictions(listed).select(
         F.col("country_code").alias("_code"), F.col("risk_weight").alias("_weight"))
     return (
-        codes.join(F.broadcast(keys), F.upper(F.trim(column)) == F.col("_code"), "left")
+        codes.join(checked_side(keys), F.upper(F.trim(column)) == F.col("_code"), "left")
         .withColumn("country_risk_weight", F.coalesce("_weight", F.lit(0)))
         .drop("_code", "_weight")
     )
 
 
 def active_fx(df: DataFrame) -> DataFrame:
-    """Exchange rates by upper-case three-letter code. The key length bounds the
-    table at 26^3 rows, so it may be broadcast."""
+    """Exchange rates by upper-case code, whatever the codes look like."""
     return (
         df.select(F.upper(F.trim("currency")).alias("fx_currency"), F.col("rate_to_base").cast("decimal(18,8)").alias("fx_rate"))
-        .where("fx_currency rlike '^[A-Z]{3}$'")
         .groupBy("fx_currency").agg(F.max("fx_rate").alias("fx_rate"))
     )
 

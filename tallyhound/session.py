@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -29,6 +30,7 @@ def build_session(app: str = "tallyhound", master: str | None = None, **conf: st
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config(*CALL_SITES)
         .config(*METHOD_SIZE)
     )
@@ -42,7 +44,8 @@ def build_session(app: str = "tallyhound", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in `spark.checkpoint.dir`.
 
-    Only a local session without that setting (tests) gets a temporary folder.
+    A local session without that setting (tests) takes the folder that the variable
+    TALLYHOUND_WORK names, or else a temporary one; a cluster must name its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,7 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
     if shared is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="tallyhound-")
+        shared = os.environ.get("TALLYHOUND_WORK") or tempfile.mkdtemp(prefix="tallyhound-")
     sc.setCheckpointDir(shared)
     return sc.getCheckpointDir()
 

@@ -21,13 +21,12 @@ JSON_FIELDS = {
 JSON_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in JSON_FIELDS])
 
 
-def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], multi_line: bool = False) -> DataFrame:
     """Header-named text columns (lower case, stripped) with a 1-based `row_number`.
 
     Columns are found by name, in any order. Every file must carry the same
     header, and a row that does not fit it stops the read. Quoted line breaks need
-    `multi_line`, which reads each file in one task; turn it off for exports known
-    to have none, so that large files split.
+    `multi_line`, which reads each file in one task; without it large files split.
     """
     options = {"header": True, "escape": '"', "encoding": "UTF-8", "multiLine": multi_line, "mode": "FAILFAST"}
     names = spark.read.options(**options).csv(path).columns

@@ -1,8 +1,8 @@
 """The continuous job: validate, store, detect and log, one micro-batch at a time.
 
-Rows may arrive any amount of time late: every batch re-reads the full history of
-the accounts and customers it touches, so no watermark cuts anything off. Every
-write replaces its batch's folder, so a repeated batch changes nothing.
+Rows may arrive any amount of time late: every batch re-reads the history around its own rows
+(see `plans.context`), so no watermark cuts anything off and no batch reads more days than
+that. Every write replaces its batch's folder, so a repeated batch changes nothing.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyhound import refs
 from tallyhound.functions.params import load_settings
 from tallyhound.operators import flows, rules
-from tallyhound.plans import detection, store
+from tallyhound.plans import context, detection, store
 from tallyhound.plans.ingest import ingest, summarise
 from tallyhound.schemas import LEDGER_COLUMNS
 
@@ -65,12 +65,16 @@ class StreamJob:
         fresh = log.where(F.col("batch_id") == batch_id).select(*LEDGER_COLUMNS)
         lists = dict(jurisdictions=self.jurisdictions() if self.jurisdictions else None,
                      watchlist=self.watchlist() if self.watchlist else None, fresh=fresh)
+        settings = load_settings(self.config() if self.config else refs.rule_config(spark))
+        span = context.batch_reach(fresh)
+
+        def history(key: str, reach) -> DataFrame:
+            return fresh if span is None else store.current_rows_of(reach(span, settings).rows(log), fresh, key)
         contexts = {
             rules.TRANSACTION: rules.RuleContext(fresh, **lists),
-            rules.ACCOUNT_WINDOW: rules.RuleContext(store.current_rows_of(log, fresh, "account_id"), **lists),
-            rules.CUSTOMER_WINDOW: rules.RuleContext(store.current_rows_of(log, fresh, "customer_id"), **lists),
+            rules.ACCOUNT_WINDOW: rules.RuleContext(history("account_id", context.account_reach), **lists),
+            rules.CUSTOMER_WINDOW: rules.RuleContext(history("customer_id", context.customer_reach), **lists),
         }
-        settings = load_settings(self.config() if self.config else refs.rule_config(spark))
         result = detection.run_detection(contexts, settings, f"{self.path}/findings", batch_id, as_of)
         answers = event_answers(fresh, self.hits(spark).where(F.col("batch_id") == batch_id),
                                 self.evidence(spark).where(F.col("batch_id") == batch_id),

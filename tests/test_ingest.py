@@ -8,7 +8,7 @@ from tallyhound.operators.validate import BUSINESS, Check
 from tallyhound.plans import store
 from tallyhound.plans.ingest import batch_report, ingest, ingest_accounts, ingest_customers, summarise
 from tallyhound.sources import files
-from tallyhound.sources import sampledata as sd
+from checks import sampledata as sd
 
 AS_OF = datetime(2026, 9, 19)
 ACCOUNTS = "account_id string, customer_id string"
@@ -38,7 +38,7 @@ A2,T7,9,DR,2026-09-18,INR,C1,,
 
 
 def test_csv_end_to_end(spark, tmp_path):
-    rows = files.read_csv(spark, write(tmp_path / "t.csv", CSV))
+    rows = files.read_csv(spark, write(tmp_path / "t.csv", CSV), multi_line=True)
     raw = files.to_raw_transactions(rows)
     done = ingest(raw, accounts(spark), refs.fx_rates(spark), AS_OF)
     good = {r["transaction_id"]: r for r in done.accepted.collect()}

@@ -64,10 +64,11 @@ def test_link_only_moves_open_alerts(spark):
 def test_lag_over_a_hot_key(spark, monkeypatch):
     from tallyhound.operators import skew
     df = spark.createDataFrame([(f"C{0 if i % 2 else i % 3}", i, f"p{i}") for i in range(60)], "case_ref string, seq long, assignee string")
-    want = sorted(map(tuple, lc.reassignments(df).collect()))
+    cases = spark.createDataFrame([("C0", "opener0"), ("C1", "opener1"), ("C2", "opener2")], "case_ref string, assigned_to string")
+    want = sorted(map(tuple, lc.reassignments(df, cases).collect()))
+    assert {r[2] for r in want if r[2].startswith("opener")} == {"opener0", "opener1", "opener2"}
     monkeypatch.setattr(skew, "HOT_ROWS", 5)
-    monkeypatch.setattr(skew, "SMALL_INPUT_BYTES", 0)
-    assert sorted(map(tuple, lc.reassignments(df).collect())) == want
+    assert sorted(map(tuple, lc.reassignments(df, cases).collect())) == want
 
 
 def test_audit_trail(spark):

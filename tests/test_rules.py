@@ -5,7 +5,8 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhound.operators import clusters, flows, rules
+from tallyhound import refs
+from tallyhound.operators import clusters, flows, rules, skew
 from tests.helpers import BASE, find, hits, ledger, settings, txn
 
 
@@ -229,3 +230,27 @@ def test_a_new_rule_needs_only_registration(spark):
         assert [r["rule_code"] for r in found.hits.collect()] == ["ANY_DEBIT"]
     finally:
         rules.unregister("ANY_DEBIT")
+
+
+def test_small_file_with_one_busy_account_is_split(spark, tmp_path):
+    """120,000 qualifying rows of one account compress to a few hundred kilobytes."""
+    rows = spark.range(120_000).select(
+        F.lit("ACC").alias("account_id"), F.lit("CUST").alias("customer_id"), F.concat(F.lit("T"), F.lpad(F.col("id").cast("string"), 7, "0")).alias("transaction_id"),
+        F.timestamp_seconds(1_700_000_000 + F.col("id") * 60).cast("timestamp_ntz").alias("txn_timestamp"), F.lit(1).cast("decimal(18,2)").alias("amount_base"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "rows"))
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < 2_000_000
+    stored = spark.read.parquet(str(tmp_path / "rows"))
+    hot = skew.hot_keys(stored, ["account_id"])
+    assert [r["account_id"] for r in hot.collect()] == ["ACC"]
+    members = clusters.find_clusters(stored, 1, 3)
+    got = clusters.summarise(members).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("rows"), F.max("size").alias("most")).first()
+    # 61 rows lie within an hour, both ends included.
+    assert (got["n"], got["rows"], got["most"]) == (-(-120_000 // 61), 120_000, 61)
+
+
+def test_lists_keep_codes_of_any_form(spark):
+    rates = spark.createDataFrame([("A1B", "2.5"), (" usd ", "80")], "currency string, rate_to_base string")
+    assert {r["fx_currency"]: float(r["fx_rate"]) for r in refs.active_fx(rates).collect()} == {"A1B": 2.5, "USD": 80.0}
+    listed = refs.inline(spark, [("x1", "Somewhere", "FATF", 30, "list", True)], ["country_code", "country_name", "category", "risk_weight", "source", "active"])
+    rows = spark.createDataFrame([("X1",), ("IN",), (None,)], "country string")
+    assert {r["country"]: r["country_risk_weight"] for r in refs.country_weight(rows, "country", listed).collect()} == {"X1": 30, "IN": 0, None: 0}
