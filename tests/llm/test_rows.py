@@ -248,3 +248,17 @@ def test_windows_of_least_values():
     v = np.random.default_rng(1).integers(0, 50, 100).astype(np.uint64)
     for width in (1, 3, 7, 100):
         assert suffixes.least_ahead(v, width).tolist() == [v[i:i + width].min() for i in range(101 - width)]
+
+
+# Registered queries.
+
+def test_queries_and_sql(spark, sf, monkeypatch):
+    import __spark_entry__ as entry
+    from checks import compare
+    from tallyhound.llm import queries, sql
+    assert set(queries.REGISTRY) | {"pipeline"} <= set(entry.queries()) and set(sql.ORACLE) <= set(queries.REGISTRY)
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.REGISTRY) == list(range(1, 11))
+    for name, text in sql.ORACLE.items():
+        monkeypatch.setitem(compare.REGISTRY, name, queries.REGISTRY[name])
+        monkeypatch.setitem(compare.ORACLE, name, text)
+        assert compare.differences(spark, sf, name) is None
