@@ -237,11 +237,47 @@ ORACLE["val_rejects"] = f"""WITH {_VAL} SELECT row_number, transaction_id AS rec
 ORACLE["val_accepted"] = f"""WITH {_VAL} SELECT trim(transaction_id) AS transaction_id, account_id, owner AS customer_id, {ts('parsed_ts')} AS txn_timestamp, direction,
   {dbl('amount')} AS amount, good_currency AS currency, {dbl('amount_base')} AS amount_base, {dbl('fx_rate_applied')} AS fx_rate_applied, channel, txn_type,
   counterparty_name, upper(trim(counterparty_country)) AS counterparty_country, coalesce(status, 'POSTED') AS status FROM checked WHERE problem IS NULL"""
-ORACLE["val_batch_summary"] = f"""WITH {_VAL} SELECT 'TRANSACTION' AS entity_type, 'check' AS source, count(*) AS total_records,
-  count(*) FILTER (problem IS NULL) AS accepted_records, count(*) FILTER (problem IS NOT NULL) AS rejected_records, 0 AS alerts_generated,
-  'COMPLETED_WITH_ERRORS' AS status FROM checked"""
-ORACLE["src_batch_report"] = f"""WITH {_VAL} SELECT 'B1' AS batch_ref, 'COMPLETED_WITH_ERRORS' AS status, count(*) OVER () AS rejected_records, row_number,
+
+
+def batch_ref_sql(key: str) -> str:
+    return f"'BATCH-20240201-000000-' || upper(left(sha256('{key}|2024-02-01T00:00:00'), 8))"
+
+
+_JOB_REF = batch_ref_sql("TRANSACTION|stream-0")
+_OPENED = "(SELECT count(*) FROM checked WHERE problem IS NULL AND amount_base >= 10000)"
+ORACLE["val_batch_summary"] = f"""WITH {_VAL} SELECT {_JOB_REF} AS batch_ref, 'TRANSACTION' AS entity_type, 'stream-0' AS source, count(*) AS total_records,
+  count(*) FILTER (problem IS NULL) AS accepted_records, count(*) FILTER (problem IS NOT NULL) AS rejected_records, {_OPENED} AS alerts_generated,
+  'COMPLETED_WITH_ERRORS' AS status, {_OPENED} AS hits, '' AS failed_rules, true AS timed FROM checked"""
+ORACLE["src_batch_report"] = f"""WITH {_VAL} SELECT {_JOB_REF} AS batch_ref, 'COMPLETED_WITH_ERRORS' AS status, count(*) OVER () AS rejected_records, row_number,
   transaction_id AS record_key, {_TYPE} AS error_type FROM checked WHERE problem IS NOT NULL"""
+ORACLE["str_event_answers"] = f"""WITH {_VAL} SELECT trim(transaction_id) AS transaction_id, true AS accepted, (amount_base >= 10000)::INT AS rules_triggered,
+  (amount_base >= 10000)::INT AS alerts_created FROM checked WHERE problem IS NULL"""
+ORACLE["snk_customers"] = f"""WITH {_CUST_ROWS} SELECT id AS customer_id, CASE WHEN n % 4 = 0 THEN 'Unknown' ELSE first_name END AS first_name,
+  CASE WHEN n % 3 = 0 THEN 'IN' ELSE 'SG' END AS country, CASE WHEN n % 6 = 0 THEN NULL ELSE {dbl('annual_income')} END AS annual_income,
+  'PENDING' AS kyc_status, risk_rating FROM checked WHERE problem IS NULL"""
+_MASTER_ROWS = f"""{CUSTOMERS}, {ACCOUNTS}, crows AS (SELECT *, n + 1 AS row_number,
+  CASE WHEN n % 50 = 9 THEN NULL WHEN n % 50 = 11 THEN 'CUST_' || (n - 1) ELSE customer_id END AS id FROM customers),
+cust AS (SELECT *, CASE WHEN id IS NULL THEN 'customer_id is required'
+  WHEN row_number() OVER (PARTITION BY id ORDER BY row_number) > 1 THEN 'duplicate customer_id in file' END AS problem FROM crows),
+arows AS (SELECT *, n * 2 + CASE WHEN account_id LIKE 'ACC%' THEN 1 ELSE 2 END AS row_number,
+  CASE WHEN n % 40 = 3 THEN NULL WHEN n % 40 = 5 THEN 'ACC_' || (n - 1) ELSE account_id END AS id,
+  CASE WHEN n % 30 = 4 THEN 'CUST_GONE' ELSE customer_id END AS owner FROM accounts),
+acc AS (SELECT *, CASE WHEN id IS NULL THEN 'account_id is required'
+  WHEN row_number() OVER (PARTITION BY id ORDER BY row_number) > 1 THEN 'duplicate account_id in file'
+  WHEN owner NOT IN (SELECT id FROM cust WHERE problem IS NULL) THEN 'customer_id ''' || owner || ''' does not exist — load customers first' END AS problem FROM arows)"""
+_CREF, _AREF = batch_ref_sql("CUSTOMER|customers-0"), batch_ref_sql("ACCOUNT|accounts-0")
+ORACLE["snk_accounts"] = f"""WITH {_MASTER_ROWS} SELECT id AS account_id, owner AS customer_id, CASE WHEN n % 2 = 0 THEN 'SAVINGS' ELSE account_type END AS account_type,
+  'usd' AS currency, CASE WHEN n % 5 = 0 THEN 0.0 ELSE {dbl('current_balance')} END AS current_balance FROM acc WHERE problem IS NULL"""
+ORACLE["snk_master_rejects"] = f"""WITH {_MASTER_ROWS} SELECT {_CREF} AS batch_ref, row_number, coalesce(id, '') AS record_key,
+  CASE WHEN id IS NULL THEN 'STRUCTURAL' ELSE 'BUSINESS_RULE' END AS error_type, problem AS error_message FROM cust WHERE problem IS NOT NULL
+UNION ALL SELECT {_AREF}, row_number, id, CASE WHEN id IS NULL THEN 'STRUCTURAL' WHEN problem LIKE 'dup%' THEN 'BUSINESS_RULE' ELSE 'REFERENTIAL_INTEGRITY' END, problem
+  FROM acc WHERE problem IS NOT NULL"""
+ORACLE["snk_ingest_audit"] = f"""WITH {_VAL}, {_MASTER_ROWS}, done AS (
+  SELECT {_JOB_REF} AS ref, count(*) FILTER (problem IS NULL) AS a, count(*) FILTER (problem IS NOT NULL) AS r, {_OPENED} AS n FROM checked
+  UNION ALL SELECT {_CREF}, count(*) FILTER (problem IS NULL), count(*) FILTER (problem IS NOT NULL), 0 FROM cust
+  UNION ALL SELECT {_AREF}, count(*) FILTER (problem IS NULL), count(*) FILTER (problem IS NOT NULL), 0 FROM acc)
+SELECT 'INGESTION' AS entity_type, ref AS entity_id, 'INGESTION_COMPLETED' AS action, 'system' AS actor,
+  a || ' accepted, ' || r || ' rejected, ' || n || ' alerts' AS details, '2024-02-01 00:00:00.000000' AS occurred_at FROM done"""
 ORACLE["src_transactions"] = f"""WITH {_DIRTY} SELECT row_number, nullif(trim(transaction_id), '') AS transaction_id, nullif(trim(account_id), '') AS account_id,
   CAST(NULL AS VARCHAR) AS customer_id, txn_timestamp, amount_text AS amount, CASE WHEN e % 6 = 0 THEN 'INR' ELSE currency END AS currency,
   nullif(trim(counterparty_country), '') AS counterparty_country, CAST(NULL AS VARCHAR) AS status FROM dirty"""

@@ -13,7 +13,7 @@ from tallyhound.operators import alerts as al
 from tallyhound.operators import cases as cs
 from tallyhound.operators import clusters, lifecycle as lc, reports, rules, sar, validate
 from tallyhound.plans import context, store
-from tallyhound.plans.ingest import batch_report, ingest, ingest_accounts, ingest_customers, summarise
+from tallyhound.plans.ingest import batch_report, current_masters, ingest, ingest_accounts, ingest_customers
 from tallyhound.session import work_folder
 from tallyhound.sources import files
 from checks import sampledata as sd
@@ -271,17 +271,56 @@ def val_accepted(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def val_batch_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return summarise(_ingested(spark, sf).checked, "check", sc.AS_OF).drop("batch_ref", "duration_ms")
+    """The summary the job stored, with the alerts that detection opened."""
+    return spark.read.parquet(f"{sc.stored_job(spark, sf)}/batches").select(
+        "batch_ref", "entity_type", "source", "total_records", "accepted_records", "rejected_records", "alerts_generated", "status",
+        "hits", "failed_rules", (F.col("duration_ms") > 0).alias("timed"))
 
 
 @query
 def src_batch_report(spark: SparkSession, sf: str) -> DataFrame:
-    done = _ingested(spark, sf)
-    summary = summarise(done.checked, "check", sc.AS_OF).withColumn("batch_ref", F.lit("B1"))
-    report = batch_report(summary, done.rejected.withColumn("batch_ref", F.lit("B1")))
+    """Summary and rejects as the job stored them."""
+    path = sc.stored_job(spark, sf)
+    report = batch_report(spark.read.parquet(f"{path}/batches"), spark.read.parquet(f"{path}/rejects"))
     return report.select("batch_ref", "status", "rejected_records", "row_number", "record_key", "error_type")
 
 
+@query
+def snk_ingest_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit rows the jobs stored for a transaction batch and two master files."""
+    kept = [spark.read.parquet(p) for p in (f"{sc.stored_job(spark, sf)}/audit", f"{_masters(spark, sf)}/master_audit")]
+    return kept[0].unionByName(kept[1], allowMissingColumns=True).select(
+        "entity_type", "entity_id", "action", "actor", F.regexp_replace("details", " in [0-9]+ ms$", "").alias("details"), "occurred_at")
+
+
+def _masters(spark: SparkSession, sf: str) -> str:
+    return sc.stored_masters(spark, sf, _customer_rows(spark, sf), _account_rows(spark, sf))
+
+
+@query
+def snk_customers(spark: SparkSession, sf: str) -> DataFrame:
+    log = spark.read.parquet(f"{_masters(spark, sf)}/customers")
+    return current_masters(log, "customer_id").select("customer_id", "first_name", "country", "annual_income", "kyc_status", "risk_rating")
+
+
+@query
+def snk_accounts(spark: SparkSession, sf: str) -> DataFrame:
+    log = spark.read.parquet(f"{_masters(spark, sf)}/accounts")
+    return current_masters(log, "account_id").select("account_id", "customer_id", "account_type", "currency", "current_balance")
+
+
+@query
+def snk_master_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    rows = [spark.read.parquet(f"{_masters(spark, sf)}/{kind}_rejects") for kind in ("customer", "account")]
+    return rows[0].unionByName(rows[1]).select("batch_ref", "row_number", "record_key", "error_type", "error_message")
+
+
+@query
+def str_event_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Per accepted event: rules that cite it and alerts it opened, as the job stored them."""
+    return spark.read.parquet(f"{sc.stored_job(spark, sf)}/answers").select("transaction_id", "accepted", "rules_triggered", "alerts_created")
+
+
 @query
 def src_ledger_window(spark: SparkSession, sf: str) -> DataFrame:
     l = sd.ledger(spark, sf)

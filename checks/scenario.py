@@ -17,7 +17,9 @@ from tallyhound.operators import alerts as al
 from tallyhound.operators import cases as cs
 from tallyhound.operators import lifecycle as lc
 from tallyhound.operators import rules
+from tallyhound.plans.ingest import load_masters
 from tallyhound.session import work_folder
+from tallyhound.streaming.job import StreamJob
 from checks import sampledata as sd
 
 AS_OF = datetime(2024, 2, 1)
@@ -61,6 +63,26 @@ def _written(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     return spark.read.parquet(_tables[key])
 
 
+def stored_job(spark: SparkSession, sf: str) -> str:
+    """Folder of the continuous job after one batch, the feed with faults, under the threshold rule."""
+    key = (spark.sparkContext.applicationId, sf, "job")
+    if key not in _tables:
+        job = StreamJob(work_folder(spark, "job"), lambda: sd.accounts(spark, sf), lambda: AS_OF,
+                        config=lambda: refs.rule_config(spark, RULES[:1]), strict=False)
+        job.process(sd.dirty_transactions(spark, sf), 0)
+        _tables[key] = job.path
+    return _tables[key]
+
+
+def stored_masters(spark: SparkSession, sf: str, customers: DataFrame, accounts: DataFrame) -> str:
+    key = (spark.sparkContext.applicationId, sf, "masters")
+    if key not in _tables:
+        path = work_folder(spark, "masters")
+        load_masters(customers, accounts, path, 0, AS_OF)
+        _tables[key] = path
+    return _tables[key]
+
+
 def all_findings(spark: SparkSession, sf: str) -> rules.Findings:
     return rules.detect(rules.RuleContext(sd.ledger(spark, sf)), settings(spark))
 

@@ -6,6 +6,7 @@ Current state is always derived by aggregation.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +20,22 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str]
     writer.parquet(f"{path}/batch_id={batch_id}")
 
 
+def kept(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Write a batch and read it back, so that what follows reads stored rows."""
+    write_batch(df, path, batch_id)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch_id={batch_id}")
+
+
+def read_log(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """All batches of a log, with `batch_id`; no rows before the first batch is written."""
+    try:
+        return spark.read.schema(ddl + ", batch_id bigint").parquet(path)
+    except AnalysisException as ex:
+        if ex.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl + ", batch_id bigint")
+
+
 def write_ledger(accepted: DataFrame, path: str, batch_id: int) -> None:
     """Append accepted rows, partitioned by day.
 

@@ -7,6 +7,7 @@ that. Every write replaces its batch's folder, so a repeated batch changes nothi
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Callable
@@ -19,7 +20,7 @@ from tallyhound import refs
 from tallyhound.functions.params import load_settings
 from tallyhound.operators import flows, rules
 from tallyhound.plans import context, detection, store
-from tallyhound.plans.ingest import ingest, summarise
+from tallyhound.plans.ingest import audit_row, ingest, refuse_bad_rates, source_ref, summarise
 from tallyhound.schemas import LEDGER_COLUMNS
 
 
@@ -52,13 +53,20 @@ class StreamJob:
         as_of = self.now()
         if "row_number" not in raw.columns:
             raw = raw.withColumn("row_number", F.monotonically_increasing_id() + 1)
-        rates = self.fx() if self.fx else refs.fx_rates(spark)
-        done = ingest(raw, self.accounts(), rates, as_of, strict=self.strict)
-        # Stored before detection, which reads the stored rows like any others.
+        began = time.monotonic()
+        source = f"stream-{batch_id}"
+        rates = refuse_bad_rates(self.fx() if self.fx else refs.fx_rates(spark))
+        # The raw rows are read once; everything after reads the checked rows as stored.
+        done = ingest(raw, self.accounts(), rates, as_of, strict=self.strict, keep=lambda df: store.kept(df, f"{self.path}/checked", batch_id))
         store.write_ledger(done.accepted, self.ledger_path, batch_id)
-        store.write_batch(done.rejected, f"{self.path}/rejects", batch_id)
-        store.write_batch(summarise(done.checked, f"stream-{batch_id}", as_of), f"{self.path}/batches", batch_id)
-        self.detect(spark, batch_id, as_of)
+        store.write_batch(done.rejected.withColumn("batch_ref", source_ref(source, as_of)), f"{self.path}/rejects", batch_id)
+        result = self.detect(spark, batch_id, as_of)
+        summary = summarise(done.checked, source, as_of, alerts=self.new_keys(spark, batch_id).count(),
+                            duration_ms=int((time.monotonic() - began) * 1000))
+        # A batch with failed rules can be run again: `detect` replaces what it wrote.
+        stamped = summary.withColumns({"hits": F.lit(result.hits).cast("long"), "failed_rules": F.lit(",".join(result.failed_rules))})
+        made = store.kept(stamped, f"{self.path}/batches", batch_id)
+        store.write_batch(audit_row(made, as_of), f"{self.path}/audit", batch_id)
 
     def detect(self, spark: SparkSession, batch_id: int, as_of: datetime) -> detection.RunResult:
         log = store.read_ledger_log(spark, self.ledger_path).where(F.col("batch_id") <= batch_id)
@@ -76,12 +84,18 @@ class StreamJob:
             rules.CUSTOMER_WINDOW: rules.RuleContext(history("customer_id", context.customer_reach), **lists),
         }
         result = detection.run_detection(contexts, settings, f"{self.path}/findings", batch_id, as_of)
-        answers = event_answers(fresh, self.hits(spark).where(F.col("batch_id") == batch_id),
-                                self.evidence(spark).where(F.col("batch_id") == batch_id),
-                                self.hits(spark).where(F.col("batch_id") < batch_id), result.duration_ms)
+        found = self.hits(spark).where(F.col("batch_id") == batch_id)
+        # Known keys are kept in a table of their own, one row per alert, so the hit log is not read back.
+        known = store.read_log(spark, f"{self.path}/alert_keys", "dedup_key string").where(F.col("batch_id") < batch_id)
+        store.write_batch(found.select("dedup_key").distinct().join(known, "dedup_key", "left_anti"), f"{self.path}/alert_keys", batch_id)
+        answers = event_answers(fresh, found, self.evidence(spark).where(F.col("batch_id") == batch_id), known, result.duration_ms)
         store.write_batch(answers, f"{self.path}/answers", batch_id)
         return result
 
+    def new_keys(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """Keys of the alerts that a batch opened."""
+        return store.read_log(spark, f"{self.path}/alert_keys", "dedup_key string").where(F.col("batch_id") == batch_id)
+
     def hits(self, spark: SparkSession) -> DataFrame:
         return detection.read_hits(spark, f"{self.path}/findings")
 
