@@ -32,9 +32,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Noisy-or toxicity, learned on the documents at hand; at or above TOXIC they go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select(F.struct("*").alias("row"))
-    scored = toxicity.score(rows, model, id_col="row", text_col="row.text")
-    return scored.where(F.col("score") < TOXIC).select("doc_id.*")
+    rows = docs.select(F.struct("*").alias("row"), toxicity.scorer(spark, model)(F.col("text")).alias("p"))
+    return rows.where(F.col("p") < TOXIC).select("row.*")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

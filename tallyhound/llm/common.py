@@ -13,6 +13,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Words are runs of anything but these ASCII blanks.
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -22,7 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers started from here import this package from its checkout."""
+    """Let Python workers started from here import this package from its checkout, and send them
+    texts in batches of a few megabytes, however long the texts of a row are."""
+    spark.conf.set(BATCH_BYTES, "8m")
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

@@ -33,8 +33,8 @@ RECALL = 0.9995
 # Hashes of a signature, at most.
 HASHES = 128
 # Texts and words of a verification block, about.
-BLOCK_TEXTS = 1_500
-BLOCK_WORDS = 2_000_000
+BLOCK_TEXTS = 700
+BLOCK_WORDS = 1_000_000
 U32 = np.uint32
 
 
@@ -146,9 +146,9 @@ def verified(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
             near &= block[lo:hi][:, None] != block[lo:hi][None, :]
         links[lo:hi] = near.sum(1)
         weighted[lo:hi] = near @ copies[lo:hi]
-        lab = np.arange(m)
+        lab = np.arange(m, dtype=np.int32)
         while True:
-            nxt = np.minimum(lab, np.where(near, lab[None, :], m).min(1))
+            nxt = np.minimum(lab, np.where(near, lab[None, :], np.int32(m)).min(1))
             if (nxt == lab).all():
                 break
             lab = nxt

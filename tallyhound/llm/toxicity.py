@@ -15,13 +15,13 @@ import itertools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.llm.common import learning_sample, reach_workers, stored, whole
@@ -40,7 +40,7 @@ WORD = re.compile(r"\w+")
 # Offending sentences reported for a document are those at or above this.
 OFFENDING = 0.5
 # Words whose terms a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def terms_of(word: str) -> list[str]:
@@ -180,6 +180,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
     return fit(bags(sample, terms), terms)
 
 
+def judged(text: str, m: SentenceModel, lexicon: Lexicon) -> tuple[float, list[dict]]:
+    """(probability, offending sentences) of a text."""
+    n = sentences(text)
+    logits = [(a, b, m.bias + m.weights[t].sum()) for a, b, t in sentence_terms(text, lexicon)]
+    cut = math.log(OFFENDING / (1 - OFFENDING))
+    return noisy_or([z for *_, z in logits], n - len(logits), m.bias), [{"start": a, "end": b} for a, b, z in logits if z >= cut]
+
+
+def scorer(spark: SparkSession, model: SentenceModel) -> Callable[[Column], Column]:
+    """Column function text -> score; only the text column travels to Python."""
+    reach_workers(spark)
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def probability(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        lexicon = Lexicon({t: i for i, t in enumerate(shared.value.terms)})
+        for part in texts:
+            yield pd.Series([judged(t, shared.value, lexicon)[0] for t in part], dtype=float)
+
+    return lambda text: probability(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def score(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id`, `score`, and where the offence is: number and character spans (start, end)
     of the sentences at or above OFFENDING."""
@@ -189,17 +211,9 @@ def score(docs: DataFrame, model: SentenceModel, id_col: str = "doc_id", text_co
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        lexicon = Lexicon({t: i for i, t in enumerate(m.terms)})
-
-        def one(text: str) -> tuple[float, list[dict]]:
-            n = sentences(text)
-            logits = [(a, b, m.bias + m.weights[t].sum()) for a, b, t in sentence_terms(text, lexicon)]
-            cut = math.log(OFFENDING / (1 - OFFENDING))
-            return noisy_or([z for *_, z in logits], n - len(logits), m.bias), [{"start": a, "end": b} for a, b, z in logits if z >= cut]
-
+        lexicon = Lexicon({t: i for i, t in enumerate(shared.value.terms)})
         for b in batches:
-            got = [one(t) for t in b.column(1).to_pylist()]
+            got = [judged(t, shared.value, lexicon) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([x for _, x in got], spans)],
                 ["doc_id", "score", "offending"])
