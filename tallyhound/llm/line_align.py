@@ -133,7 +133,8 @@ def kept_text():
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """One row per input row: `row` (all its columns), `gone` (null where nothing was deleted) and `kept` (the remaining text)."""
-    cuts = stored(decide(docs, id_col, text_col, **limits), "line-cuts").select(F.col("d").alias("cd"), "gone")
+    # The cuts grow with the corpus: a shuffle join at every size.
+    cuts = stored(decide(docs, id_col, text_col, **limits), "line-cuts").select(F.col("d").alias("cd"), "gone").hint("merge")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64(F.col(id_col).alias("_id"), text).alias("d"))
     rows = rows.join(cuts, F.col("d") == F.col("cd"), "left")
