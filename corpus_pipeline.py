@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tallyhound.llm import line_align, ngram_join, packing, template_decontam, toxicity
 from tallyhound.llm.common import stored, table
 from tallyhound.llm.queries import vocabulary
+from tallyhound.operators.skew import checked_side
 
 TOXIC = 0.5
 
@@ -24,7 +25,7 @@ def _text() -> Column:
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """`docs` but those whose (id, text) fingerprint is in `gone` (d)."""
-    gone = gone.select(F.col("d").alias("gd")).distinct()
+    gone = checked_side(gone.select(F.col("d").alias("gd")).distinct())
     rows = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", _text()).alias("d"))
     return rows.join(gone, F.col("d") == F.col("gd"), "left_anti").select("row.*")
 
@@ -49,7 +50,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document by id of each class of linked documents stays."""
     found = stored(ngram_join.join(docs), "classes").select(F.col("doc_id").alias("id"), "h", "class_id", "class_h")
-    gone = found.where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h")))).select("id", "h").distinct()
+    gone = found.where(~(F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h")))).select("id", "h").distinct().hint("merge")
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.xxhash64(_text()).alias("th"))
     kept = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("h")), "left_anti")
     # What is left more than once are rows that repeat id and text.

@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.llm.common import stored, whole
+from tallyhound.operators.skew import checked_side
 
 WINDOW = 8
 STRIDE = 4
 # Share of an item's words that must agree in their place.
 COVERAGE = 0.6
-# Benchmark windows that may be sent to every executor; more are joined by shuffle.
+# Benchmark windows, or documents that meet one, that may be sent to every executor; more are joined by shuffle.
 BROADCAST_WINDOWS = 200_000
 # Unit words, in lower case.
 UNITS = (
@@ -83,7 +84,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # `shift`: where the item's first word falls in the document.
     laid = stored(met.select("d", "q", "n", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "meetings")
 
-    asks = laid.groupBy(F.col("d").alias("ad")).agg(F.collect_list(F.struct("q", "n", "shift")).alias("asks"))
+    # Counted, and broadcast only while few documents meet an item; else joined by shuffle.
+    asks = checked_side(laid.groupBy(F.col("d").alias("ad")).agg(F.collect_list(F.struct("q", "n", "shift")).alias("asks")), BROADCAST_WINDOWS)
     text = d.join(asks, F.col("d") == F.col("ad")).groupBy("_id", "d").agg(F.first("_text").alias("_text"), F.first("asks").alias("asks"))
     split = text.select("_id", "d", "asks", template(F.col("_text")).alias("dt"), words(F.col("_text")).alias("dw"))
     # The few documents that meet an item are split once; each meeting keeps only the words under its item.
