@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhound import refs
+from tallyhound import refs, wording
 from tallyhound.functions import money, text
 from tallyhound.functions.params import RuleSetting
 from tallyhound.operators import clusters, flows, skew
@@ -120,10 +120,9 @@ def threshold(ctx: RuleContext, s: RuleSetting) -> Findings:
     hits = hit_rows(
         found, s.code, "THRESHOLD_BREACH",
         dedup_key=text.transaction_key(s.code, F.col("transaction_id")),
-        explanation=F.concat(
-            F.lit("Transaction "), F.col("transaction_id"), F.lit(" ("), text.money_text(a), F.lit(", "),
-            text.timestamp_text(t), F.lit(") on account "), F.col("account_id"), F.lit(" met or exceeded the "),
-            text.money_text(limit), F.lit(" reporting threshold and is automatically flagged for review.")),
+        explanation=wording.fill(
+            wording.THRESHOLD, txn=F.col("transaction_id"), amount=text.money_text(a), time=text.timestamp_text(t),
+            account=F.col("account_id"), limit=text.money_text(limit)),
         evidence_amount_base=a, evidence_count=F.lit(1), magnitude_ratio=ratio,
         first_ts=t, last_ts=t, anchor_txn_id=F.col("transaction_id"))
     return Findings(hits, _single_evidence(hits, s.code))
@@ -152,20 +151,18 @@ def listed_party(ctx: RuleContext, s: RuleSetting) -> Findings:
     uplift = F.when(place.isNotNull() & (party.isNull() | (place["risk_weight"] >= party["risk_weight"])),
                     place["risk_weight"]).otherwise(party["risk_weight"])
     a, t = F.col("amount_base"), F.col("txn_timestamp")
-    place_text = F.when(place.isNotNull(), F.concat(
-        F.lit("involves "), place["country_name"], F.lit(", listed as "), place["category"], F.lit(" (source: "),
-        F.coalesce(place["source"], F.lit("internal list")), F.lit("). "))).otherwise("")
-    note = F.when(text.is_blank(party["notes"]), "").otherwise(F.concat(F.lit(" — "), party["notes"]))
-    party_text = F.when(party.isNotNull(), F.concat(
-        F.lit("Counterparty '"), party["name"], F.lit("' appears on the "), party["list_type"], F.lit(" watchlist"),
-        note, F.lit(". "))).otherwise("")
+    place_text = F.when(place.isNotNull(), wording.fill(
+        wording.LISTED_PLACE, country=place["country_name"], category=place["category"],
+        source=F.coalesce(place["source"], F.lit(wording.LISTED_PLACE_SOURCE)))).otherwise("")
+    note = F.when(text.is_blank(party["notes"]), "").otherwise(wording.fill(wording.LISTED_NOTE, note=party["notes"]))
+    party_text = F.when(party.isNotNull(), wording.fill(
+        wording.LISTED_PARTY, name=party["name"], kind=party["list_type"], note=note)).otherwise("")
     hits = hit_rows(
         matched, s.code, "JURISDICTION_RISK",
         dedup_key=text.transaction_key(s.code, F.col("transaction_id")),
-        explanation=F.concat(
-            F.lit("Transaction "), F.col("transaction_id"), F.lit(" ("), text.money_text(a), F.lit(", "),
-            text.timestamp_text(t), F.lit(") on account "), F.col("account_id"), F.lit(" "), place_text, party_text,
-            F.lit("Business rule 4 requires an alert regardless of transaction value.")),
+        explanation=wording.fill(
+            wording.LISTED, txn=F.col("transaction_id"), amount=text.money_text(a), time=text.timestamp_text(t),
+            account=F.col("account_id"), place=place_text, party=party_text),
         evidence_amount_base=a, evidence_count=F.lit(1), jurisdiction_uplift=uplift,
         first_ts=t, last_ts=t, anchor_txn_id=F.col("transaction_id"))
     return Findings(hits, _single_evidence(hits, s.code))
@@ -191,12 +188,10 @@ def structuring(ctx: RuleContext, s: RuleSetting) -> Findings:
     low, high = s.money("lowerBound"), s.money("upperBound")
     rows = ctx.ledger.where(money.within(F.col("amount_base"), low, high))
     members = clusters.find_clusters(rows, hours, least, ctx.hot_limit)
-    explain = F.concat(
-        F.col("size").cast("string"), F.lit(" transactions totalling "), text.money_text(F.col("total")),
-        F.lit(" were made on account "), F.col("account_id"), F.lit(f" within {hours} hours ("),
-        text.timestamp_text(F.col("cluster_ts")), F.lit(" to "), text.timestamp_text(F.col("last_ts")),
-        F.lit("). Each fell between "), text.money_text(low), F.lit(" and "), text.money_text(high),
-        F.lit(" — individually below the reporting threshold, consistent with deliberate structuring to avoid it."))
+    explain = wording.fill(
+        wording.STRUCTURING, count=F.col("size").cast("string"), total=text.money_text(F.col("total")), account=F.col("account_id"),
+        hours=hours, start=text.timestamp_text(F.col("cluster_ts")), end=text.timestamp_text(F.col("last_ts")),
+        low=text.money_text(low), high=text.money_text(high))
     return _cluster_findings(members, s, "STRUCTURING", explain)
 
 
@@ -208,11 +203,9 @@ def round_amounts(ctx: RuleContext, s: RuleSetting) -> Findings:
     a = F.col("amount_base")
     rows = ctx.ledger.where(money.at_least(a, floor) & money.is_multiple_of(a, unit))
     members = clusters.find_clusters(rows, hours, least, ctx.hot_limit)
-    explain = F.concat(
-        F.col("size").cast("string"), F.lit(" transactions on account "), F.col("account_id"),
-        F.lit(f" within {hours} hours were exact multiples of "), text.money_text(unit), F.lit(", totalling "),
-        text.money_text(F.col("total")), F.lit(". Repeated round-number amounts suggest values chosen rather "
-                                               "than arising from genuine commercial activity."))
+    explain = wording.fill(
+        wording.ROUND_AMOUNTS, count=F.col("size").cast("string"), account=F.col("account_id"), hours=hours,
+        unit=text.money_text(unit), total=text.money_text(F.col("total")))
     return _cluster_findings(members, s, "ROUND_AMOUNT", explain)
 
 
@@ -230,13 +223,10 @@ def rapid_movement(ctx: RuleContext, s: RuleSetting) -> Findings:
     hits = hit_rows(
         found, s.code, "LAYERING",
         dedup_key=text.anchor_key(s.code, F.col("account_id"), F.col("transaction_id")),
-        explanation=F.concat(
-            text.percent_text(F.col("ratio")), F.lit(" of a "), text.money_text(F.col("deposit_amount")),
-            F.lit(" deposit (transaction "), F.col("transaction_id"), F.lit(" received "), text.timestamp_text(t),
-            F.lit(") left account "), F.col("account_id"), F.lit(f" within {hours} hours, across "),
-            F.col("outflow_count").cast("string"), F.lit(" outbound transaction(s) totalling "),
-            text.money_text(F.col("outflow_total")),
-            F.lit(". Funds passing straight through an account is consistent with layering.")),
+        explanation=wording.fill(
+            wording.RAPID_MOVEMENT, share=text.percent_text(F.col("ratio")), amount=text.money_text(F.col("deposit_amount")),
+            txn=F.col("transaction_id"), time=text.timestamp_text(t), account=F.col("account_id"), hours=hours,
+            count=F.col("outflow_count").cast("string"), total=text.money_text(F.col("outflow_total"))),
         evidence_amount_base=F.col("outflow_total"), evidence_count=F.col("outflow_count") + 1,
         magnitude_ratio=money.divide_half_up(F.col("ratio"), needed_col, 4, scale=6),
         first_ts=t, last_ts=t + clusters._hours(hours), anchor_txn_id=F.col("transaction_id"))
@@ -294,12 +284,10 @@ def deviation(ctx: RuleContext, s: RuleSetting) -> Findings:
     hits = hit_rows(
         found, s.code, "BEHAVIOURAL_ANOMALY",
         account_id=F.col("first.account_id"), dedup_key=key,
-        explanation=F.concat(
-            F.lit("Customer "), F.col("customer_id"), F.lit(" transacted "), text.money_text(F.col("total_base")),
-            F.lit(" across "), F.col("txn_count").cast("string"), F.lit(" transaction(s) on "), F.col("day").cast("string"),
-            F.lit(" — "), text.multiplier_text(F.col("multiple")), F.lit(f" their {days}-day rolling average of "),
-            text.money_text(F.col("average")),
-            F.lit(" per day. A sudden departure from an established pattern is a behavioural indicator of account misuse.")),
+        explanation=wording.fill(
+            wording.DEVIATION, customer=F.col("customer_id"), total=text.money_text(F.col("total_base")),
+            count=F.col("txn_count").cast("string"), day=F.col("day").cast("string"), multiple=text.multiplier_text(F.col("multiple")),
+            days=days, average=text.money_text(F.col("average"))),
         evidence_amount_base=F.col("total_base"), evidence_count=F.col("cited"),
         magnitude_ratio=money.divide_half_up(F.col("multiple"), multiplier, 4, scale=4),
         anchor_txn_id=F.col("first.transaction_id"))
