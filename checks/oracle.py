@@ -52,8 +52,7 @@ def ref(prefix: str, at: str, key: str) -> str:
 
 
 def national_id(c: str) -> str:
-    h = f"list_reduce(list_prepend(0::BIGINT, list_transform(string_split({c}, ''), lambda x: CAST(unicode(x) AS BIGINT))), lambda h, x: (h * 31 + x) % 4294967296)"
-    return f"(SELECT 'IDN' || lpad(CAST(a % 10000 AS VARCHAR), 4, '0') || lpad(CAST((a // 10000) % 10000 AS VARCHAR), 4, '0') FROM (SELECT CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END AS a FROM (SELECT {h} AS h)))"
+    return f"'IDN' || lpad(CAST(CAST('0x' || left(sha256({c}), 12) AS BIGINT) % 100000000 AS VARCHAR), 8, '0')"
 
 
 FX = f"fx(currency, rate) AS (SELECT c, CAST(r AS DECIMAL(18,8)) FROM (VALUES {_values(refs.FX_RATES)}) v(c, r))"

@@ -227,15 +227,9 @@ def readable_ref(prefix: str, at: Column, key: Column) -> Column:
 
 
 def stand_in_national_id(customer_id: Column) -> Column:
-    """`IDN` and eight digits from a 31-based rolling hash of the id's characters."""
-    rolled = F.aggregate(
-        F.filter(F.split(customer_id, ""), lambda ch: ch != ""), F.lit(0).cast("long"),
-        lambda h, ch: F.pmod(h * 31 + F.ascii(ch), F.lit(4294967296)))
-    size = F.when(rolled >= 2147483648, F.lit(4294967296) - rolled).otherwise(rolled)
-    digits = F.concat(
-        F.lpad((size % 10000).cast("string"), 4, "0"),
-        F.lpad((F.floor(size / 10000) % 10000).cast("string"), 4, "0"))
-    return F.when(customer_id.isNotNull(), F.concat(F.lit("IDN"), digits))
+    """`IDN` and eight digits of a hash of the id. The value carries no meaning."""
+    number = F.conv(F.left(F.sha2(customer_id, 256), F.lit(12)), 16, 10).cast("long")
+    return F.concat(F.lit("IDN"), F.lpad((number % 100_000_000).cast("string"), 8, "0"))
 
 
 # --- lists and JSON --------------------------------------------------------

@@ -36,6 +36,11 @@ class RuleContext:
     watchlist: DataFrame | None = None
     fresh: DataFrame | None = None
     hot_limit: int | None = None
+    # Stores what hits and evidence are both made of; without it each is computed by itself.
+    keep: Callable[[DataFrame], DataFrame] | None = None
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        return self.keep(df) if self.keep else df
 
     @property
     def current(self) -> DataFrame:
@@ -168,7 +173,8 @@ def listed_party(ctx: RuleContext, s: RuleSetting) -> Findings:
     return Findings(hits, _single_evidence(hits, s.code))
 
 
-def _cluster_findings(members: DataFrame, s: RuleSetting, typology: str, explain) -> Findings:
+def _cluster_findings(ctx: RuleContext, members: DataFrame, s: RuleSetting, typology: str, explain) -> Findings:
+    members = ctx.kept(members)
     key = text.account_day_key(s.code, F.col("account_id"), F.col("cluster_ts"))
     grouped = clusters.summarise(members)
     least = F.lit(s.params["minCount"]).cast("decimal(18,2)")
@@ -192,7 +198,7 @@ def structuring(ctx: RuleContext, s: RuleSetting) -> Findings:
         wording.STRUCTURING, count=F.col("size").cast("string"), total=text.money_text(F.col("total")), account=F.col("account_id"),
         hours=hours, start=text.timestamp_text(F.col("cluster_ts")), end=text.timestamp_text(F.col("last_ts")),
         low=text.money_text(low), high=text.money_text(high))
-    return _cluster_findings(members, s, "STRUCTURING", explain)
+    return _cluster_findings(ctx, members, s, "STRUCTURING", explain)
 
 
 @rule("ROUND_AMOUNT_PATTERN", "ROUND_AMOUNT", ACCOUNT_WINDOW)
@@ -206,7 +212,7 @@ def round_amounts(ctx: RuleContext, s: RuleSetting) -> Findings:
     explain = wording.fill(
         wording.ROUND_AMOUNTS, count=F.col("size").cast("string"), account=F.col("account_id"), hours=hours,
         unit=text.money_text(unit), total=text.money_text(F.col("total")))
-    return _cluster_findings(members, s, "ROUND_AMOUNT", explain)
+    return _cluster_findings(ctx, members, s, "ROUND_AMOUNT", explain)
 
 
 @rule("RAPID_MOVEMENT", "LAYERING", ACCOUNT_WINDOW)
@@ -217,8 +223,8 @@ def rapid_movement(ctx: RuleContext, s: RuleSetting) -> Findings:
     deposits = flows.outflow_after_deposits(
         ctx.ledger, credit & money.at_least(F.col("amount_base"), s.money("minDepositBase")), debit, hours, ctx.hot_limit)
     needed_col = F.lit(needed).cast("decimal(9,6)")
-    found = deposits.withColumn(
-        "ratio", money.divide_half_up(F.col("outflow_total"), F.col("deposit_amount"), 6)).where(F.col("ratio") >= needed_col)
+    found = ctx.kept(deposits.withColumn(
+        "ratio", money.divide_half_up(F.col("outflow_total"), F.col("deposit_amount"), 6)).where(F.col("ratio") >= needed_col))
     t = F.col("txn_timestamp")
     hits = hit_rows(
         found, s.code, "LAYERING",
@@ -279,7 +285,7 @@ def deviation(ctx: RuleContext, s: RuleSetting) -> Findings:
     touched = ctx.current.groupBy("customer_id", F.to_date("txn_timestamp").alias("day")).agg(
         F.min(F.struct("account_id", "txn_timestamp", "transaction_id")).alias("first"),
         F.count(F.lit(1)).alias("cited"))
-    found = scored.join(touched, ["customer_id", "day"])
+    found = ctx.kept(scored.join(touched, ["customer_id", "day"]))
     key = text.customer_day_key(s.code, F.col("customer_id"), F.col("day"))
     hits = hit_rows(
         found, s.code, "BEHAVIOURAL_ANOMALY",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import logging
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -14,6 +15,7 @@ from tallyhound.functions.params import RuleSetting
 from tallyhound.operators import rules
 from tallyhound.plans.store import write_batch
 from tallyhound.schemas import EVIDENCE_DDL, HIT_DDL
+from tallyhound.session import cut_lineage
 
 log = logging.getLogger(__name__)
 
@@ -32,6 +34,7 @@ def run_detection(contexts: rules.RuleContext | dict[str, rules.RuleContext], se
     the findings of the others are kept. `contexts` may differ by rule scope."""
     if isinstance(contexts, rules.RuleContext):
         contexts = {scope: contexts for scope in rules.SCOPES}
+    contexts = {scope: dataclasses.replace(c, keep=cut_lineage) for scope, c in contexts.items()}
     began = time.monotonic()
 
     def run_rule(r: rules.Rule) -> int | None:
