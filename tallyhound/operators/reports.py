@@ -11,6 +11,8 @@ from tallyhound.functions import text
 from tallyhound.refs import inline
 from tallyhound.schemas import DISPOSITIONS
 
+# Disposed alerts a rule needs before its quality is reported, and the columns of the
+# customer views below.
 MIN_SAMPLE = 20
 
 

@@ -7,10 +7,10 @@ from tallyhound.functions.params import load_settings
 from tallyhound.operators import rules
 from tallyhound.schemas import LEDGER_COLUMNS, LEDGER_DDL
 
-BASE = datetime(2026, 9, 18, 9, 0)
+BASE = datetime(2025, 3, 11, 7, 30)
 
 
-def txn(tid, amount, hours=0.0, direction="CREDIT", account="ACC_000001", customer="CUST_00001", country="IN", party="Someone", at=None):
+def txn(tid, amount, hours=0.0, direction="CREDIT", account="ACC_K7", customer="CUST_K7", country="IN", party="Someone", at=None):
     value = Decimal(str(amount))
     row = dict.fromkeys(LEDGER_COLUMNS)
     row.update(transaction_id=tid, account_id=account, customer_id=customer, txn_timestamp=at or BASE + timedelta(hours=hours), direction=direction,

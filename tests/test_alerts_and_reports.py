@@ -134,7 +134,7 @@ def prose(r):
 def test_narrative_essentials(spark):
     text = prose(reports_for(spark))
     assert text.startswith("Test Bank is reporting suspicious activity identified on ACC_1 held by Ann Lee (customer reference C1).")
-    assert "system on 18 Sep 2026 and comprises 2 transaction(s) with an aggregate value of INR 1,334.50." in text
+    assert "system on 11 Mar 2025 and comprises 2 transaction(s) with an aggregate value of INR 1,334.50." in text
     assert "SUBJECT: Ann Lee, national identifier IDN1, date of birth 1980-01-02, resident at Pune, IN, 411. The customer has been" in text
     assert "since an unrecorded date and is classified high risk with KYC status VERIFIED." in text
     assert "typology: structuring." in text and "the finding set out above" in text and "POLITICALLY" not in text
@@ -143,7 +143,7 @@ def test_narrative_essentials(spark):
 
 def test_narrative_variants(spark):
     text = prose(reports_for(spark, pep=True, findings=3, days=2))
-    assert "between 18 Sep 2026 and 20 Sep 2026" in text and "POLITICALLY EXPOSED PERSON" in text
+    assert "between 11 Mar 2025 and 13 Mar 2025" in text and "POLITICALLY EXPOSED PERSON" in text
     assert "typologies: structuring, threshold breach." in text and "the 3 findings set out above, taken together" in text
     assert text.index("ALT-0") < text.index("ALT-1") < text.index("ALT-2")
     assert "identified on accounts held at this institution held by" in prose(reports_for(spark, with_accounts=False))
@@ -163,6 +163,6 @@ def test_text_whole_in_any_number_of_volumes(spark):
     one, = sar.volumes(sar.rendered(r)).collect()
     parts = sar.volumes(sar.rendered(r), limit=3).orderBy("volume").collect()
     assert len(parts) > 2 and "".join(p["text"] for p in parts) == one["text"]
-    assert "T1                     18 Sep 2026 09:00 CREDIT            100.00  Bob (IR)\n" in one["text"]
+    assert "T1                     11 Mar 2025 07:30 CREDIT            100.00  Bob (IR)\n" in one["text"]
     assert "DEBIT            1234.50  —\n" in one["text"]
     assert "TRANSACTION SCHEDULE (2 line(s))\n" in one["text"] and one["text"].endswith("Source alerts: ALT-0, ALT-1\n")

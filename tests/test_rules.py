@@ -42,14 +42,15 @@ def test_structuring_band(spark, amount, fires):
     assert len(hits(spark, "STRUCTURING", [txn(f"T{i}", amount, i) for i in range(3)])) == fires
 
 
-def test_five_make_one_cluster(spark):
-    rows = [txn(f"T{i}", 9100 + 100 * i, 2 * i) for i in range(5)]
+def test_many_make_one_cluster(spark):
+    amounts = ["9042.10", "9871.55", "9310.00", "9666.66", "9199.01", "9500.50"]
+    rows = [txn(f"S{i}", a, 3.75 * i) for i, a in enumerate(amounts)]
     found = find(spark, "STRUCTURING", rows)
     hit, = found.hits.collect()
-    assert (hit["evidence_count"], hit["evidence_amount_base"], hit["magnitude_ratio"]) == (5, D("46500.00"), D("1.6667"))
-    assert hit["dedup_key"] == "STRUCTURING|ACCT|ACC_000001|2026-09-18"
-    assert hit["explanation"].startswith("5 transactions totalling INR 46,500.00 were made on account ACC_000001 within 24 hours")
-    assert sorted(r["transaction_id"] for r in found.evidence.collect()) == [f"T{i}" for i in range(5)]
+    assert (hit["evidence_count"], hit["evidence_amount_base"], hit["magnitude_ratio"]) == (6, sum(map(D, amounts)), D("2.0000"))
+    assert hit["dedup_key"] == "STRUCTURING|ACCT|ACC_K7|2025-03-11"
+    assert hit["explanation"].startswith("6 transactions totalling INR 56,589.82 were made on account ACC_K7 within 24 hours")
+    assert sorted(r["transaction_id"] for r in found.evidence.collect()) == [f"S{i}" for i in range(6)]
 
 
 # --- rapid movement --------------------------------------------------------
@@ -62,8 +63,8 @@ def outflow(total, parts=1, start=1.0):
 def test_rapid_ratio(spark):
     assert len(hits(spark, "RAPID_MOVEMENT", outflow(79000))) == 0
     hit, = hits(spark, "RAPID_MOVEMENT", outflow(80000))
-    assert (hit["dedup_key"], hit["magnitude_ratio"], hit["evidence_amount_base"]) == ("RAPID_MOVEMENT|ANCH|ACC_000001|DEP", D("1.0000"), D("80000.00"))
-    assert hit["explanation"].startswith("80.0% of a INR 100,000.00 deposit (transaction DEP received 18 Sep 2026 09:00) left account")
+    assert (hit["dedup_key"], hit["magnitude_ratio"], hit["evidence_amount_base"]) == ("RAPID_MOVEMENT|ANCH|ACC_K7|DEP", D("1.0000"), D("80000.00"))
+    assert hit["explanation"].startswith("80.0% of a INR 100,000.00 deposit (transaction DEP received 11 Mar 2025 07:30) left account")
 
 
 def test_rapid_window_floor_and_order(spark):
@@ -103,8 +104,8 @@ def history(daily, last, days=90):
 def test_behaviour_multiplier_is_strict(spark):
     assert hits(spark, "BEHAVIORAL_DEVIATION", history(10000, 30000)) == []
     hit, = hits(spark, "BEHAVIORAL_DEVIATION", history(10000, 30001))
-    assert hit["dedup_key"] == "BEHAVIORAL_DEVIATION|CUST|CUST_00001|2026-09-18" and hit["account_id"] == "ACC_000001"
-    assert "transacted INR 30,001.00 across 1 transaction(s) on 2026-09-18 — 3.0x their 90-day rolling average of INR 10,000.00 per day" in hit["explanation"]
+    assert hit["dedup_key"] == "BEHAVIORAL_DEVIATION|CUST|CUST_K7|2025-03-11" and hit["account_id"] == "ACC_K7"
+    assert "transacted INR 30,001.00 across 1 transaction(s) on 2025-03-11 — 3.0x their 90-day rolling average of INR 10,000.00 per day" in hit["explanation"]
 
 
 def test_behaviour_guards(spark):
