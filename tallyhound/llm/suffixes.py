@@ -65,7 +65,9 @@ def anchors(texts: pa.Array, match: int = MATCH, width: int = KEY) -> dict[str,
     fingerprint of their first `width`; and `ctx`, a fingerprint of all bytes of those strings and of
     its place in them."""
     data, ends = raw_bytes(texts)
-    if len(data) < match:
+    size = np.diff(ends)
+    count = np.maximum(size - match + 1, 0)
+    if not count.any():
         return {n: np.zeros(0, U if n in ("key", "ctx") else np.int64) for n in ("text", "at", "lo", "hi", "key", "ctx")}
     prints = Fingerprints(data)
     place = np.arange(len(data) - width + 1)
@@ -73,8 +75,6 @@ def anchors(texts: pa.Array, match: int = MATCH, width: int = KEY) -> dict[str,
     low = U((1 << int(len(data)).bit_length()) - 1)
     least = least_ahead((fp & ~low) | place.astype(U), match - width + 1) & low
     # Strings that lie within one text.
-    size = np.diff(ends)
-    count = np.maximum(size - match + 1, 0)
     first = np.repeat(ends[:-1], count)
     start = first + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     text = np.repeat(np.arange(len(size)), count)

@@ -194,3 +194,14 @@ def test_stages_take_awkward_rows(spark, odd, nothing, sf):
 
 def test_run_returns_the_packing(spark, sf):
     assert corpus_pipeline.run(spark, sf).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+@pytest.mark.parametrize("texts", [[], [""], ["short"] * 100, ["x" * 150, "y" * 150], ["z" * 200], ["é" * 100, "a"]])
+def test_anchors_of_any_batch(texts):
+    import pyarrow as pa
+
+    from tallyhound.llm import suffixes
+    a = suffixes.anchors(pa.array(texts, pa.string()))
+    starts = {(t, s) for t, lo, hi in zip(a["text"], a["lo"], a["hi"]) for s in range(lo, hi + 1)}
+    assert starts == {(i, s) for i, t in enumerate(texts) for s in range(len(t.encode()) - 199)}
+    assert ((a["lo"] <= a["at"]) & (a["at"] + suffixes.KEY <= a["lo"] + suffixes.MATCH)).all() and (a["hi"] <= a["at"]).all()
