@@ -281,6 +281,12 @@ ORACLE["src_transactions"] = f"""WITH {_DIRTY} SELECT row_number, nullif(trim(tr
   CAST(NULL AS VARCHAR) AS customer_id, txn_timestamp, amount_text AS amount, CASE WHEN e % 6 = 0 THEN 'INR' ELSE currency END AS currency,
   nullif(trim(counterparty_country), '') AS counterparty_country, CAST(NULL AS VARCHAR) AS status FROM dirty"""
 
+_FILE = "nullif(trim({0}), '') AS {0}"
+ORACLE["src_csv_files"] = f"""WITH {_DIRTY}, t AS (SELECT {_FILE.format('transaction_id')}, {_FILE.format('account_id')}, txn_timestamp, amount_text AS amount, currency,
+  {_FILE.format('counterparty_country')} FROM dirty) SELECT *, count(*) AS rows, count(*) AS numbers FROM t GROUP BY ALL"""
+for _name in ("src_json_files", "src_json_stream"):
+    ORACLE[_name] = f"""WITH {_DIRTY} SELECT transaction_id, account_id, txn_timestamp, amount_text AS amount, currency, counterparty_country, 'POSTED' AS status FROM dirty"""
+
 _JSON = f"""{_DIRTY}, asked AS (SELECT * REPLACE (
     CASE WHEN e % 61 = 1 THEN repeat('X', 41) ELSE transaction_id END AS transaction_id,
     CASE WHEN e % 61 = 2 THEN repeat('A', 33) ELSE account_id END AS account_id, CASE WHEN e % 61 = 3 THEN 'deposit' WHEN e % 2 = 0 THEN 'Credit' ELSE 'DEBIT' END AS way,

@@ -243,6 +243,39 @@ def _json_requests(spark: SparkSession, sf: str) -> DataFrame:
     return files.json_to_raw_transactions(parsed)
 
 
+_FILE_COLUMNS = ["transaction_id", "account_id", "txn_timestamp", "amount", "currency", "counterparty_country"]
+
+
+@query
+def src_csv_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed written as CSV files with other headers and read back."""
+    rows = sd.dirty_transactions(spark, sf).select(
+        "transaction_id", "account_id", F.col("txn_timestamp").alias("Transaction_Date"), "amount", "currency", F.col("counterparty_country").alias(" COUNTERPARTY_COUNTRY "))
+    path = sc.written_files(spark, sf, "csv", lambda p: rows.write.option("header", True).option("quoteAll", True).csv(p))
+    raw = files.to_raw_transactions(files.read_csv(spark, path))
+    return raw.groupBy(*_FILE_COLUMNS).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("row_number").alias("numbers"))
+
+
+def _json_path(spark: SparkSession, sf: str) -> str:
+    body = F.to_json(F.struct(*[F.col(c).alias(f) for f, c in files.JSON_FIELDS.items()]))
+    return sc.written_files(spark, sf, "json", lambda p: sd.dirty_transactions(spark, sf).select(body).write.text(p))
+
+
+@query
+def src_json_files(spark: SparkSession, sf: str) -> DataFrame:
+    return files.read_json(spark, _json_path(spark, sf)).select(*_FILE_COLUMNS, "status")
+
+
+@query
+def src_json_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files as a stream, two files a micro-batch."""
+    rows = files.stream_json(spark, _json_path(spark, sf), 2)
+    out = work_folder(spark, "json-stream")
+    rows.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/rows").select(*_FILE_COLUMNS, "status")
+
+
 @query
 def val_json_requests(spark: SparkSession, sf: str) -> DataFrame:
     done = ingest(_json_requests(spark, sf), sd.accounts(spark, sf), refs.fx_rates(spark), sc.AS_OF, strict=True)

@@ -74,6 +74,16 @@ def stored_job(spark: SparkSession, sf: str) -> str:
     return _tables[key]
 
 
+def written_files(spark: SparkSession, sf: str, kind: str, write) -> str:
+    """Folder of files that `write` made once per session."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _tables:
+        path = work_folder(spark, kind)
+        write(path)
+        _tables[key] = path
+    return _tables[key]
+
+
 def stored_masters(spark: SparkSession, sf: str, customers: DataFrame, accounts: DataFrame) -> str:
     key = (spark.sparkContext.applicationId, sf, "masters")
     if key not in _tables:
