@@ -26,10 +26,11 @@ from tallyhound.llm.common import reach_workers, stored, whole
 
 LIMIT = 2048
 END = b"\0\0\0\0"
-# Words a worker remembers, in each of its three stores.
-REMEMBERED = 300_000
+# Words a worker remembers for good, and in each of two stores that end with the task.
+KNOWN = 250_000
+RECENT = 120_000
 # Texts tokenised together.
-TOGETHER = 1_000
+TOGETHER = 500
 # Punctuation that may close a word and is cut off it as one part.
 CLOSING = "!.,|#$%&*:;"
 # Rows of one numbering group.
@@ -47,8 +48,8 @@ class WordTokenizer:
     """Token ids of texts as little-endian bytes.
 
     The tokenizer never joins characters across white space, so ids of a text are the ids of its
-    blank-separated words, which are remembered: the first words for good, later ones until that
-    store is full. Words made of letters and closing punctuation are looked up by their letters.
+    blank-separated words, which are remembered: the first words for good, later ones until their
+    store is full or the task ends. Words made of letters and closing punctuation are looked up by their letters.
     """
 
     def __init__(self, path: str):
@@ -87,16 +88,20 @@ class WordTokenizer:
             found[w] = ids
         if plain:
             found.update(zip(plain, self.encode(plain)))
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > RECENT:
             self.parts.clear()
-        if len(self.known) < REMEMBERED:
+        if len(self.known) < KNOWN:
             self.known.update(found)
         else:
-            if len(recent) > REMEMBERED:
+            if len(recent) > RECENT:
                 recent.clear()
             recent.update(found)
         return found
 
+    def forget(self) -> None:
+        self.recent.clear()
+        self.parts.clear()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         split = [None if any(c in t for c in ODD_BLANKS) else t.split() for t in texts]
         seen: set[str] = set()
@@ -150,6 +155,7 @@ def pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, id_col: str = "d
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(row, pa.int64())), pa.array(nth, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc, order)]],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "order_key"])
+        tok.forget()
 
     return d.mapInArrow(cut, PIECES.format(d.schema["_id"].dataType.simpleString()))
 
