@@ -1,8 +1,8 @@
 """Line dedup by pairwise alignment.
 
-Documents that share rare lines overlap. Each line's holders are paired with its first holder only, so
-there are at most as many pairs as lines, however often a line occurs. A pair counts as overlapping
-where it shares a rare line or several lines. Overlapping documents are aligned by patience diff, and
+Documents that share a line overlap. Each line's holders are paired with its first holder only, so
+there are at most as many pairs as lines, however often a line occurs, and every pair counts: the
+result of two documents does not depend on how many others hold the line. Overlapping documents are aligned by patience diff, and
 blocks of consecutive aligned lines are deleted from the later one; the first holder of a line keeps it.
 
 "Later" is by id, then by a fingerprint of the text. Defined cases: a null text is empty and stays so; a row
@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 
 from tallyhound.llm.common import reach_workers, stored, whole
 
-# A line is rare if at most so many documents hold it. Others pair documents only together.
-RARE = 100
 # Characters of a line that can pair documents, and of a block that is deleted, at least.
 LEAST_LINE = 16
 LEAST_BLOCK = 50
@@ -87,7 +85,7 @@ def blocks(aligned: list[tuple[int, int]], sizes: Sequence[int], least: int = LE
     return out + (run if total >= least else [])
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE,
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            least_line: int = LEAST_LINE, least_block: int = LEAST_BLOCK) -> DataFrame:
     """`d` (fingerprint of id and text) and `gone` (positions of its deleted lines), only for documents that lose any."""
     t = whole(docs, id_col, text_col).select("_id", F.xxhash64("_id", "_text").alias("d"), F.split("_text", "\n").alias("ls"))
@@ -97,9 +95,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare
     # The distinct above is over (id, d, line): a row that repeats another counts once.
     # Written first: adaptive execution splits a hot line only between two plain shuffles.
     holders = stored(held.groupBy("h").agg(F.min(F.struct("_id", "d")).alias("first"), F.count(F.lit(1)).alias("df")).where("df > 1").select(
-        F.col("h").alias("fh"), F.col("first.d").alias("f"), "df"), "first-holders")
-    pairs = stored(held.join(holders, F.col("h") == F.col("fh")).where("d <> f").groupBy("d", "f").agg(
-        F.count(F.lit(1)).alias("shared"), F.min("df").alias("rarest")).where((F.col("rarest") <= rare) | (F.col("shared") > 1)).select(F.col("d").alias("pd"), "f"), "pairs")
+        F.col("h").alias("fh"), F.col("first.d").alias("f")), "first-holders")
+    pairs = stored(held.join(holders, F.col("h") == F.col("fh")).where("d <> f").select(F.col("d").alias("pd"), "f").distinct(), "pairs")
     one = lines.groupBy("d").agg(F.first("h").alias("h"), F.first("n").alias("n"))
     one = stored(one, "line-arrays")
     later = stored(pairs.join(one, F.col("pd") == F.col("d")).select("d", "f", "h", "n"), "later-lines")

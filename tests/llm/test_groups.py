@@ -128,6 +128,17 @@ def test_later_document_loses_the_block(spark):
     assert got == {1: f"start of one\n{shared}", 2: "", 3: "only here in three\nend of three", 4: "alone"}
 
 
+def test_common_lines_go_however_many_hold_them(spark):
+    line = "a line of more than fifty characters that a great many documents hold"
+    head = "a short head"
+    d = spark.createDataFrame([(k, f"start of {k}\n{line}\nend of {k}") for k in range(130)]
+                              + [(k, f"{k} starts\n{head}\na heading that pairs documents\njust a dozen\n{k} ends") for k in range(130, 260)], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in rows(line_align.remove(d).select("row.doc_id", "kept"))}
+    assert line in got[0] and head in got[130]
+    assert all(got[k] == f"start of {k}\nend of {k}" for k in range(1, 130))
+    assert all(got[k] == f"{k} starts\n{k} ends" for k in range(131, 260)), "one line that pairs, the rest of the block shorter"
+
+
 def test_lines_in_awkward_rows(odd, nothing):
     r = rows(line_align.remove(odd).select("row.doc_id", "row.text", "kept"))
     assert len(r) == odd.count() and all(x["kept"] == (x["text"] or "") for x in r if x["doc_id"] != 6)
