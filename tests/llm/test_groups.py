@@ -1,9 +1,11 @@
 """Operators that compare documents: repeats, lines, near duplicates, benchmark items, and the pipeline."""
 
 import hashlib
+import random
 from collections import Counter, defaultdict
 
 import plain
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +141,42 @@ def test_common_lines_go_however_many_hold_them(spark):
     assert all(got[k] == f"{k} starts\n{k} ends" for k in range(131, 260)), "one line that pairs, the rest of the block shorter"
 
 
+def test_block_of_lines_with_other_first_holders(spark):
+    one, two = "first line of a common block", "second line of a common block"
+    short = "\n".join(f"item {k} of them" for k in range(5))
+    d = spark.createDataFrame([
+        (1, f"unrelated\n{one}\nmore"), (2, f"other\n{two}\nless"), (3, f"three\n{one}\n{two}\nthree ends"), (4, f"four\n{one}\n{two}\nfour ends"),
+        (5, f"five\n{short}\n\nfive ends"), (6, f"six\n\n{short}\nsix ends"), (7, "\n" * 90 + " " * 90 + "\n"), (8, "8\n" + " " * 90 + "\n" * 90)], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept"] for r in rows(line_align.remove(d).select("row.doc_id", "kept"))}
+    want = {r["doc_id"]: r["text"] for r in rows(d)} | {4: "four\nfour ends", 6: "six\n\nsix ends"}
+    assert got == want
+
+
+def test_stretch_without_unique_lines_is_aligned(spark):
+    assert line_align.patience("upqv", "pqxpq") == [(1, 0), (2, 1)]
+    assert line_align.patience("uLpppv", "pppLLpp", [1, 60, 0, 0, 0, 1]) == [(1, 4), (2, 5), (3, 6)]
+    block = "one line of the block held twice\nanother line of the block held twice"
+    d = spark.createDataFrame([(1, f"{block}\nbetween them\n{block}"), (2, f"start of two\n{block}\nend of two")], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept"] for r in rows(line_align.remove(d).select("row.doc_id", "kept"))}[2] == "start of two\nend of two"
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_runs_match_plain_python(seed):
+    r = random.Random(seed)
+    texts = [[r.choice(["", " ", " " * 30, "}", "ab" * 9, "cd" * 30]) for _ in range(r.randrange(1, 30))] for _ in range(20)]
+    number = {s: r.getrandbits(63) for t in texts for s in t}
+    row, key = line_align.runs(*(pa.array([[f(s) for s in t] for t in texts]) for f in (number.get, len, lambda s: bool(s.strip()))), 16, 50)
+    want = []
+    for k, t in enumerate(texts):
+        for i in range(len(t)):
+            for e in range(i + 1, len(t) + 1):
+                if sum(map(len, t[i:e])) >= 50 and any(s.strip() for s in t[i:e]):
+                    want += [(k, tuple(t[i:e]))] if e > i + 1 else []
+                    break
+    assert row.tolist() == [k for k, _ in want]
+    assert len(set(key.tolist())) == len({w for _, w in want}) == len(set(zip(key.tolist(), [w for _, w in want])))
+
+
 def test_lines_in_awkward_rows(odd, nothing):
     r = rows(line_align.remove(odd).select("row.doc_id", "row.text", "kept"))
     assert len(r) == odd.count() and all(x["kept"] == (x["text"] or "") for x in r if x["doc_id"] != 6)
