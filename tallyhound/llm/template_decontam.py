@@ -4,7 +4,8 @@ Texts become templates: numbers, names (capitals within a sentence) and units ar
 placeholders. Windows of eight template words of the benchmark are hash-joined with every fourth window
 of the documents, so any shared run of eleven words meets. For each meeting the whole item is laid
 over the document at that place: `coverage` is the share of its template words that agree, and the slots
-must be consistent, that is, every value in the item's slots stands for one value in the document's. So
+must be consistent, that is, every value in the item's slots stands for one value in the document's. Each place
+is read by itself, and for items split by an insertion several together; one reading that passes is enough. So
 a question with other numbers and names is found as well as a verbatim one.
 
 Defined cases: null and empty texts match nothing, on either side; items with fewer than `window` words
@@ -98,15 +99,29 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     same = F.expr("""
         filter(transform(t, (x, i) -> named_struct('i', i, 'j', i + least(shift, 0))),
                p -> p.j >= 0 AND p.j < size(dt) AND dt[p.j] = t[p.i])""")
-    agreed = over.select("_id", "d", "item_id", "q", F.size("t").alias("n"), F.explode(F.transform(same, lambda p: F.struct(
-        p["i"].alias("i"), F.get("raw", p["i"]).alias("a"), F.get("dw", p["j"]).alias("b"), is_slot(F.get("t", p["i"])).alias("slot")))).alias("p"))
+    same = F.transform(same, lambda p: F.struct(
+        p["i"].alias("i"), F.get("raw", p["i"]).alias("a"), F.get("dw", p["j"]).alias("b"), is_slot(F.get("t", p["i"])).alias("slot")))
+    # Each place laid by itself, at one shift; items split by an insertion are read over several: those within half
+    # an item of each other share one of two ranges of its length, farther ones only the whole document.
+    single = over.select("_id", "d", "item_id", "q", "shift", F.size("t").alias("n"), same.alias("p"))
+    key = ["_id", "d", "item_id", "q", "n"]
+    slots = F.filter("p", lambda p: p["slot"])
+    one = single.select(
+        *key, F.size("p").alias("k"), F.size(slots).alias("slots"),
+        F.size(F.array_distinct(F.transform(slots, lambda p: p["a"]))).alias("values"),
+        F.size(F.array_distinct(F.transform(slots, lambda p: F.struct(p["a"], p["b"])))).alias("mapped"),
+        F.size(F.filter(slots, lambda p: p["a"] != p["b"])).alias("changed"))
+    spread = F.array(
+        F.struct(F.lit(0).alias("part"), F.floor(F.col("shift") / F.col("n")).alias("range")),
+        F.struct(F.lit(1), F.floor(F.col("shift") / F.col("n") + 0.5)), F.struct(F.lit(2), F.lit(0).cast("long")))
+    agreed = single.select(*key, F.explode("p").alias("p"), spread.alias("g")).select(*key, "p", F.explode("g").alias("g"))
     # One place may agree at several shifts; the first reading in order of value counts.
-    place_ = agreed.groupBy("_id", "d", "item_id", "q", "n", "p.i").agg(F.min(F.struct("p.a", "p.b", "p.slot")).alias("p"))
+    place_ = agreed.groupBy(*key, "g", "p.i").agg(F.min(F.struct("p.a", "p.b", "p.slot")).alias("p"))
     value = F.when(F.col("p.slot"), F.col("p.a"))
-    out = place_.groupBy("_id", "d", "item_id", "q", "n").agg(
+    merged = place_.groupBy(*key, "g").agg(
         F.count(F.lit(1)).alias("k"), F.sum(F.col("p.slot").cast("int")).alias("slots"), F.count_distinct(value).alias("values"),
         F.count_distinct(F.when(F.col("p.slot"), F.struct("p.a", "p.b"))).alias("mapped"),
-        F.sum((F.col("p.slot") & (F.col("p.a") != F.col("p.b"))).cast("int")).alias("changed"))
-    return out.where((F.col("k") >= coverage * F.col("n")) & (F.col("mapped") == F.col("values"))).groupBy(
-        F.col("_id").alias("doc_id"), "d", "item_id").agg(
-        F.max(F.col("k") / F.col("n")).alias("coverage"), F.max("slots").alias("slots"), F.min("changed").alias("changed"))
+        F.sum((F.col("p.slot") & (F.col("p.a") != F.col("p.b"))).cast("int")).alias("changed")).drop("g")
+    out = one.unionByName(merged).where((F.col("k") >= coverage * F.col("n")) & (F.col("mapped") == F.col("values")))
+    return out.groupBy(F.col("_id").alias("doc_id"), "d", "item_id").agg(
+        F.max(F.col("k") / F.col("n")).alias("coverage"), F.max("slots").cast("long").alias("slots"), F.min("changed").cast("long").alias("changed"))

@@ -202,6 +202,15 @@ def test_templates_catch_other_values(spark):
     assert template_decontam.find(d.limit(0), q).count() == 0 and template_decontam.find(d, q.limit(0)).count() == 0
 
 
+def test_other_question_of_the_template_does_not_clear_a_document(spark):
+    def ask(x, y):
+        return f"a farmer sells {x} eggs on monday morning and later buys back {y} eggs from the old shop near the river"
+    d = spark.createDataFrame([(1, ask(80, 80) + ". " + ask(12, 95)), (2, ask(12, 95) + ". and now. " + ask(80, 80)), (3, ask(12, 95))], "doc_id long, text string")
+    q = spark.createDataFrame([(1, ask(80, 80))], "item_id long, text string")
+    got = {(r["doc_id"], r["coverage"], r["slots"], r["changed"]) for r in rows(template_decontam.find(d, q))}
+    assert got == {(1, 1.0, 2, 0), (2, 1.0, 2, 0)}
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_every_planted_item_is_found(spark, docs, sf, monkeypatch, few):
     monkeypatch.setattr(template_decontam, "BROADCAST_WINDOWS", few)
