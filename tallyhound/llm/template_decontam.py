@@ -1,8 +1,8 @@
 """Benchmark decontamination by template windows. DataFrame expressions only.
 
 Texts become templates: numbers, names (capitals within a sentence) and units are replaced by typed
-placeholders. Windows of eight template words of the benchmark are hash-joined with every fourth window
-of the documents, so any shared run of eleven words meets. For each meeting the whole item is laid
+placeholders. Windows of eight template words of the benchmark are hash-joined with every window of the
+documents, so any shared run of eight words meets, if half of them or more are literal. For each meeting the whole item is laid
 over the document at that place: `coverage` is the share of its template words that agree, and the slots
 must be consistent, that is, every value in the item's slots stands for one value in the document's. Each place
 is read by itself, and for items split by an insertion several together; one reading that passes is enough. So
@@ -23,7 +23,7 @@ from tallyhound.llm.common import stored, whole
 from tallyhound.operators.skew import checked_side
 
 WINDOW = 8
-STRIDE = 4
+STRIDE = 1
 # Share of an item's words that must agree in their place.
 COVERAGE = 0.6
 # Benchmark windows, or documents that meet one, that may be sent to every executor; more are joined by shuffle.

@@ -211,6 +211,26 @@ def test_other_question_of_the_template_does_not_clear_a_document(spark):
     assert got == {(1, 1.0, 2, 0), (2, 1.0, 2, 0)}
 
 
+def test_items_are_found_at_every_offset(spark):
+    item = "the quick brown fox jumps over a lazy dog while seven small birds sing near some river".split()
+    d, want = [], set()
+    for off in range(4):
+        for n, t in [(8, item[:8]), (9, item[:9]), (10, item[:10]), (17, [*item[:8], "other", *item[9:]]), (18, [*item[:9], "inserted", *item[9:]])]:
+            d.append((100 * n + off, " ".join(["before"] * off + t)))
+            want.add((100 * n + off, min(n, 17)))
+    q = spark.createDataFrame([(n, " ".join(item[:n])) for n in (8, 9, 10, 17)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in rows(template_decontam.find(spark.createDataFrame(d, "doc_id long, text string"), q))}
+    assert want <= got
+
+
+def test_split_item_beside_another_question(spark):
+    def ask(x, y, mid="and"):
+        return f"a farmer sells {x} eggs on monday morning {mid} later buys back {y} eggs from the old shop near the river"
+    d = spark.createDataFrame([(1, ask(12, 95) + ". " + ask(80, 80, "and then much"))], "doc_id long, text string")
+    q = spark.createDataFrame([(1, ask(80, 80))], "item_id long, text string")
+    assert [(r["coverage"], r["slots"], r["changed"]) for r in rows(template_decontam.find(d, q))] == [(1.0, 2, 0)]
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_every_planted_item_is_found(spark, docs, sf, monkeypatch, few):
     monkeypatch.setattr(template_decontam, "BROADCAST_WINDOWS", few)
