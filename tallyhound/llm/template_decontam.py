@@ -5,7 +5,9 @@ placeholders. Windows of eight template words of the benchmark are hash-joined w
 documents, so any shared run of eight words meets, if half of them or more are literal. For each meeting the whole item is laid
 over the document at that place: `coverage` is the share of its template words that agree, and the slots
 must be consistent, that is, every value in the item's slots stands for one value in the document's. Each place
-is read by itself, and for items split by an insertion several together; one reading that passes is enough. So
+is read by itself, and for items split by an insertion several together; one reading that passes is enough. All of
+that is also done on the case-folded texts, with names as literal words there, so an item in capitals or title case is
+found; a name of the item may stand for another word between two words that agree, and must do so consistently. So
 a question with other numbers and names is found as well as a verbatim one.
 
 Defined cases: null and empty texts match nothing, on either side; items with fewer than `window` words
@@ -47,10 +49,17 @@ def _joined(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=[0-9])[.,](?=[0-9])", "")
 
 
-def template(text: Column) -> Column:
-    """The words in template form, place by place with `words`."""
+def folded(text: Column) -> Column:
+    """The text without case; by way of capitals, which some small letters share (ß and ss)."""
+    # The optimizer would make lower(upper(x)) a mere lower(x).
+    return F.lower(F.concat(F.upper(text), F.lit("")))
+
+
+def template(text: Column, names: bool = True) -> Column:
+    """The words in template form, place by place with `words`; names are literal words unless `names`."""
     t = F.regexp_replace(_joined(text), "[0-9]+", NUMBER)
-    t = F.regexp_replace(t, r"(?<=[\p{L}0-9,;] )\p{Lu}\p{L}*", NAME)
+    if names:
+        t = F.regexp_replace(t, r"(?<=[\p{L}0-9,;] )\p{Lu}\p{L}*", NAME)
     t = F.regexp_replace(F.lower(t), rf"(?<![\p{{L}}0-9])(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}0-9])", UNIT)
     return F.array_remove(F.split(t, CUT), "")
 
@@ -59,6 +68,11 @@ def is_slot(word: Column) -> Column:
     return word.rlike("^[012]+$")
 
 
+def forms(text: Column, t: str, raw: str, one: str, two: str) -> list[Column]:
+    """Template and raw words of a text as it stands, and of the folded text."""
+    return [template(text).alias(t), words(text).alias(raw), template(folded(text), names=False).alias(one), words(folded(text)).alias(two)]
+
+
 def windows(d: DataFrame, stride: int, window: int, *keys: str) -> DataFrame:
     """`keys`, `pos`, `w`: fingerprints of the windows that start at multiples of `stride`."""
     starts = F.floor((F.size("t") - window) / stride)
@@ -72,39 +86,49 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     """One row per contaminated (document, item): `doc_id`, `d` (fingerprint of id and text), `item_id`,
     `coverage`, `slots` (item slots laid over the document), `changed` (of those, with another value)."""
     items = whole(benchmark, item_col, item_text_col).distinct().select(
-        F.col("_id").alias("item_id"), F.xxhash64("_id", "_text").alias("q"), template(F.col("_text")).alias("t"), words(F.col("_text")).alias("raw"))
+        F.col("_id").alias("item_id"), F.xxhash64("_id", "_text").alias("h"), *forms(F.col("_text"), "t", "raw", "ft", "fraw"))
+    # `slot`: the item's slots; `name`: those of the folded template's literal words that are names.
+    slot = F.transform("t", is_slot)
+    items = items.select("item_id", F.explode(F.array(*(
+        F.struct(F.xxhash64("h", F.lit(int(fold))).alias("q"), F.lit(fold).alias("fold"), F.col(t).alias("t"), F.col(raw).alias("raw"), slot.alias("slot"))
+        for fold, t, raw in ((False, "t", "raw"), (True, "ft", "fraw"))))).alias("x")).select("item_id", "x.*")
+    items = items.withColumn("name", F.transform("t", lambda x, i: F.col("fold") & ~is_slot(x) & F.coalesce(F.get("slot", i), F.lit(False))))
+    items = items.withColumn("slot", F.transform("t", lambda x, i: is_slot(x) | F.get("name", i)))
     items = stored(items.where(F.size("t") >= window), "templates")
     literal = F.size(F.filter(F.slice(F.col("t"), F.col("pos") + 1, window), lambda x: ~is_slot(x))) * 2 >= window
-    asked = windows(items, 1, window, "q").join(items.select(F.col("q").alias("iq"), "t"), F.col("q") == F.col("iq")).where(literal)
-    asked = stored(asked.select("q", F.size("t").alias("n"), F.col("pos").alias("at"), F.col("w").alias("aw")), "template-windows")
+    asked = windows(items, 1, window, "q").join(items.select(F.col("q").alias("iq"), "fold", "t"), F.col("q") == F.col("iq")).where(literal)
+    asked = stored(asked.select("q", "fold", F.size("t").alias("n"), F.col("pos").alias("at"), F.col("w").alias("aw")), "template-windows")
     few = asked.count() <= BROADCAST_WINDOWS
 
     d = whole(docs, id_col, text_col).select("_id", F.xxhash64("_id", "_text").alias("d"), "_text")
-    held = windows(d.select("d", template(F.col("_text")).alias("t")), stride, window, "d")
+    both = F.explode(F.array(template(F.col("_text")), template(folded(F.col("_text")), names=False))).alias("t")
+    held = windows(d.select("d", both), stride, window, "d")
     met = held.join(F.broadcast(asked) if few else asked, F.col("w") == F.col("aw"))
     # `shift`: where the item's first word falls in the document.
-    laid = stored(met.select("d", "q", "n", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "meetings")
+    laid = stored(met.select("d", "q", "fold", "n", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "meetings")
 
     # Counted, and broadcast only while few documents meet an item; else joined by shuffle.
-    asks = checked_side(laid.groupBy(F.col("d").alias("ad")).agg(F.collect_list(F.struct("q", "n", "shift")).alias("asks")), BROADCAST_WINDOWS)
+    asks = checked_side(laid.groupBy(F.col("d").alias("ad")).agg(F.collect_list(F.struct("q", "fold", "n", "shift")).alias("asks")), BROADCAST_WINDOWS)
     text = d.join(asks, F.col("d") == F.col("ad")).groupBy("_id", "d").agg(F.first("_text").alias("_text"), F.first("asks").alias("asks"))
-    split = text.select("_id", "d", "asks", template(F.col("_text")).alias("dt"), words(F.col("_text")).alias("dw"))
+    split = text.select("_id", "d", "asks", *forms(F.col("_text"), "dt", "dw", "fdt", "fdw"))
     # The few documents that meet an item are split once; each meeting keeps only the words under its item.
-    def under(words_, a):
-        return F.slice(words_, (F.greatest(a["shift"], F.lit(0)) + 1).cast("int"), a["n"])
+    def under(words_, folded_, a):
+        return F.slice(F.when(a["fold"], F.col(folded_)).otherwise(F.col(words_)), (F.greatest(a["shift"], F.lit(0)) + 1).cast("int"), a["n"])
     over = split.select("_id", "d", F.explode(F.transform("asks", lambda a: F.struct(
-        a["q"].alias("q"), a["shift"].alias("shift"), under(F.col("dt"), a).alias("dt"), under(F.col("dw"), a).alias("dw")))).alias("a")).select("_id", "d", "a.*")
-    over = over.join(items.select("item_id", F.col("q").alias("iq"), "t", "raw"), F.col("q") == F.col("iq"))
-    # Places of the item whose template word agrees with the document's.
+        a["q"].alias("q"), a["shift"].alias("shift"), under("dt", "fdt", a).alias("dt"), under("dw", "fdw", a).alias("dw")))).alias("a")).select("_id", "d", "a.*")
+    over = over.join(items.select("item_id", F.col("q").alias("iq"), "fold", "t", "raw", "slot", "name"), F.col("q") == F.col("iq"))
+    # Places of the item whose template word agrees with the document's, or that are names between such places.
+    over = over.withColumn("eq", F.expr("transform(t, (x, i) -> coalesce(get(dt, cast(i + least(shift, 0) as int)) = x, false))"))
     same = F.expr("""
-        filter(transform(t, (x, i) -> named_struct('i', i, 'j', i + least(shift, 0))),
-               p -> p.j >= 0 AND p.j < size(dt) AND dt[p.j] = t[p.i])""")
+        filter(transform(t, (x, i) -> named_struct('i', i, 'j', cast(i + least(shift, 0) as int))),
+               p -> get(eq, p.i) OR (get(name, p.i) AND NOT coalesce(get(dt, p.j) rlike '^[012]+$', true)
+                    AND coalesce(get(eq, p.i - 1), true) AND coalesce(get(eq, p.i + 1), true)))""")
     same = F.transform(same, lambda p: F.struct(
-        p["i"].alias("i"), F.get("raw", p["i"]).alias("a"), F.get("dw", p["j"]).alias("b"), is_slot(F.get("t", p["i"])).alias("slot")))
+        p["i"].alias("i"), F.get("raw", p["i"]).alias("a"), F.get("dw", p["j"]).alias("b"), F.get("slot", p["i"]).alias("slot")))
     # Each place laid by itself, at one shift; items split by an insertion are read over several: those within half
     # an item of each other share one of two ranges of its length, farther ones only the whole document.
-    single = over.select("_id", "d", "item_id", "q", "shift", F.size("t").alias("n"), same.alias("p"))
-    key = ["_id", "d", "item_id", "q", "n"]
+    single = over.select("_id", "d", "item_id", "q", "fold", "shift", F.size("t").alias("n"), same.alias("p"))
+    key = ["_id", "d", "item_id", "q", "fold", "n"]
     slots = F.filter("p", lambda p: p["slot"])
     one = single.select(
         *key, F.size("p").alias("k"), F.size(slots).alias("slots"),
@@ -123,5 +147,8 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         F.count_distinct(F.when(F.col("p.slot"), F.struct("p.a", "p.b"))).alias("mapped"),
         F.sum((F.col("p.slot") & (F.col("p.a") != F.col("p.b"))).cast("int")).alias("changed")).drop("g")
     out = one.unionByName(merged).where((F.col("k") >= coverage * F.col("n")) & (F.col("mapped") == F.col("values")))
-    return out.groupBy(F.col("_id").alias("doc_id"), "d", "item_id").agg(
+    # The reading as it stands goes first, then the folded one.
+    best = out.groupBy("_id", "d", "item_id", "fold").agg(
         F.max(F.col("k") / F.col("n")).alias("coverage"), F.max("slots").cast("long").alias("slots"), F.min("changed").cast("long").alias("changed"))
+    return best.groupBy(F.col("_id").alias("doc_id"), "d", "item_id").agg(F.min(F.struct("fold", "coverage", "slots", "changed")).alias("b")).select(
+        "doc_id", "d", "item_id", "b.coverage", "b.slots", "b.changed")

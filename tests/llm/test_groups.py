@@ -231,6 +231,16 @@ def test_split_item_beside_another_question(spark):
     assert [(r["coverage"], r["slots"], r["changed"]) for r in rows(template_decontam.find(d, q))] == [(1.0, 2, 0)]
 
 
+def test_items_in_capitals_are_found(spark):
+    german = "Wenn die Straße im Mai 12 km weiß bleibt, wie viele Füße braucht Hans auf dem Weg nach Bonn?"
+    other = QUESTION.replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "40")
+    d = spark.createDataFrame([(1, "Before. " + QUESTION.upper()), (2, QUESTION.title() + " After."), (3, german.upper()), (4, other.upper()),
+                               (5, other.replace("does Carol", "does Peter").upper()), (6, QUESTION.upper().replace("WALKING", "WALKING ABOUT"))], "doc_id long, text string")
+    q = spark.createDataFrame([(1, QUESTION), (2, german)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["coverage"], r["changed"]) for r in rows(template_decontam.find(d, q))}
+    assert got == {(1, 1): (1.0, 0), (2, 1): (1.0, 0), (3, 2): (1.0, 0), (4, 1): (1.0, 4), (6, 1): (1.0, 0)}
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_every_planted_item_is_found(spark, docs, sf, monkeypatch, few):
     monkeypatch.setattr(template_decontam, "BROADCAST_WINDOWS", few)
