@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import license_scan, line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, template_decontam, toxicity
+from tallyhound.llm import hard_negatives, lexical_search, license_scan, line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, template_decontam, toxicity
 from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,15 @@ def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
     """`documents` has no paths: source/lang/id stands in, and source/id for every fifth id."""
     path = F.concat_ws("/", "source", F.when(F.col("doc_id") % 5 != 0, F.col("lang")), F.col("doc_id").cast("string"))
     return license_scan.scan(table(spark, sf, "documents").withColumn("path", path))
+
+
+@query
+def op12_angular_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf, "embeddings"), F.col("id") % 100 == 0, label=label).select(
+        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query
+def op13_norm_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -42,3 +42,41 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
        NOT base_failed AND NOT coalesce(host_rejected, FALSE) AS kept
 FROM b LEFT JOIN h ON b.host IS NOT DISTINCT FROM h.host
 """
+
+ORACLE["op12_angular_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+ORACLE["op13_norm_buckets"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS MATERIALIZED (SELECT rid, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+n AS (SELECT rid, any_value(doc_id) AS doc_id, count(*) AS n FROM w GROUP BY rid),
+c AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n),
+i AS (SELECT DISTINCT item_id, text FROM benchmark),
+asked AS (
+  SELECT item_id, text, term, count(*) AS times
+  FROM (SELECT item_id, text, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM i) GROUP BY ALL),
+tf AS (SELECT rid, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+wt AS (SELECT term, floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY term),
+x AS (
+  SELECT rid, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))) AS x
+  FROM tf JOIN wt USING (term) JOIN n USING (rid), c)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY sum(times * x) DESC, doc_id, rid)::INT AS rank, doc_id, sum(times * x)::BIGINT AS score
+FROM asked JOIN x USING (term) GROUP BY item_id, text, rid, doc_id HAVING sum(times * x) > 0
+QUALIFY rank <= 20
+"""
