@@ -64,7 +64,7 @@ def choose_references(sample: np.ndarray, n: int) -> np.ndarray:
     norm = np.linalg.norm(sample, axis=1)
     unit = sample[norm > 0] / norm[norm > 0][:, None]
     if not len(unit):
-        return np.zeros((0, sample.shape[1] if sample.ndim > 1 else 0))
+        return unit
     chosen = [0]
     near = unit @ unit[0]
     while len(chosen) < min(n, len(unit)):
@@ -82,7 +82,7 @@ def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     fits = size == width
     values = np.asarray(column.flatten())
     out = np.zeros((len(column), width), values.dtype if len(values) else np.int64)
-    out[fits] = values[np.repeat(fits, size)].reshape(-1, width)
+    out[fits] = values[np.repeat(fits, size)].reshape(int(fits.sum()), width)
     return out, fits
 
 
@@ -272,12 +272,12 @@ def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", label: C
     id_type = rows.schema["id"].dataType.simpleString()
     ddl = f"anchor_id {id_type}, positive_id {id_type}, rank int, negative_id {id_type}, positive_score long, negative_score long"
     sample = rows.orderBy(F.xxhash64("h", "id"), "id").select("q").limit(SAMPLE).collect()
-    widths = [r["n"] for r in rows.where(is_anchor).select(F.size("q").alias("n")).distinct().orderBy("n").limit(BLOCK_ANCHORS).collect()]
+    widths = [r["n"] for r in rows.where(is_anchor).select(F.size("q").alias("n")).distinct().orderBy("n").collect()]
     shared_folder(spark)
     folder, n = work_folder(spark, "hard-negatives"), 0
     for width in widths:
         like = [r["q"] for r in sample if len(r["q"]) == width]
-        kept = indexed(rows.where(F.size("q") == width), choose_references(np.array(like, float).reshape(-1, width), REFERENCES))
+        kept = indexed(rows.where(F.size("q") == width), choose_references(np.array(like, float).reshape(len(like), width), REFERENCES))
         for part in blocks(kept.where(is_anchor), block):
             _block(kept, as_anchors(part, width), positives, negatives, share, ddl).write.parquet(f"{folder}/{n}")
             n += 1

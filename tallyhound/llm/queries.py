@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhound.llm import hard_negatives, lexical_search, license_scan, line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, template_decontam, toxicity
+from tallyhound.llm import hard_negatives, lattice_lm, lexical_search, license_scan, line_align, ngram_join, packing, pii, quality_model, quality_rules, suffix_index, template_decontam, toxicity
 from tallyhound.llm.common import held_out, table
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +97,9 @@ def op12_angular_negatives(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op13_norm_buckets(spark: SparkSession, sf: str) -> DataFrame:
     return lexical_search.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op11_subword_lattice(spark: SparkSession, sf: str) -> DataFrame:
+    other = F.crc32(F.col("_id").cast("string").cast("binary")) % 7 == 2
+    return lattice_lm.score(table(spark, sf, "documents"), vocabulary("word_bpe_49k.json"), held_out=other)
