@@ -726,6 +726,10 @@ FROM ({score_sql(merged_sql('log', '(batch_id, first_ts, anchor_txn_id)', 'last_
 
 
 ORACLE["str_continuous_job"] = _stream_sql()
+# Windows that the watermark, a day behind the last row, has passed.
+ORACLE["str_stateful_windows"] = f"""WITH RECURSIVE {LEDGER}, {STRUCT}, {ROUND}, {RAPID}, w AS (SELECT date_trunc('millisecond', max(txn_timestamp)) - INTERVAL 1 DAY AS passed FROM ledger)
+  SELECT {_HIT} FROM (SELECT *, first_ts + INTERVAL 24 HOUR AS ended FROM h_st UNION ALL SELECT *, first_ts + INTERVAL 240 HOUR FROM h_ro
+  UNION ALL SELECT *, first_ts + INTERVAL 48 HOUR FROM h_ra), w WHERE ended <= passed"""
 ORACLE["flagship_alert_queue"] = A + f""" SELECT alert_ref, customer_id, CASE WHEN first_name IS NULL THEN 'U******' ELSE {mask_name("first_name || ' ' || last_name")} END AS customer_name_masked,
   {mask_id('account_id')} AS account_masked, rule_code, typology, risk_score, severity, 'OPEN' AS status, {dbl('evidence_amount_base')} AS evidence_amount_base, evidence_count, trigger_count,
   CAST(NULL AS VARCHAR) AS disposition, {ts('first_detected_at')} AS first_detected_at, {ts('last_detected_at')} AS last_detected_at

@@ -18,6 +18,7 @@ from tallyhound.session import work_folder
 from tallyhound.sources import files
 from checks import sampledata as sd
 from tallyhound.streaming.job import StreamJob, stateless_hits
+from tallyhound.streaming.windows import StatefulJob
 
 TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
@@ -821,6 +822,22 @@ def str_continuous_job(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("rule_code", "dedup_key", "trigger_count", "risk_score", "evidence_count")
 
 
+@query
+def str_stateful_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The window rules with state in the engine, over a file stream that is stopped and started again after
+    each of three slices. Every 17th row arrives half a day late, into the next slice or the same one."""
+    l = sd.ledger(spark, sf)
+    late = F.substring("transaction_id", 5, 20).cast("long") % 17 == 0
+    arrival = F.col("txn_timestamp") + F.when(late, F.make_dt_interval(hours=F.lit(12))).otherwise(F.make_dt_interval(hours=F.lit(0)))
+    folder = work_folder(spark, "stateful")
+    job = StatefulJob(f"{folder}/findings", sc.settings(spark), "1 day")
+    for start, end in zip(sc.STREAM_CUTS[::2], [*sc.STREAM_CUTS[2::2], "9999-01-02"]):
+        l.where((arrival >= F.lit(start).cast("timestamp_ntz")) & (arrival < F.lit(end).cast("timestamp_ntz"))).write.mode("append").parquet(f"{folder}/feed")
+        feed = spark.readStream.schema(l.schema).parquet(f"{folder}/feed")
+        job.start(feed, f"{folder}/state").awaitTermination()
+    return job.hits(spark).drop("batch_id")
+
+
 def files_like(ledger: DataFrame) -> DataFrame:
     """Ledger rows as the untyped records they came from."""
     n = F.substring("transaction_id", 5, 20).cast("long") + 1

@@ -187,13 +187,33 @@ def _cluster_findings(ctx: RuleContext, members: DataFrame, s: RuleSetting, typo
     return Findings(hits, evidence_rows(members, s.code, dedup_key=key))
 
 
+def is_structuring(s: RuleSetting) -> Column:
+    return money.within(F.col("amount_base"), s.money("lowerBound"), s.money("upperBound"))
+
+
+def is_round(s: RuleSetting) -> Column:
+    return money.at_least(F.col("amount_base"), s.money("minAmountBase")) & money.is_multiple_of(F.col("amount_base"), s.money("roundingUnit"))
+
+
+def is_deposit(s: RuleSetting) -> Column:
+    return (F.col("direction") == "CREDIT") & money.at_least(F.col("amount_base"), s.money("minDepositBase"))
+
+
+def is_debit() -> Column:
+    return F.col("direction") == "DEBIT"
+
+
 @rule("STRUCTURING", "STRUCTURING", ACCOUNT_WINDOW)
 def structuring(ctx: RuleContext, s: RuleSetting) -> Findings:
     """Several amounts just below the threshold on one account within a window."""
     hours, least = s.params["windowHours"], s.params["minCount"]
-    low, high = s.money("lowerBound"), s.money("upperBound")
-    rows = ctx.ledger.where(money.within(F.col("amount_base"), low, high))
-    members = clusters.find_clusters(rows, hours, least, ctx.hot_limit)
+    rows = ctx.ledger.where(is_structuring(s))
+    return structuring_findings(ctx, clusters.find_clusters(rows, hours, least, ctx.hot_limit), s)
+
+
+def structuring_findings(ctx: RuleContext, members: DataFrame, s: RuleSetting) -> Findings:
+    """Findings of clusters, given as members."""
+    hours, low, high = s.params["windowHours"], s.money("lowerBound"), s.money("upperBound")
     explain = wording.fill(
         wording.STRUCTURING, count=F.col("size").cast("string"), total=text.money_text(F.col("total")), account=F.col("account_id"),
         hours=hours, start=text.timestamp_text(F.col("cluster_ts")), end=text.timestamp_text(F.col("last_ts")),
@@ -205,10 +225,13 @@ def structuring(ctx: RuleContext, s: RuleSetting) -> Findings:
 def round_amounts(ctx: RuleContext, s: RuleSetting) -> Findings:
     """Several exact multiples of a round unit on one account within a window."""
     hours, least = s.params["windowHours"], s.params["minCount"]
-    unit, floor = s.money("roundingUnit"), s.money("minAmountBase")
-    a = F.col("amount_base")
-    rows = ctx.ledger.where(money.at_least(a, floor) & money.is_multiple_of(a, unit))
-    members = clusters.find_clusters(rows, hours, least, ctx.hot_limit)
+    rows = ctx.ledger.where(is_round(s))
+    return round_findings(ctx, clusters.find_clusters(rows, hours, least, ctx.hot_limit), s)
+
+
+def round_findings(ctx: RuleContext, members: DataFrame, s: RuleSetting) -> Findings:
+    """Findings of clusters, given as members."""
+    hours, unit = s.params["windowHours"], s.money("roundingUnit")
     explain = wording.fill(
         wording.ROUND_AMOUNTS, count=F.col("size").cast("string"), account=F.col("account_id"), hours=hours,
         unit=text.money_text(unit), total=text.money_text(F.col("total")))
@@ -218,10 +241,12 @@ def round_amounts(ctx: RuleContext, s: RuleSetting) -> Findings:
 @rule("RAPID_MOVEMENT", "LAYERING", ACCOUNT_WINDOW)
 def rapid_movement(ctx: RuleContext, s: RuleSetting) -> Findings:
     """Deposits of which most leaves the same account within a window."""
+    return rapid_findings(ctx, flows.outflow_after_deposits(ctx.ledger, is_deposit(s), is_debit(), s.params["windowHours"], ctx.hot_limit), s)
+
+
+def rapid_findings(ctx: RuleContext, deposits: DataFrame, s: RuleSetting) -> Findings:
+    """Findings of deposits with the count and sum of what left after them."""
     hours, needed = s.params["windowHours"], s.number("outflowRatio")
-    credit, debit = F.col("direction") == "CREDIT", F.col("direction") == "DEBIT"
-    deposits = flows.outflow_after_deposits(
-        ctx.ledger, credit & money.at_least(F.col("amount_base"), s.money("minDepositBase")), debit, hours, ctx.hot_limit)
     needed_col = F.lit(needed).cast("decimal(9,6)")
     found = ctx.kept(deposits.withColumn(
         "ratio", money.divide_half_up(F.col("outflow_total"), F.col("deposit_amount"), 6)).where(F.col("ratio") >= needed_col))
