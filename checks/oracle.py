@@ -249,8 +249,6 @@ ORACLE["val_batch_summary"] = f"""WITH {_VAL} SELECT {_JOB_REF} AS batch_ref, 'T
   'COMPLETED_WITH_ERRORS' AS status, {_OPENED} AS hits, '' AS failed_rules, true AS timed FROM checked"""
 ORACLE["src_batch_report"] = f"""WITH {_VAL} SELECT {_JOB_REF} AS batch_ref, 'COMPLETED_WITH_ERRORS' AS status, count(*) OVER () AS rejected_records, row_number,
   transaction_id AS record_key, {_TYPE} AS error_type FROM checked WHERE problem IS NOT NULL"""
-ORACLE["str_event_answers"] = f"""WITH {_VAL} SELECT trim(transaction_id) AS transaction_id, true AS accepted, (amount_base >= 10000)::INT AS rules_triggered,
-  (amount_base >= 10000)::INT AS alerts_created FROM checked WHERE problem IS NULL"""
 ORACLE["snk_customers"] = f"""WITH {_CUST_ROWS} SELECT id AS customer_id, CASE WHEN n % 4 = 0 THEN 'Unknown' ELSE first_name END AS first_name,
   CASE WHEN n % 3 = 0 THEN 'IN' ELSE 'SG' END AS country, CASE WHEN n % 6 = 0 THEN NULL ELSE {dbl('annual_income')} END AS annual_income,
   'PENDING' AS kyc_status, risk_rating FROM checked WHERE problem IS NULL"""
@@ -414,8 +412,8 @@ ORACLE["src_lookup_by_ids"] = f"""WITH RECURSIVE {HITS}, {EVIDENCE} SELECT trans
   WHERE transaction_id IN (SELECT transaction_id FROM evidence)"""
 ORACLE["det_daily_volume"] = f"""WITH {LEDGER}, {DAILY} SELECT customer_id, CAST(d AS VARCHAR) AS day, {dbl('total')} AS total_base, n AS txn_count FROM dv"""
 ORACLE["det_context"] = f"""WITH {LEDGER}, b AS (SELECT * FROM ledger WHERE currency = 'USD')
-SELECT account_id, transaction_id, {ts('txn_timestamp')} AS txn_timestamp, {dbl('amount_base')} AS amount_base FROM ledger
-WHERE account_id IN (SELECT account_id FROM b) AND txn_timestamp BETWEEN (SELECT min(txn_timestamp) FROM b) - INTERVAL 240 HOUR AND (SELECT max(txn_timestamp) FROM b) + INTERVAL 240 HOUR"""
+SELECT account_id, transaction_id, {ts('txn_timestamp')} AS txn_timestamp, {dbl('amount_base')} AS amount_base FROM ledger l
+WHERE EXISTS (SELECT 1 FROM b WHERE b.account_id = l.account_id AND l.txn_timestamp BETWEEN b.txn_timestamp - INTERVAL 240 HOUR AND b.txn_timestamp + INTERVAL 240 HOUR)"""
 ORACLE["det_all_rules"] = f"""WITH RECURSIVE {HITS} SELECT rule_code, typology, count(*) AS hits, CAST(sum(evidence_count) AS BIGINT) AS evidence,
   {dbl('sum(evidence_amount_base)')} AS amount, {dbl('sum(CAST(magnitude_ratio AS DECIMAL(28,4)))')} AS magnitude FROM hits GROUP BY ALL"""
 
@@ -702,20 +700,26 @@ ORACLE["str_stateless_rules"] = f"""WITH {LEDGER}, {CTR}, {LISTED} SELECT rule_c
   FROM (SELECT * FROM h_ctr UNION ALL SELECT * FROM h_jur)"""
 
 
-def _stream_sql() -> str:
-    """Each micro-batch's account patterns over the rows in its reach; the rest once."""
+def _stream_ctes() -> tuple[list[str], list[str], list[str]]:
+    """(each micro-batch's account patterns over the rows in its reach, their hits, their members)."""
     parts, log, cited = [], [], []
     for k, (start, end) in enumerate(zip(sc.STREAM_CUTS, sc.STREAM_CUTS[1:])):
         parts.append(f"""b{k} AS (SELECT * FROM ledger WHERE txn_timestamp >= '{start}' AND txn_timestamp < '{end}'),
-led{k} AS MATERIALIZED (SELECT * FROM ledger WHERE txn_timestamp < '{end}' AND account_id IN (SELECT account_id FROM b{k}) AND txn_timestamp BETWEEN
-  (SELECT min(txn_timestamp) FROM b{k}) - INTERVAL 240 HOUR AND (SELECT max(txn_timestamp) FROM b{k}) + INTERVAL 240 HOUR)""")
+led{k} AS MATERIALIZED (SELECT * FROM ledger l WHERE txn_timestamp < '{end}' AND EXISTS (SELECT 1 FROM b{k} b WHERE b.account_id = l.account_id
+  AND l.txn_timestamp BETWEEN b.txn_timestamp - INTERVAL 240 HOUR AND b.txn_timestamp + INTERVAL 240 HOUR))""")
         for cte, short in ((STRUCT, "st"), (ROUND, "ro"), (RAPID, "ra")):
             own = re.sub(r"\b(FROM|JOIN) ledger\b", rf"\1 led{k}", cte)
             parts.append(re.sub(rf"\b{short}_", f"{short}{k}_", re.sub(rf"\bh_{short}\b", f"h_{short}{k}", own)))
             log.append(f"SELECT *, {k} AS batch_id FROM h_{short}{k}")
         for code, short in (("STRUCTURING", "st"), ("ROUND_AMOUNT_PATTERN", "ro")):
-            cited.append(f"SELECT '{code}|ACCT|' || m.account_id || '|' || CAST(CAST(s.cluster_ts AS DATE) AS VARCHAR) AS dedup_key, m.transaction_id FROM {short}{k}_m m JOIN {short}{k}_s s "
-                         "ON s.account_id = m.account_id AND s.first_rn = m.first_rn")
+            cited.append(f"SELECT '{code}|ACCT|' || m.account_id || '|' || CAST(CAST(s.cluster_ts AS DATE) AS VARCHAR) AS dedup_key, m.transaction_id, {k} AS batch_id "
+                         f"FROM {short}{k}_m m JOIN {short}{k}_s s ON s.account_id = m.account_id AND s.first_rn = m.first_rn")
+    return parts, log, cited
+
+
+def _stream_sql() -> str:
+    """Alerts of the job's whole log; rules that read no history are found once."""
+    parts, log, cited = _stream_ctes()
     once = "SELECT *, 0 AS batch_id FROM {0}"
     return f"""WITH RECURSIVE {LEDGER}, {CTR}, {LISTED}, {BEHAVE}, {CUSTOMERS}, {', '.join(parts)},
 log AS MATERIALIZED ({' UNION ALL '.join(log + [once.format(t) for t in ('h_ctr', 'h_jur', 'h_be')])}),
@@ -725,6 +729,49 @@ SELECT rule_code, dedup_key, trigger_count, total AS risk_score, coalesce(n, w)
 FROM ({score_sql(merged_sql('log', '(batch_id, first_ts, anchor_txn_id)', 'last_ts'), 's.trigger_count - 1')}) LEFT JOIN cited USING (dedup_key) JOIN widest USING (dedup_key)"""
 
 
+def _batch_of(at: str) -> str:
+    cases = " ".join(f"WHEN {at} < '{end}' THEN {k}" for k, end in enumerate(sc.STREAM_CUTS[1:]))
+    return f"CASE {cases} END"
+
+
+def _answers_sql() -> str:
+    """Findings of an event's own batch that cite it, and those whose key no earlier batch had."""
+    parts, log, cited = _stream_ctes()
+    log += [f"SELECT *, {_batch_of('first_ts')} AS batch_id FROM {t}" for t in ("h_ctr", "h_jur", "h_be")]
+    cited += [f"SELECT dedup_key, anchor_txn_id, batch_id FROM log WHERE rule_code IN ('CTR_THRESHOLD', 'HIGH_RISK_JURISDICTION', 'RAPID_MOVEMENT')",
+              f"SELECT dedup_key, l.transaction_id, {_batch_of('l.txn_timestamp')} FROM h_be h JOIN ledger l ON l.customer_id = h.customer_id AND CAST(l.txn_timestamp AS DATE) = CAST(h.first_ts AS DATE)"]
+    return f"""WITH RECURSIVE {LEDGER}, {CTR}, {LISTED}, {BEHAVE}, {', '.join(parts)}, log AS MATERIALIZED ({' UNION ALL '.join(log)}),
+opened AS (SELECT dedup_key, min(batch_id) AS first_batch FROM log GROUP BY 1),
+events AS (SELECT *, {_batch_of('txn_timestamp')} AS batch_id FROM ledger),
+cited AS (SELECT DISTINCT transaction_id, dedup_key, batch_id FROM ({' UNION ALL '.join(cited)})),
+one AS (SELECT e.transaction_id, first_batch = e.batch_id AS is_new FROM events e JOIN cited c ON c.transaction_id = e.transaction_id AND c.batch_id = e.batch_id JOIN opened USING (dedup_key)
+  UNION ALL SELECT e.transaction_id, first_batch = e.batch_id FROM events e JOIN log h ON h.rule_code = 'RAPID_MOVEMENT' AND e.direction = 'DEBIT' AND h.account_id = e.account_id
+    AND h.batch_id = e.batch_id AND e.txn_timestamp BETWEEN h.first_ts AND h.last_ts JOIN opened USING (dedup_key)),
+n AS (SELECT transaction_id, count(*) AS k, count(*) FILTER (WHERE is_new) AS fresh FROM one GROUP BY 1)
+SELECT transaction_id, true AS accepted, coalesce(k, 0) AS rules_triggered, coalesce(fresh, 0) AS alerts_created FROM events LEFT JOIN n USING (transaction_id)"""
+
+
+ORACLE["str_event_answers"] = _answers_sql()
+ORACLE["det_rule_recovery"] = f"""WITH {LEDGER}, {CTR}, {LISTED} SELECT rule_code, dedup_key, 1::BIGINT AS batch_id FROM h_ctr
+  UNION ALL SELECT rule_code, dedup_key, (first_ts >= '2024-01-18')::BIGINT FROM h_jur"""
+
+
+def _repeats_sql() -> str:
+    """Slice by slice: rows behind the watermark go, then those whose id is kept and not yet forgotten."""
+    kept = []
+    out = f"""WITH {LEDGER}, f AS (SELECT transaction_id, txn_timestamp AS seen_at, CAST(substr(transaction_id, 5) AS BIGINT) AS n,
+  CASE WHEN txn_timestamp < '2024-01-12' THEN 0 WHEN txn_timestamp < '2024-01-24' THEN 1 ELSE 2 END AS slice FROM ledger),
+r AS (SELECT transaction_id, seen_at, slice FROM f UNION ALL SELECT transaction_id, seen_at, slice + 1 FROM f WHERE n % 11 = 0
+  UNION ALL SELECT transaction_id, seen_at + INTERVAL 6 DAY, slice + 1 FROM f WHERE n % 13 = 0 AND n % 11 <> 0)"""
+    for k in range(3):
+        mark = f"coalesce((SELECT date_trunc('millisecond', max(seen_at)) - INTERVAL 1 DAY FROM r WHERE slice < {k}), TIMESTAMP '1970-01-01')"
+        before = " AND ".join(f"NOT EXISTS (SELECT 1 FROM k{j} k WHERE k.transaction_id = r.transaction_id AND k.seen_at + INTERVAL 1 DAY > {mark})" for j in kept) or "true"
+        out += f", k{k} AS MATERIALIZED (SELECT transaction_id, seen_at FROM r WHERE slice = {k} AND seen_at > {mark} AND {before})"
+        kept.append(k)
+    return out + f" SELECT transaction_id, {ts('seen_at')} AS seen_at FROM (" + " UNION ALL ".join(f"SELECT * FROM k{k}" for k in kept) + ")"
+
+
+ORACLE["str_watermarked_repeats"] = _repeats_sql()
 ORACLE["str_continuous_job"] = _stream_sql()
 # Windows that the watermark, a day behind the last row, has passed.
 ORACLE["str_stateful_windows"] = f"""WITH RECURSIVE {LEDGER}, {STRUCT}, {ROUND}, {RAPID}, w AS (SELECT date_trunc('millisecond', max(txn_timestamp)) - INTERVAL 1 DAY AS passed FROM ledger)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from tallyhound.plans.ingest import batch_report, current_masters, ingest, inges
 from tallyhound.session import work_folder
 from tallyhound.sources import files
 from checks import sampledata as sd
-from tallyhound.streaming.job import StreamJob, stateless_hits
+from tallyhound.streaming.job import StreamJob, drop_repeats, stateless_hits
 from tallyhound.streaming.windows import StatefulJob
 
 TS = "yyyy-MM-dd HH:mm:ss.SSSSSS"
@@ -351,8 +353,9 @@ def snk_master_rejects(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def str_event_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Per accepted event: rules that cite it and alerts it opened, as the job stored them."""
-    return spark.read.parquet(f"{sc.stored_job(spark, sf)}/answers").select("transaction_id", "accepted", "rules_triggered", "alerts_created")
+    """Per event of five micro-batches: findings of its batch that cite it, of all six rules, and how many of them opened an alert."""
+    job = sc.stored_stream(spark, sf, files_like(sd.ledger(spark, sf)))
+    return job.read(spark, "answers").select("transaction_id", "accepted", "rules_triggered", "alerts_created")
 
 
 @query
@@ -428,7 +431,7 @@ def det_daily_volume(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def det_context(spark: SparkSession, sf: str) -> DataFrame:
-    """History around a batch, the transactions in dollars: its accounts' rows from `lookback` before it to `lookback` after it."""
+    """History around a batch, the transactions in dollars: each account's rows within `lookback` of one of its own."""
     l = sd.ledger(spark, sf)
     return context.account_window(l, l.where("currency = 'USD'"), sc.settings(spark)).select(
         "account_id", "transaction_id", "txn_timestamp", "amount_base")
@@ -813,15 +816,53 @@ def str_stateless_rules(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def str_continuous_job(spark: SparkSession, sf: str) -> DataFrame:
     """The whole ledger through the stream job in micro-batches, in time order: the alerts of the log."""
-    raw = files_like(sd.ledger(spark, sf))
-    job = StreamJob(work_folder(spark, "stream-job"), lambda: sd.accounts(spark, sf), lambda: sc.AS_OF,
-                    config=lambda: refs.rule_config(spark, sc.RULES), strict=False)
-    for i, (start, end) in enumerate(zip(sc.STREAM_CUTS, sc.STREAM_CUTS[1:])):
-        job.process(raw.where(f"txn_timestamp >= '{start}' and txn_timestamp < '{end}'"), i)
+    job = sc.stored_stream(spark, sf, files_like(sd.ledger(spark, sf)))
     found = al.derive_alerts(job.hits(spark), sd.customers(spark, sf), sc.settings(spark), job.evidence(spark))
     return found.select("rule_code", "dedup_key", "trigger_count", "risk_score", "evidence_count")
 
 
+@query
+def det_rule_recovery(spark: SparkSession, sf: str) -> DataFrame:
+    """The threshold rule fails over the first of two batches and catches up with the second; the other rule is not held up."""
+    real, failed = rules.registered("CTR_THRESHOLD"), []
+
+    def fails_once(ctx, settings):
+        if not failed:
+            failed.append(True)
+            raise RuntimeError("made to fail once")
+        return real.find(ctx, settings)
+    raw = files_like(sd.ledger(spark, sf))
+    job = StreamJob(work_folder(spark, "recovery"), lambda: sd.accounts(spark, sf), lambda: sc.AS_OF,
+                    config=lambda: refs.rule_config(spark, [r for r in sc.RULES if r[0] in ("CTR_THRESHOLD", "HIGH_RISK_JURISDICTION")]), strict=False)
+    rules.register(replace(real, find=fails_once))
+    try:
+        for i, where in enumerate(["txn_timestamp < '2024-01-18'", "txn_timestamp >= '2024-01-18'"]):
+            job.process(raw.where(where), i)
+    finally:
+        rules.register(real)
+    return job.hits(spark).select("rule_code", "dedup_key", "batch_id")
+
+
+@query
+def str_watermarked_repeats(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated ids on a real stream in three slices: forgotten within the watermark's delay, let through after it. Every
+    11th row comes again with the next slice, every 13th once more under a time six days later."""
+    l = sd.ledger(spark, sf).select("transaction_id", F.col("txn_timestamp").cast("timestamp").alias("seen_at"))
+    n = F.substring("transaction_id", 5, 20).cast("long")
+    own = F.when(F.col("seen_at") < F.lit("2024-01-12").cast("timestamp"), 0).when(F.col("seen_at") < F.lit("2024-01-24").cast("timestamp"), 1).otherwise(2)
+    first = l.withColumn("slice", own)
+    again = first.where(n % 11 == 0).withColumn("slice", F.col("slice") + 1)
+    later = first.where(n % 13 == 0).where(n % 11 != 0).withColumns({"slice": F.col("slice") + 1, "seen_at": F.col("seen_at") + F.make_dt_interval(days=F.lit(6))})
+    rows = first.unionByName(again).unionByName(later)
+    folder = work_folder(spark, "repeats")
+    for k in range(3):
+        rows.where(F.col("slice") == k).select("transaction_id", "seen_at").write.mode("append").parquet(f"{folder}/feed")
+        feed = spark.readStream.schema("transaction_id string, seen_at timestamp").parquet(f"{folder}/feed")
+        drop_repeats(feed, "seen_at", "1 day").writeStream.format("parquet").option("path", f"{folder}/kept").option(
+            "checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("transaction_id string, seen_at timestamp").parquet(f"{folder}/kept")
+
+
 @query
 def str_stateful_windows(spark: SparkSession, sf: str) -> DataFrame:
     """The window rules with state in the engine, over a file stream that is stopped and started again after

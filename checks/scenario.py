@@ -74,6 +74,18 @@ def stored_job(spark: SparkSession, sf: str) -> str:
     return _tables[key]
 
 
+def stored_stream(spark: SparkSession, sf: str, raw: DataFrame) -> StreamJob:
+    """The continuous job after the whole ledger went through it in micro-batches, under all rules."""
+    key = (spark.sparkContext.applicationId, sf, "stream")
+    job = StreamJob(_tables.get(key) or work_folder(spark, "stream-job"), lambda: sd.accounts(spark, sf), lambda: AS_OF,
+                    config=lambda: refs.rule_config(spark, RULES), strict=False)
+    if key not in _tables:
+        for i, (start, end) in enumerate(zip(STREAM_CUTS, STREAM_CUTS[1:])):
+            job.process(raw.where(f"txn_timestamp >= '{start}' and txn_timestamp < '{end}'"), i)
+        _tables[key] = job.path
+    return job
+
+
 def written_files(spark: SparkSession, sf: str, kind: str, write) -> str:
     """Folder of files that `write` made once per session."""
     key = (spark.sparkContext.applicationId, sf, kind)

@@ -72,6 +72,11 @@ def rule(code: str, typology: str, scope: str):
     return register
 
 
+def register(r: Rule) -> None:
+    """Put a rule in, in place of one of the same code."""
+    _REGISTRY[r.code] = r
+
+
 def unregister(code: str) -> None:
     _REGISTRY.pop(code, None)
 

@@ -1,55 +1,96 @@
-"""What a batch's rules read: history around the batch, pruned by day.
+"""What a batch's rules read: history around each account's own rows, pruned by day and account bucket.
 
-Account rules read the rows of the batch's accounts from the widest account rule's hours before its
-first row to as many behind its last; behaviour reads the baseline days before it. Patterns are found
-in what is read, so an old pattern is not found again by every later batch.
+Account rules read, per account, the rows from the widest account rule's hours before each of the batch's rows
+to as many behind it; behaviour reads the baseline days before each of a customer's days. Stretches that overlap
+are one, those that do not stay apart, so a row that comes two years late adds its own surroundings and
+nothing between. Patterns are found in what is read, so an old pattern is not found again by every
+later batch.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from datetime import datetime, time, timedelta
+from datetime import date, timedelta
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyhound.functions.params import RuleSetting
-from tallyhound.operators import rules
+from tallyhound.operators import rules, skew
+from tallyhound.plans import store
 
 
-@dataclass(frozen=True)
-class Reach:
-    """A stretch of time, both ends included."""
-    start: datetime
-    end: datetime
+def stretches(batch: DataFrame, key: str, before: timedelta, after: timedelta, at: Column | None = None) -> DataFrame:
+    """`key`, `start`, `end`: the union of [t - before, t + after] over each key's rows, as disjoint stretches.
 
-    def rows(self, ledger: DataFrame) -> DataFrame:
-        """Ledger rows in reach. On a stored ledger whole days are pruned before a file is opened."""
-        start, end = (F.lit(t).cast("timestamp_ntz") for t in (self.start, self.end))
-        rows = ledger.where(F.col("txn_timestamp").between(start, end))
-        return rows.where(F.col("txn_date").between(F.lit(self.start.date()), F.lit(self.end.date()))) if "txn_date" in ledger.columns else rows
+    Rows are first combined, on the map side, to one per key and cell of that width, so
+    a key's window holds at most the calendar's cells, however many rows it has.
+    """
+    width = int((before + after) / timedelta(microseconds=1))
+    t = F.col("txn_timestamp") if at is None else at
+    cells = batch.where(t.isNotNull()).groupBy(key, F.floor(F.unix_micros(t.cast("timestamp")) / width).alias("cell")).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
+    reach = cells.select(key, (F.col("lo") - F.lit(before)).alias("start"), (F.col("hi") + F.lit(after)).alias("end"))
+    in_order = Window.partitionBy(key).orderBy("start", "end")
+    apart = F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = reach.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
+        "n", F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("n")
 
 
-def batch_reach(batch: DataFrame) -> Reach | None:
-    """First to last row of a batch; None for no rows."""
-    first, last = batch.agg(F.min("txn_timestamp"), F.max("txn_timestamp")).first()
-    return None if first is None else Reach(first, last)
-
-
-def account_reach(batch: Reach, settings: dict[str, RuleSetting]) -> Reach:
+def account_reach(batch: DataFrame, settings: dict[str, RuleSetting]) -> DataFrame:
     span = timedelta(hours=rules.max_lookback_hours(settings))
-    return Reach(batch.start - span, batch.end + span)
+    return stretches(batch, "account_id", span, span)
 
 
-def customer_reach(batch: Reach, settings: dict[str, RuleSetting]) -> Reach:
-    """From midnight of the first baseline day to the end of the batch's last day."""
+def customer_reach(batch: DataFrame, settings: dict[str, RuleSetting]) -> DataFrame:
+    """From midnight of the first baseline day to the end of the day, for each of a customer's days."""
     days = max((int(s.params["baselineDays"]) for s in settings.values() if "baselineDays" in s.params), default=90)
-    return Reach(datetime.combine(batch.start.date() - timedelta(days=days), time.min), datetime.combine(batch.end.date(), time.max))
+    return stretches(batch, "customer_id", timedelta(days=days), timedelta(days=1, microseconds=-1), F.date_trunc("day", "txn_timestamp").cast("timestamp_ntz"))
+
+
+def by_day(reach: DataFrame, key: str) -> DataFrame:
+    """`key`, `txn_date`, `start`, `end`: one row per day that a stretch touches."""
+    days = F.sequence(F.to_date("start"), F.to_date("end"))
+    return reach.select(key, F.explode(days).alias("txn_date"), "start", "end")
+
+
+def in_days(days: list[date]) -> Column:
+    """Condition on `txn_date`, as ranges of days that follow one another."""
+    runs: list[list[date]] = []
+    for d in sorted(days):
+        if runs and d - runs[-1][1] == timedelta(days=1):
+            runs[-1][1] = d
+        else:
+            runs.append([d, d])
+    return reduce(or_, (F.col("txn_date").between(F.lit(a), F.lit(b)) for a, b in runs))
+
+
+def opened(days: DataFrame, key: str, ledger: DataFrame, buckets: int) -> Column:
+    """Condition on the partition columns of a stored ledger: the days to open, in each account
+    bucket its own. Buckets times days of the calendar come back."""
+    if key == "account_id" and "account_bucket" in ledger.columns:
+        found = days.select(store.bucket_of(F.col(key), buckets).alias("b"), "txn_date").distinct().collect()
+        per: dict[int, list[date]] = {}
+        for r in found:
+            per.setdefault(r["b"], []).append(r["txn_date"])
+        return reduce(or_, ((F.col("account_bucket") == b) & in_days(d) for b, d in sorted(per.items())), F.lit(False))
+    found = [r["txn_date"] for r in days.select("txn_date").distinct().collect()]
+    return in_days(found) if found else F.lit(False)
+
+
+def rows_in_reach(ledger: DataFrame, reach: DataFrame, key: str, buckets: int = store.BUCKETS) -> DataFrame:
+    """Ledger rows inside their key's stretches. Stored days and buckets that hold none are not opened."""
+    days = skew.checked_side(by_day(reach, key).withColumnsRenamed({key: "_key", "txn_date": "_day"}))
+    plain = days.withColumnsRenamed({"_key": key, "_day": "txn_date"})
+    stored = "txn_date" in ledger.columns
+    rows = ledger.where(opened(plain, key, ledger, buckets)) if stored else ledger
+    day = F.col("txn_date") if stored else F.to_date("txn_timestamp")
+    # Stretches of a key are disjoint, so a row meets at most one.
+    met = rows.join(days, (F.col(key) == F.col("_key")) & (day == F.col("_day")) & F.col("txn_timestamp").between(F.col("start"), F.col("end")))
+    return met.select(*[rows[c] for c in rows.columns])
 
 
 def account_window(ledger: DataFrame, batch: DataFrame, settings: dict[str, RuleSetting]) -> DataFrame:
     """Rows of the batch's accounts within their reach."""
-    reach = batch_reach(batch)
-    if reach is None:
-        return ledger.where(F.lit(False))
-    return account_reach(reach, settings).rows(ledger).join(batch.select("account_id").distinct(), "account_id", "left_semi")
+    return rows_in_reach(ledger, account_reach(batch, settings), "account_id")

@@ -29,9 +29,10 @@ class RunResult:
 
 
 def run_detection(contexts: rules.RuleContext | dict[str, rules.RuleContext], settings: dict[str, RuleSetting],
-                  path: str, batch_id: int, detected_at) -> RunResult:
-    """Run each rule as its own write. A rule that fails is reported and skipped;
-    the findings of the others are kept. `contexts` may differ by rule scope."""
+                  path: str, batch_id: int, detected_at, only: list[str] | None = None, label: str = "{}") -> RunResult:
+    """Run each rule (of `only`, if given) as its own write. A rule that fails is reported and skipped;
+    the findings of the others are kept. `contexts` may differ by rule scope; `label` names the
+    runs, by rule, so that a rule may run twice for a batch."""
     if isinstance(contexts, rules.RuleContext):
         contexts = {scope: contexts for scope in rules.SCOPES}
     contexts = {scope: dataclasses.replace(c, keep=cut_lineage) for scope, c in contexts.items()}
@@ -43,14 +44,18 @@ def run_detection(contexts: rules.RuleContext | dict[str, rules.RuleContext], se
             seen = Observation()
             stamped = found.hits.withColumn("detected_at", F.lit(detected_at).cast("timestamp_ntz"))
             # Evidence first: hits appear only once everything they cite is in place.
-            write_batch(found.evidence, f"{path}/evidence/run={r.code}", batch_id)
-            write_batch(stamped.observe(seen, F.count(F.lit(1)).alias("hits")), f"{path}/hits/run={r.code}", batch_id)
+            run = label.format(r.code)
+            write_batch(found.evidence, f"{path}/evidence/run={run}", batch_id)
+            write_batch(stamped.observe(seen, F.count(F.lit(1)).alias("hits")), f"{path}/hits/run={run}", batch_id)
             return seen.get["hits"]
         except Exception:
             log.exception("rule %s failed and is skipped for batch %s", r.code, batch_id)
+            # An earlier attempt at the batch may have got further.
+            for kind, ddl in (("evidence", EVIDENCE_DDL), ("hits", HIT_DDL + ", detected_at timestamp_ntz")):
+                write_batch(contexts[r.scope].current.sparkSession.createDataFrame([], ddl), f"{path}/{kind}/run={label.format(r.code)}", batch_id)
             return None
 
-    active = rules.active_rules(settings)
+    active = [r for r in rules.active_rules(settings) if only is None or r.code in only]
     # The rules' jobs share the cluster, so one rule's last tasks do not leave it idle.
     with ThreadPoolExecutor(max_workers=max(1, len(active))) as pool:
         evaluated = pool.submit(contexts[rules.TRANSACTION].current.count)

@@ -7,11 +7,18 @@ Current state is always derived by aggregation.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhound.schemas import LEDGER_COLUMNS, LEDGER_DDL
 
+# Account buckets of a stored ledger. A day's rows of one bucket should fill a file.
+BUCKETS = 4
+
+
+def bucket_of(account_id: Column, buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(account_id), F.lit(buckets)).cast("int")
+
 
 def write_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
     writer = df.write.mode("overwrite")
@@ -29,25 +36,30 @@ def kept(df: DataFrame, path: str, batch_id: int) -> DataFrame:
 def read_log(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """All batches of a log, with `batch_id`; no rows before the first batch is written."""
     try:
-        return spark.read.schema(ddl + ", batch_id bigint").parquet(path)
+        return spark.read.schema(", ".join([*([ddl] if ddl else []), "batch_id bigint"])).parquet(path)
     except AnalysisException as ex:
         if ex.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], ddl + ", batch_id bigint")
+        return spark.createDataFrame([], ", ".join([*([ddl] if ddl else []), "batch_id bigint"]))
 
 
-def write_ledger(accepted: DataFrame, path: str, batch_id: int) -> None:
-    """Append accepted rows, partitioned by day.
+def write_ledger(accepted: DataFrame, path: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Append accepted rows, partitioned by day and account bucket.
 
-    The rebalance hint gathers small days into few files and splits a day that
-    holds too much for one task.
+    The rebalance hint gathers small days into few files and splits a bucket that
+    holds too much for one task. A ledger keeps its number of buckets.
     """
-    dated = accepted.withColumn("txn_date", F.to_date("txn_timestamp")).hint("rebalance", "txn_date")
-    write_batch(dated, path, batch_id, ["txn_date"])
+    dated = accepted.withColumns({"txn_date": F.to_date("txn_timestamp"), "account_bucket": bucket_of(F.col("account_id"), buckets)})
+    write_batch(dated.hint("rebalance", "txn_date", "account_bucket"), path, batch_id, ["txn_date", "account_bucket"])
 
 
 def read_ledger_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER_DDL + ", batch_id bigint, txn_date date").parquet(path)
+    return spark.read.schema(LEDGER_DDL + ", batch_id bigint, txn_date date, account_bucket int").parquet(path)
+
+
+def last_committed(spark: SparkSession, path: str) -> int:
+    """The last batch of which everything is written, by the log that is written last; -1 for none."""
+    return read_log(spark, path, "").agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
 
 
 def current_ledger(log: DataFrame) -> DataFrame:

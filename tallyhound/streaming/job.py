@@ -2,11 +2,19 @@
 
 Rows may arrive any amount of time late: every batch re-reads the history around its own rows
 (see `plans.context`), so no watermark cuts anything off and no batch reads more days than
-that. Every write replaces its batch's folder, so a repeated batch changes nothing.
+that.
+
+A batch's summary is written last and commits it: readers see the tables of committed batches only, so
+never hits without their evidence or half a batch. A batch that stopped on the way is written anew, in the same
+folders; one that is committed is not touched again. Batches come in order, numbered from 0.
+
+A rule that fails holds up nothing. It is noted as pending, and runs with the next batch over the rows of all
+batches it has missed; its findings are logged there.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import time
 from dataclasses import dataclass
 from datetime import datetime
@@ -20,6 +28,7 @@ from tallyhound import refs
 from tallyhound.functions.params import load_settings
 from tallyhound.operators import flows, rules
 from tallyhound.plans import context, detection, store
+from tallyhound.plans.keys import KeyTable
 from tallyhound.plans.ingest import audit_row, ingest, refuse_bad_rates, source_ref, summarise
 from tallyhound.schemas import LEDGER_COLUMNS
 
@@ -39,6 +48,12 @@ class StreamJob:
     jurisdictions: Callable[[], DataFrame] | None = None
     watchlist: Callable[[], DataFrame] | None = None
     strict: bool = True
+    buckets: int = store.BUCKETS
+
+    @property
+    def keys(self) -> KeyTable:
+        """Keys of all alerts opened so far."""
+        return KeyTable(f"{self.path}/alert_keys", "dedup_key")
 
     @property
     def ledger_path(self) -> str:
@@ -50,6 +65,8 @@ class StreamJob:
 
     def process(self, raw: DataFrame, batch_id: int) -> None:
         spark = raw.sparkSession
+        if batch_id <= self.last_committed(spark):
+            return
         as_of = self.now()
         if "row_number" not in raw.columns:
             raw = raw.withColumn("row_number", F.monotonically_increasing_id() + 1)
@@ -58,49 +75,72 @@ class StreamJob:
         rates = refuse_bad_rates(self.fx() if self.fx else refs.fx_rates(spark))
         # The raw rows are read once; everything after reads the checked rows as stored.
         done = ingest(raw, self.accounts(), rates, as_of, strict=self.strict, keep=lambda df: store.kept(df, f"{self.path}/checked", batch_id))
-        store.write_ledger(done.accepted, self.ledger_path, batch_id)
+        store.write_ledger(done.accepted, self.ledger_path, batch_id, self.buckets)
         store.write_batch(done.rejected.withColumn("batch_ref", source_ref(source, as_of)), f"{self.path}/rejects", batch_id)
-        result = self.detect(spark, batch_id, as_of)
-        summary = summarise(done.checked, source, as_of, alerts=self.new_keys(spark, batch_id).count(),
-                            duration_ms=int((time.monotonic() - began) * 1000))
-        # A batch with failed rules can be run again: `detect` replaces what it wrote.
+        result, opened = self.detect(spark, batch_id, as_of)
+        summary = summarise(done.checked, source, as_of, alerts=opened, duration_ms=int((time.monotonic() - began) * 1000))
         stamped = summary.withColumns({"hits": F.lit(result.hits).cast("long"), "failed_rules": F.lit(",".join(result.failed_rules))})
-        made = store.kept(stamped, f"{self.path}/batches", batch_id)
+        made = spark.createDataFrame([stamped.first()], stamped.schema)
         store.write_batch(audit_row(made, as_of), f"{self.path}/audit", batch_id)
+        store.write_batch(made, f"{self.path}/batches", batch_id)
+
+    def last_committed(self, spark: SparkSession) -> int:
+        return store.last_committed(spark, f"{self.path}/batches")
 
-    def detect(self, spark: SparkSession, batch_id: int, as_of: datetime) -> detection.RunResult:
-        log = store.read_ledger_log(spark, self.ledger_path).where(F.col("batch_id") <= batch_id)
-        fresh = log.where(F.col("batch_id") == batch_id).select(*LEDGER_COLUMNS)
+    def read(self, spark: SparkSession, name: str) -> DataFrame:
+        """A table of the job (ledger, rejects, batches, audit, answers ...), committed batches only."""
+        return spark.read.parquet(f"{self.path}/{name}").where(F.col("batch_id") <= self.last_committed(spark))
+
+    def contexts(self, spark: SparkSession, batches: list[int], settings) -> dict[str, rules.RuleContext]:
+        """What the rules read for the rows of some batches: nothing written after the last of them."""
+        log = store.read_ledger_log(spark, self.ledger_path).where(F.col("batch_id") <= max(batches))
+        fresh = log.where(F.col("batch_id").isin(batches)).select(*LEDGER_COLUMNS)
         lists = dict(jurisdictions=self.jurisdictions() if self.jurisdictions else None,
                      watchlist=self.watchlist() if self.watchlist else None, fresh=fresh)
-        settings = load_settings(self.config() if self.config else refs.rule_config(spark))
-        span = context.batch_reach(fresh)
 
         def history(key: str, reach) -> DataFrame:
-            return fresh if span is None else store.current_rows_of(reach(span, settings).rows(log), fresh, key)
-        contexts = {
+            return store.current_rows_of(context.rows_in_reach(log, reach(fresh, settings), key, self.buckets), fresh, key)
+        return {
             rules.TRANSACTION: rules.RuleContext(fresh, **lists),
             rules.ACCOUNT_WINDOW: rules.RuleContext(history("account_id", context.account_reach), **lists),
             rules.CUSTOMER_WINDOW: rules.RuleContext(history("customer_id", context.customer_reach), **lists),
         }
+
+    def detect(self, spark: SparkSession, batch_id: int, as_of: datetime) -> tuple[detection.RunResult, int]:
+        """Run the rules over a batch and those that earlier batches miss; also the number of alerts opened."""
+        settings = load_settings(self.config() if self.config else refs.rule_config(spark))
+        contexts = self.contexts(spark, [batch_id], settings)
         result = detection.run_detection(contexts, settings, f"{self.path}/findings", batch_id, as_of)
-        found = self.hits(spark).where(F.col("batch_id") == batch_id)
-        # Known keys are kept in a table of their own, one row per alert, so the hit log is not read back.
-        known = store.read_log(spark, f"{self.path}/alert_keys", "dedup_key string").where(F.col("batch_id") < batch_id)
-        store.write_batch(found.select("dedup_key").distinct().join(known, "dedup_key", "left_anti"), f"{self.path}/alert_keys", batch_id)
-        answers = event_answers(fresh, found, self.evidence(spark).where(F.col("batch_id") == batch_id), known, result.duration_ms)
+        missed = self.pending(spark, batch_id - 1)
+        left = {code: [batch_id] for code in result.failed_rules}
+        for code, batches in missed.items():
+            late = detection.run_detection(self.contexts(spark, batches, settings), settings, f"{self.path}/findings", batch_id, as_of, [code], "{}-late")
+            result = dataclasses.replace(result, hits=result.hits + late.hits)
+            if late.failed_rules:
+                left[code] = sorted({*batches, *left.get(code, [])})
+        store.write_batch(spark.createDataFrame([(c, b) for c, n in sorted(left.items()) for b in n], "rule_code string, missed bigint"), f"{self.path}/pending", batch_id)
+
+        found = detection.read_hits(spark, f"{self.path}/findings").where(F.col("batch_id") == batch_id)
+        evidence = detection.read_evidence(spark, f"{self.path}/findings").where(F.col("batch_id") == batch_id)
+        asked = store.kept(found.select("dedup_key").distinct(), f"{self.path}/keys", batch_id)
+        self.keys.add(self.keys.new(asked, batch_id), batch_id)
+        new = spark.read.schema("dedup_key string").parquet(self.keys.folder(0, batch_id))
+        answers = event_answers(contexts[rules.TRANSACTION].fresh, found, evidence, asked.join(new, "dedup_key", "left_anti"), result.duration_ms)
         store.write_batch(answers, f"{self.path}/answers", batch_id)
-        return result
+        return result, new.count()
 
-    def new_keys(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Keys of the alerts that a batch opened."""
-        return store.read_log(spark, f"{self.path}/alert_keys", "dedup_key string").where(F.col("batch_id") == batch_id)
+    def pending(self, spark: SparkSession, batch_id: int) -> dict[str, list[int]]:
+        """Rules that had failed by then, each with the batches it has missed."""
+        out: dict[str, list[int]] = {}
+        for r in store.read_log(spark, f"{self.path}/pending", "rule_code string, missed bigint").where(F.col("batch_id") == batch_id).orderBy("rule_code", "missed").collect():
+            out.setdefault(r["rule_code"], []).append(r["missed"])
+        return out
 
     def hits(self, spark: SparkSession) -> DataFrame:
-        return detection.read_hits(spark, f"{self.path}/findings")
+        return detection.read_hits(spark, f"{self.path}/findings").where(F.col("batch_id") <= self.last_committed(spark))
 
     def evidence(self, spark: SparkSession) -> DataFrame:
-        return detection.read_evidence(spark, f"{self.path}/findings")
+        return detection.read_evidence(spark, f"{self.path}/findings").where(F.col("batch_id") <= self.last_committed(spark))
 
 
 def event_answers(fresh: DataFrame, hits: DataFrame, evidence: DataFrame, earlier: DataFrame, latency_ms: int) -> DataFrame:

@@ -1,4 +1,6 @@
-from datetime import datetime
+from datetime import datetime, timedelta
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tallyhound.operators import alerts as al
 from tallyhound.operators import rules
 from tallyhound.functions.params import load_settings
 from tallyhound.plans import context, detection, store
+from tallyhound.plans.keys import KeyTable
 from tallyhound.sources import files
 from checks import sampledata as sd
 from tallyhound.streaming.job import StreamJob
@@ -40,8 +43,8 @@ def test_ordered_batches_find_what_one_run_finds(spark, sf, tmp_path):
     assert want <= keys(log) and {k for k in keys(log) if k[0] != "STRUCTURING"} == {k for k in want if k[0] != "STRUCTURING"}
     # A later batch finds nothing that lies wholly before its reach.
     second = store.read_ledger_log(spark, j.ledger_path).where("batch_id = 1")
-    reach = context.account_reach(context.batch_reach(second), load_settings(refs.rule_config(spark, LEDGER_RULES)))
-    assert log.where("batch_id = 1").where(F.col("last_ts") < F.lit(reach.start).cast("timestamp_ntz")).count() == 0
+    reach = context.account_reach(second, load_settings(refs.rule_config(spark, LEDGER_RULES)))
+    assert log.where("batch_id = 1").join(reach.groupBy("account_id").agg(F.min("start").alias("start")), "account_id").where("last_ts < start").count() == 0
     before = log.count()
     # The same batch again leaves the log as it was.
     j.process(raw.where(f"txn_timestamp >= '{cuts[1]}'"), 1)
@@ -49,21 +52,128 @@ def test_ordered_batches_find_what_one_run_finds(spark, sf, tmp_path):
     log = j.hits(spark)
     alerts = al.derive_alerts(log, sd.customers(spark, sf), sc.settings(spark), j.evidence(spark))
     assert alerts.count() == alerts.select("dedup_key").distinct().count() == len(keys(log))
-    answers = spark.read.parquet(f"{tmp_path}/answers")
+    answers = j.read(spark, "answers")
     assert answers.count() == raw.count()
     assert answers.agg(F.max("rules_triggered")).first()[0] >= 2
-    assert spark.read.parquet(f"{tmp_path}/batches").agg(F.sum("accepted_records")).first()[0] == raw.count()
+    assert j.read(spark, "batches").agg(F.sum("accepted_records")).first()[0] == raw.count()
 
 
-def test_reading_prunes_days(spark, sf, tmp_path):
-    store.write_ledger(sd.ledger(spark, sf), str(tmp_path), 0)
+def test_reading_prunes_days_and_buckets(spark, sf, tmp_path):
+    l = sd.ledger(spark, sf)
+    store.write_ledger(l, str(tmp_path), 0)
     log = store.read_ledger_log(spark, str(tmp_path))
-    reach = context.Reach(datetime(2024, 1, 10), datetime(2024, 1, 12, 12))
-    rows = reach.rows(log)
+    settings = load_settings(refs.rule_config(spark, LEDGER_RULES))
+    # Two accounts: one row each in January, and of one account another row, two years before.
+    mine = l.orderBy("txn_timestamp").where("account_id = 'ACC_1'").limit(1)
+    other = l.orderBy(F.desc("txn_timestamp")).where("account_id = 'ACC_5'").limit(1)
+    old = mine.withColumn("txn_timestamp", F.col("txn_timestamp") - F.expr("interval 2 years"))
+    batch = mine.unionByName(other).unionByName(old)
+    reach = context.account_reach(batch, settings)
+    assert reach.count() == 3 and reach.where("account_id = 'ACC_1'").count() == 2
+    rows = context.rows_in_reach(log, reach, "account_id")
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(txn_date" in plan
-    assert rows.count() == sd.ledger(spark, sf).where("txn_timestamp between timestamp'2024-01-10' and timestamp'2024-01-12 12:00:00'").count()
-    assert store.ledger_window(log, log, reach.start, reach.end).count() == rows.count()
+    assert "PartitionFilters: [" in plan and "account_bucket" in plan.split("PartitionFilters: [")[1].split("\n")[0]
+    span = rules.max_lookback_hours(settings)
+    want = l.alias("l").join(batch.select("account_id", F.col("txn_timestamp").alias("t")).alias("b"), "account_id").where(
+        f"abs(timestampdiff(SECOND, t, txn_timestamp)) <= {span * 3600}").select("transaction_id").distinct()
+    got = rows.select("transaction_id")
+    assert got.count() == got.distinct().count() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    files = log.where(context.opened(context.by_day(reach, "account_id"), "account_id", log, store.BUCKETS)).select(F.input_file_name()).distinct().count()
+    assert 0 < files < log.select(F.input_file_name()).distinct().count() / 3
+    start, end = datetime(2024, 1, 10), datetime(2024, 1, 12, 12)
+    assert store.ledger_window(log, log, start, end).count() == l.where("txn_timestamp between timestamp'2024-01-10' and timestamp'2024-01-12 12:00:00'").count()
+
+
+def test_stretches_are_the_union_of_reaches(spark):
+    rows = [(k, datetime(2024, 1, 1) + timedelta(hours=h)) for k, hs in {"a": [0, 1, 3, 40, 44, 100], "b": [7], "c": list(range(0, 400, 8))}.items() for h in hs]
+    df = spark.createDataFrame(rows, "account_id string, txn_timestamp timestamp_ntz")
+    got = sorted((r["account_id"], r["start"], r["end"]) for r in context.stretches(df, "account_id", timedelta(hours=4), timedelta(hours=2)).collect())
+    want = []
+    for k, t in sorted(rows):
+        if want and want[-1][0] == k and t - timedelta(hours=4) <= want[-1][2]:
+            want[-1][2] = max(want[-1][2], t + timedelta(hours=2))
+        else:
+            want.append([k, t - timedelta(hours=4), t + timedelta(hours=2)])
+    assert got == [tuple(w) for w in want]
+
+
+def test_a_row_two_years_late(spark, sf, tmp_path):
+    raw = files_like(sd.ledger(spark, sf))
+    j = job(spark, sf, tmp_path)
+    late = "transaction_id like '%77'"
+    j.process(raw.where(f"not ({late})"), 0)
+    old = raw.where(late).withColumn("txn_timestamp", F.concat(F.lit("2022"), F.substring("txn_timestamp", 5, 40)))
+    j.process(old, 1)
+    found = {k for k in keys(j.hits(spark).where("batch_id = 1")) if k[0] == "CTR_THRESHOLD"}
+    assert found == {("CTR_THRESHOLD", f"CTR_THRESHOLD|TXN|{r[0]}") for r in sd.ledger(spark, sf).where(f"{late} and amount_base >= 10000").select("transaction_id").collect()}
+    assert j.hits(spark).where("batch_id = 1 and first_ts > timestamp'2023-01-01'").count() == 0
+
+
+class Stop(RuntimeError):
+    pass
+
+
+def test_a_batch_that_stops_on_the_way_is_not_seen(spark, sf, tmp_path, monkeypatch):
+    raw = files_like(sd.ledger(spark, sf))
+    j = job(spark, sf, tmp_path)
+    j.process(raw.where("txn_timestamp < '2024-01-16'"), 0)
+    seen = {name: j.read(spark, name).count() for name in ("ledger", "answers", "rejects", "audit", "batches", "checked")}
+    hits, evidence = j.hits(spark).count(), j.evidence(spark).count()
+    write = store.write_batch
+    for stop in ("answers", "batches"):
+        def broken(df, path, batch_id, partition_by=None):
+            if path.endswith(stop):
+                raise Stop
+            write(df, path, batch_id, partition_by)
+        monkeypatch.setattr(store, "write_batch", broken)
+        with pytest.raises(Stop):
+            j.process(raw.where("txn_timestamp >= '2024-01-16'"), 1)
+        monkeypatch.setattr(store, "write_batch", write)
+        assert {name: j.read(spark, name).count() for name in seen} == seen
+        assert (j.hits(spark).count(), j.evidence(spark).count()) == (hits, evidence)
+    j.process(raw.where("txn_timestamp >= '2024-01-16'"), 1)
+    assert j.read(spark, "answers").count() == j.read(spark, "ledger").count() == raw.count() and j.hits(spark).count() > hits
+    # Every alert was opened once, however often its batch was begun.
+    opened = [r["dedup_key"] for k in range(2) for r in spark.read.parquet(j.keys.folder(0, k)).collect()]
+    assert sorted(opened) == sorted({k for _, k in keys(j.hits(spark))})
+
+
+def test_a_failed_rule_runs_with_the_next_batch(spark, sf, tmp_path, monkeypatch):
+    raw = files_like(sd.ledger(spark, sf))
+    real, calls = rules._REGISTRY["CTR_THRESHOLD"], []
+
+    def flaky(ctx, s):
+        calls.append(1)
+        if len(calls) <= 3:  # its own run over two batches, and the late one with the second
+            raise RuntimeError("defect")
+        return real.find(ctx, s)
+    monkeypatch.setitem(rules._REGISTRY, "CTR_THRESHOLD", rules.Rule(real.code, real.typology, real.scope, flaky))
+    j = job(spark, sf, tmp_path)
+    for i, where in enumerate(["txn_timestamp < '2024-01-10'", "txn_timestamp >= '2024-01-10' and txn_timestamp < '2024-01-20'", "txn_timestamp >= '2024-01-20'"]):
+        j.process(raw.where(where), i)
+    assert [r["failed_rules"] for r in j.read(spark, "batches").orderBy("batch_id").collect()] == ["CTR_THRESHOLD", "CTR_THRESHOLD", ""]
+    assert j.pending(spark, 0) == {"CTR_THRESHOLD": [0]} and j.pending(spark, 1) == {"CTR_THRESHOLD": [0, 1]} and j.pending(spark, 2) == {}
+    found = j.hits(spark).where("rule_code = 'CTR_THRESHOLD'")
+    want = {k for k in batch_keys(spark, sf, LEDGER_RULES) if k[0] == "CTR_THRESHOLD"}
+    assert keys(found) == want and found.count() == len(want)
+    assert {r["batch_id"] for r in found.collect()} == {2}
+
+
+def test_key_segments_merge(spark, tmp_path):
+    t = KeyTable(str(tmp_path), "k", fan_out=3, buckets=4)
+    assert KeyTable("", "k", 3).segments(16) == [(2, 0), (1, 9), (1, 12), (0, 15)]
+    for i in range(13):
+        asked = spark.createDataFrame([(f"key{j}",) for j in (i, i + 1, 500 + i // 4)], "k string").cache()
+        t.add(t.new(asked, i), i)
+        t.add(t.new(asked, i), i)
+    want = {f"key{j}" for j in range(14)} | {f"key{500 + i // 4}" for i in range(13)}
+    known = t.known(spark, 13)
+    got = [r["k"] for r in known.collect()]
+    assert sorted(got) == sorted(want)
+    assert len(t.segments(13)) <= 4 and len(t.segments(6560)) <= 2 * 8
+    one = t.known(spark, 9, [2])
+    assert one.inputFiles() and {r["k"] for r in one.collect()} == {k["k"] for k in known.where(t.bucket == 2).collect() if k["k"] in {r["k"] for r in t.known(spark, 9).collect()}}
+    assert "(bucket#" in one._jdf.queryExecution().executedPlan().toString()
 
 
 def test_late_rows(spark, sf, tmp_path):
@@ -88,7 +198,7 @@ def test_json_stream(spark, sf, tmp_path):
                   config=lambda: refs.rule_config(spark, [r for r in refs.RULE_CONFIG if r[0] == "CTR_THRESHOLD"]))
     j.start(files.stream_json(spark, str(source), 1), str(tmp_path / "state")).awaitTermination()
     assert {r["dedup_key"] for r in j.hits(spark).collect()} == {f"CTR_THRESHOLD|TXN|T{i}" for i in range(4)}
-    assert [r["record_key"] for r in spark.read.parquet(f"{tmp_path}/out/rejects").collect()] == ["BAD"]
+    assert [r["record_key"] for r in j.read(spark, "rejects").collect()] == ["BAD"]
 
 
 def test_a_failing_rule_stops_no_other(spark, sf, tmp_path):
