@@ -10,10 +10,12 @@ that is also done on the case-folded texts, with names as literal words there, s
 found; a name of the item may stand for another word between two words that agree, and must do so consistently. So
 a question with other numbers and names is found as well as a verbatim one.
 
-Defined cases: null and empty texts match nothing, on either side; items with fewer than `window` words
-have no window and match nothing; windows with fewer than half literal words are not used; rows that repeat
-count once per (id, text), items that repeat an id count each text of it; null ids take part; empty
-tables give an empty result. Full texts are read.
+Windows with fewer than half literal words are not used. Items that have no other window, and items shorter than a window but
+with SHORTEST words or more, are looked for by their words themselves, case-folded: verbatim copies are always found.
+
+Defined cases: null and empty texts match nothing, on either side; items with fewer than SHORTEST words
+are common phrases and match nothing; rows that repeat count once per (id, text), items that repeat an id count each text of
+it; null ids take part; empty tables give an empty result. Full texts are read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from tallyhound.operators.skew import checked_side
 
 WINDOW = 8
 STRIDE = 1
+# Words an item must have to be evidence.
+SHORTEST = 4
 # Share of an item's words that must agree in their place.
 COVERAGE = 0.6
 # Benchmark windows, or documents that meet one, that may be sent to every executor; more are joined by shuffle.
@@ -90,14 +94,14 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     # `slot`: the item's slots; `name`: those of the folded template's literal words that are names.
     slot = F.transform("t", is_slot)
     items = items.select("item_id", F.explode(F.array(*(
-        F.struct(F.xxhash64("h", F.lit(int(fold))).alias("q"), F.lit(fold).alias("fold"), F.col(t).alias("t"), F.col(raw).alias("raw"), slot.alias("slot"))
+        F.struct("h", F.xxhash64("h", F.lit(int(fold))).alias("q"), F.lit(fold).alias("fold"), F.col(t).alias("t"), F.col(raw).alias("raw"), slot.alias("slot"))
         for fold, t, raw in ((False, "t", "raw"), (True, "ft", "fraw"))))).alias("x")).select("item_id", "x.*")
     items = items.withColumn("name", F.transform("t", lambda x, i: F.col("fold") & ~is_slot(x) & F.coalesce(F.get("slot", i), F.lit(False))))
     items = items.withColumn("slot", F.transform("t", lambda x, i: is_slot(x) | F.get("name", i)))
-    items = stored(items.where(F.size("t") >= window), "templates")
+    items = stored(items.where(F.size("t") >= min(window, SHORTEST)), "templates")
     literal = F.size(F.filter(F.slice(F.col("t"), F.col("pos") + 1, window), lambda x: ~is_slot(x))) * 2 >= window
-    asked = windows(items, 1, window, "q").join(items.select(F.col("q").alias("iq"), "fold", "t"), F.col("q") == F.col("iq")).where(literal)
-    asked = stored(asked.select("q", "fold", F.size("t").alias("n"), F.col("pos").alias("at"), F.col("w").alias("aw")), "template-windows")
+    asked = windows(items, 1, window, "q").join(items.select("h", F.col("q").alias("iq"), "fold", "t"), F.col("q") == F.col("iq")).where(literal)
+    asked = stored(asked.select("h", "q", "fold", F.size("t").alias("n"), F.col("pos").alias("at"), F.col("w").alias("aw")), "template-windows")
     few = asked.count() <= BROADCAST_WINDOWS
 
     d = whole(docs, id_col, text_col).select("_id", F.xxhash64("_id", "_text").alias("d"), "_text")
@@ -105,7 +109,15 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     held = windows(d.select("d", both), stride, window, "d")
     met = held.join(F.broadcast(asked) if few else asked, F.col("w") == F.col("aw"))
     # `shift`: where the item's first word falls in the document.
-    laid = stored(met.select("d", "q", "fold", "n", (F.col("pos") - F.col("at")).alias("shift")).distinct(), "meetings")
+    met = met.select("d", "q", "fold", "n", (F.col("pos") - F.col("at")).alias("shift"))
+    # Items without a window of that kind, by their folded words; at most `window` sizes of runs.
+    plain = items.where("fold").join(asked.select("h"), "h", "left_anti").withColumns({"n": F.size("t"), "size": F.least(F.size("t"), F.lit(window)), "t": F.col("raw")})
+    for (size,) in sorted(plain.select("size").distinct().collect()):
+        runs = windows(plain.where(F.col("size") == size), 1, size, "q", "n").select("q", "n", F.col("pos").alias("at"), F.col("w").alias("aw"))
+        there = windows(d.select("d", words(folded(F.col("_text"))).alias("t")), 1, size, "d")
+        met = met.unionByName(there.join(checked_side(runs, BROADCAST_WINDOWS), F.col("w") == F.col("aw")).select(
+            "d", "q", F.lit(True).alias("fold"), "n", (F.col("pos") - F.col("at")).alias("shift")))
+    laid = stored(met.distinct(), "meetings")
 
     # Counted, and broadcast only while few documents meet an item; else joined by shuffle.
     asks = checked_side(laid.groupBy(F.col("d").alias("ad")).agg(F.collect_list(F.struct("q", "fold", "n", "shift")).alias("asks")), BROADCAST_WINDOWS)

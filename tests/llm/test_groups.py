@@ -241,6 +241,35 @@ def test_items_in_capitals_are_found(spark):
     assert got == {(1, 1): (1.0, 0), (2, 1): (1.0, 0), (3, 2): (1.0, 0), (4, 1): (1.0, 4), (6, 1): (1.0, 0)}
 
 
+def plain_template(text, names=True):
+    """The template from its definition, word by word."""
+    import regex
+    text = regex.sub(r"(?<=[0-9])[.,](?=[0-9])", "", text)
+    text = regex.sub("[0-9]+", "0", text)
+    if names:
+        text = regex.sub(r"(?<=[\p{L}0-9,;] )\p{Lu}\p{L}*", "1", text)
+    return ["2" if w in template_decontam.UNITS else w for w in regex.split(r"[^\p{L}0-9]+", text.lower()) if w]
+
+
+def test_templates_match_plain_python(spark):
+    r = random.Random(3)
+    parts = ["a", "Km", "km", "KM", "5", "3.5", "1,000", "m2", "Ann", "ann's", "é", "Ö", "days,", "day;", "x.y", "-", "kg3", "\n", "ß"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(400)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = d.select(template_decontam.template(F.col("t")).alias("a"), template_decontam.template(F.col("t"), names=False).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(plain_template(t), plain_template(t, False)) for t in texts]
+
+
+def test_short_and_number_heavy_items(spark):
+    items = ["What is the capital of France?", "Compute 3 + 4 + 5 + 6 + 7 + 8 + 9 now please", "Anna met Berta, Carl, Dora, Emil, Fritz, Gustav, Heinz, Ida", "Yes it is", QUESTION]
+    q = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    d = spark.createDataFrame([(i, f"Some words before it. {t} And some more words after it.") for i, t in enumerate(items)]
+                              + [(10 + i, f"before {t.upper()} after") for i, t in enumerate(items)]
+                              + [(20, "What is the capital of Spain? It is not the capital of France"), (21, "Compute 3 + 4 + 5 + 6 + 7 + 8 + 10 now please"), (22, "3 4 5 6 7 and 8 9")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in rows(template_decontam.find(d, q))}
+    assert got == {(i, i) for i in (0, 1, 2, 4)} | {(10 + i, i) for i in (0, 1, 2, 4)}
+
+
 @pytest.mark.parametrize("few", [200_000, 0])
 def test_every_planted_item_is_found(spark, docs, sf, monkeypatch, few):
     monkeypatch.setattr(template_decontam, "BROADCAST_WINDOWS", few)
