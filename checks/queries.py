@@ -556,7 +556,7 @@ def alr_lookups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def lim_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    return al.timeline(sd.ledger(spark, sf), sc.alerts(spark, sf), sc.evidence(spark, sf), limit=20).select(
+    return al.timeline(sd.ledger(spark, sf), sc.alerts(spark, sf), sc.logged_evidence(spark, sf), limit=20, windows=sc.windows(spark, sf)).select(
         "customer_id", "place", "transaction_id", "txn_timestamp", "direction", "amount_base", "alert_ref", "risk_score")
 
 
@@ -754,9 +754,9 @@ def lim_customers_by_rating(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _reports(spark: SparkSession, sf: str) -> sar.Reports:
-    return sar.draft(sc.closed_cases(spark, sf), sc.members(spark, sf), sc.alerts(spark, sf), sc.evidence(spark, sf), sd.ledger(spark, sf),
+    return sar.draft(sc.closed_cases(spark, sf), sc.members(spark, sf), sc.alerts(spark, sf), sc.logged_evidence(spark, sf), sd.ledger(spark, sf),
                      sd.customers(spark, sf), sd.accounts(spark, sf), sc.INSTITUTION, "analyst1",
-                     F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"))
+                     F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), windows=sc.windows(spark, sf))
 
 
 @query
@@ -781,7 +781,9 @@ def rep_sar_schedule(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rep_sar_citations(spark: SparkSession, sf: str) -> DataFrame:
-    return _reports(spark, sf).citations
+    """Listed citations, and those logged as windows written out."""
+    r = _reports(spark, sf)
+    return r.citations.unionByName(sar.expand_ranges(r.ranges, sd.ledger(spark, sf))).distinct()
 
 
 @query

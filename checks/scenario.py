@@ -119,6 +119,16 @@ def evidence(spark: SparkSession, sf: str) -> DataFrame:
     return _written(spark, sf, "evidence", build)
 
 
+def logged_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence as the job logs it: of rapid movements the anchor alone."""
+    return _written(spark, sf, "logged_evidence", lambda: all_findings(spark, sf).evidence)
+
+
+def windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The hits whose evidence is an anchor and a window."""
+    return hits(spark, sf).where(F.col("rule_code").isin(rules.RANGED))
+
+
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     return _written(spark, sf, "alerts", lambda: al.derive_alerts(hits(spark, sf), sd.customers(spark, sf), settings(spark)))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.functions import scoring, text
 from tallyhound.functions.params import RuleSetting
+from tallyhound.operators import flows, skew
 from tallyhound.operators.rules import RANGED
 
 
@@ -180,20 +181,24 @@ def by_case(members: DataFrame, alerts: DataFrame, cases: str | DataFrame) -> Da
     return alerts.join(_matching(members, "case_ref", cases).select("alert_ref").distinct(), "alert_ref", "left_semi")
 
 
-def timeline(ledger: DataFrame, alerts: DataFrame, evidence: DataFrame, limit: int = 100, cap: int = 500) -> DataFrame:
+def timeline(ledger: DataFrame, alerts: DataFrame, evidence: DataFrame, limit: int = 100, cap: int = 500, windows: DataFrame | None = None,
+             hours: int = 48) -> DataFrame:
     """Each customer's newest transactions with the alerts that cite them.
 
     One row per (transaction, alert), ranked by score; a transaction no alert
-    cites keeps one row. The top-n is cut before the shuffle, so a busy customer
-    sends at most n rows per input partition.
+    cites keeps one row. `windows` are the hits (dedup_key, account_id, first_ts) whose evidence is logged as an anchor and
+    a window of `hours`; only the transactions that are shown are looked up in them.
     """
-    newest = Window.partitionBy("customer_id").orderBy(F.desc("txn_timestamp"), F.asc("transaction_id"))
-    top = (
-        ledger.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= min(limit, cap))
-        .select("customer_id", "place", "transaction_id", "txn_timestamp", "account_id", "direction", "amount", "currency",
-                "amount_base", "channel", "counterparty_name", "counterparty_country"))
+    n = min(limit, cap)
+    top = skew.top_n(ledger, ["customer_id"], [F.desc("txn_timestamp"), F.asc("transaction_id")], n, "place").select(
+        "customer_id", "place", "transaction_id", "txn_timestamp", "account_id", "direction", "amount", "currency",
+        "amount_base", "channel", "counterparty_name", "counterparty_country")
+    listed = evidence.select("dedup_key", "transaction_id")
+    if windows is not None:
+        shown = flows.outflows_of(windows.select("dedup_key", "account_id", "first_ts").distinct(), top, F.col("direction") == "DEBIT", hours)
+        listed = listed.unionByName(shown.select("dedup_key", "transaction_id"))
     cited = (
-        evidence.select("dedup_key", F.col("transaction_id").alias("_txn")).distinct()
+        listed.withColumnRenamed("transaction_id", "_txn").distinct()
         .join(alerts.select("dedup_key", "alert_ref", "risk_score", F.col("customer_id").alias("_customer")), "dedup_key")
         .drop("dedup_key"))
     mine = (F.col("transaction_id") == F.col("_txn")) & (F.col("customer_id") == F.col("_customer"))

@@ -31,7 +31,7 @@ def _hours(n: int) -> Column:
     return F.make_dt_interval(hours=F.lit(n))
 
 
-def find_clusters(candidates: DataFrame, hours: int, min_count: int, hot_limit: int | None = None) -> DataFrame:
+def find_clusters(candidates: DataFrame, hours: int, min_count: int, hot_limit: float | None = None) -> DataFrame:
     """Cluster members, one row per event, in MEMBER_COLUMNS.
 
     `candidates` has account_id, customer_id, transaction_id, txn_timestamp and

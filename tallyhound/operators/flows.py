@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ _ORDER = ["at", "kind", "transaction_id"]
 
 
 def outflow_after_deposits(ledger: DataFrame, is_deposit: Column, is_outflow: Column, hours: int,
-                           hot_limit: int | None = None) -> DataFrame:
+                           hot_limit: float | None = None) -> DataFrame:
     """Deposits with the count and sum of outflows in `[t, t + hours]`, where there is one.
 
     Two readings of a running total, at the window's open and close, give each sum.
@@ -71,7 +73,7 @@ def _read_off(totals: DataFrame) -> DataFrame:
         .where("outflow_count > 0"))
 
 
-def windows_covering(rows: DataFrame, windows: DataFrame, hot_limit: int | None = None) -> DataFrame:
+def windows_covering(rows: DataFrame, windows: DataFrame, hot_limit: float | None = None) -> DataFrame:
     """For each row (account_id, transaction_id, txn_timestamp), how many windows
     (account_id, first_ts, last_ts, is_new) on its account cover it: `covered`, `covered_new`.
 
@@ -99,6 +101,38 @@ def windows_covering(rows: DataFrame, windows: DataFrame, hot_limit: int | None
     return out.where(F.col("kind") == _DEBIT).drop("kind")
 
 
+def stretches(rows: DataFrame, keys: list[str], at: Column, before: timedelta, after: timedelta) -> DataFrame:
+    """`keys`, `start`, `end`: the union of [t - before, t + after] over each key's times, as disjoint stretches.
+
+    Rows are first combined, on the map side, to one per key and cell of that width, so
+    a key's window holds at most the calendar's cells, however many rows it has.
+    """
+    width = int((before + after) / timedelta(microseconds=1))
+    cells = rows.select(*keys, at.alias("_at")).where("_at is not null").groupBy(
+        *keys, F.floor(F.unix_micros(F.col("_at").cast("timestamp")) / width).alias("_cell")).agg(F.min("_at").alias("lo"), F.max("_at").alias("hi"))
+    reach = cells.select(*keys, (F.col("lo") - F.lit(before)).alias("start"), (F.col("hi") + F.lit(after)).alias("end"))
+    in_order = Window.partitionBy(*keys).orderBy("start", "end")
+    apart = F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    numbered = reach.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
+        "n", F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("n")
+
+
+def by_day(stretches_: DataFrame, keys: list[str], day: str = "txn_date") -> DataFrame:
+    """`keys`, the day, `start`, `end`: one row per day that a stretch touches."""
+    return stretches_.select(*keys, F.explode(F.sequence(F.to_date("start"), F.to_date("end"))).alias(day), "start", "end")
+
+
+def outflows_within(windows: DataFrame, keys: list[str], ledger: DataFrame, hours: int) -> DataFrame:
+    """`keys`, `transaction_id`: the debits in any of a key's windows (account_id, first_ts; each `hours` long), once
+    each. Overlapping windows are united first, so a debit that many of them cover is met once: no pairs."""
+    spans = stretches(windows, [*keys, "account_id"], F.col("first_ts"), timedelta(0), timedelta(hours=hours))
+    days = by_day(spans, [*keys, F.col("account_id").alias("_account")], "_day")
+    debits = ledger.where(F.col("direction") == "DEBIT").select("account_id", "transaction_id", "txn_timestamp")
+    met = (F.col("account_id") == F.col("_account")) & (F.to_date("txn_timestamp") == F.col("_day")) & F.col("txn_timestamp").between(F.col("start"), F.col("end"))
+    return debits.join(days, met).select(*keys, "transaction_id")
+
+
 def outflows_of(deposits: DataFrame, ledger: DataFrame, is_outflow: Column, hours: int) -> DataFrame:
     """The outflow rows behind each given deposit (dedup_key, account_id, anchor time).
 

@@ -8,7 +8,7 @@ never gathered into one array, because a single hit may cite any number of rows.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -35,13 +35,20 @@ class RuleContext:
     jurisdictions: DataFrame | None = None
     watchlist: DataFrame | None = None
     fresh: DataFrame | None = None
-    hot_limit: int | None = None
+    hot_limit: float | None = None
     # Stores what hits and evidence are both made of; without it each is computed by itself.
     keep: Callable[[DataFrame], DataFrame] | None = None
 
     def kept(self, df: DataFrame) -> DataFrame:
         return self.keep(df) if self.keep else df
 
+    def counted(self) -> RuleContext:
+        """The same, after one count for all account rules: if no account has more rows than the lowest of
+        their limits, none is hot for any rule, and no rule counts again."""
+        if self.hot_limit is None and skew.busiest(self.ledger, ["account_id"]) <= min(clusters.FOLD_ROWS, skew.HOT_ROWS):
+            return replace(self, hot_limit=skew.NEVER)
+        return self
+
     @property
     def current(self) -> DataFrame:
         return self.ledger if self.fresh is None else self.fresh
@@ -336,7 +343,10 @@ def deviation(ctx: RuleContext, s: RuleSetting) -> Findings:
 def detect(ctx: RuleContext, settings: dict[str, RuleSetting]) -> Findings:
     """All active rules in one lazy plan. See `plans.detection` for the job that
     writes each rule's findings by itself, so that one failing rule stops no other."""
-    found = [r.find(ctx, settings[r.code]) for r in active_rules(settings)]
+    active = active_rules(settings)
+    if any(r.scope == ACCOUNT_WINDOW for r in active):
+        ctx = ctx.counted()
+    found = [r.find(ctx, settings[r.code]) for r in active]
     if not found:
         empty = ctx.ledger.sparkSession.range(0)
         none = {f.split(" ", 1)[0]: F.lit(None) for f in (HIT_DDL + ", " + EVIDENCE_DDL).split(", ")}

@@ -15,6 +15,7 @@ from tallyhound.session import cut_lineage
 
 # Rows of one key that a single task may hold.
 HOT_ROWS = 100_000
+NEVER = float("inf")
 # A side with at most this many narrow rows may be sent to every executor.
 BROADCAST_ROWS = 500_000
 
@@ -30,14 +31,22 @@ def checked_side(df: DataFrame, limit: int | None = None) -> DataFrame:
     return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
+def busiest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the key that has most."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def hot_keys(df: DataFrame, keys: list[str], limit: float | None = None) -> DataFrame | None:
     """Keys with more than `limit` rows, or None when there are none.
 
     The count is a map-side combined aggregate, made at every size of input: a small
     file may hold millions of rows of one key. At most rows / limit keys come back,
-    so the result is far smaller than its input.
+    so the result is far smaller than its input. A limit of NEVER says that the caller
+    has counted and found none.
     """
     limit = HOT_ROWS if limit is None else limit
+    if limit == NEVER:
+        return None
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("hot_rows")).where(F.col("hot_rows") > limit)
     counted = cut_lineage(counted)
     return None if counted.isEmpty() else counted
@@ -51,6 +60,15 @@ def split_hot(df: DataFrame, hot: DataFrame | None, keys: list[str]) -> tuple[Da
     return df.join(names, keys, "left_anti"), df.join(names, keys, "left_semi")
 
 
+def top_n(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str, salts: int = 32) -> DataFrame:
+    """The first `n` rows of each key, numbered from 1 in `name`, in two levels: input partitions are dealt to
+    `salts` groups, each group keeps its first n of a key, and the key's first n are taken of those. Each level cuts before its
+    shuffle, so a key held by P partitions sends n * P / salts rows to a task, and then n * salts."""
+    dealt = df.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    some = dealt.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))).where(F.col(name) <= n)
+    return some.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= n).drop("_salt")
+
+
 def cut_into_pieces(df: DataFrame, keys: list[str], order: list[str], pieces: int | None = None) -> DataFrame:
     """Rows in (key, order) ranges of equal size, with the piece number.
 

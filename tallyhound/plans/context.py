@@ -13,46 +13,23 @@ from datetime import date, timedelta
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyhound.functions.params import RuleSetting
-from tallyhound.operators import rules, skew
+from tallyhound.operators import flows, rules, skew
 from tallyhound.plans import store
 
 
-def stretches(batch: DataFrame, key: str, before: timedelta, after: timedelta, at: Column | None = None) -> DataFrame:
-    """`key`, `start`, `end`: the union of [t - before, t + after] over each key's rows, as disjoint stretches.
-
-    Rows are first combined, on the map side, to one per key and cell of that width, so
-    a key's window holds at most the calendar's cells, however many rows it has.
-    """
-    width = int((before + after) / timedelta(microseconds=1))
-    t = F.col("txn_timestamp") if at is None else at
-    cells = batch.where(t.isNotNull()).groupBy(key, F.floor(F.unix_micros(t.cast("timestamp")) / width).alias("cell")).agg(F.min(t).alias("lo"), F.max(t).alias("hi"))
-    reach = cells.select(key, (F.col("lo") - F.lit(before)).alias("start"), (F.col("hi") + F.lit(after)).alias("end"))
-    in_order = Window.partitionBy(key).orderBy("start", "end")
-    apart = F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = reach.withColumn("apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn(
-        "n", F.sum("apart").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "n").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("n")
-
-
 def account_reach(batch: DataFrame, settings: dict[str, RuleSetting]) -> DataFrame:
     span = timedelta(hours=rules.max_lookback_hours(settings))
-    return stretches(batch, "account_id", span, span)
+    return flows.stretches(batch, ["account_id"], F.col("txn_timestamp"), span, span)
 
 
 def customer_reach(batch: DataFrame, settings: dict[str, RuleSetting]) -> DataFrame:
     """From midnight of the first baseline day to the end of the day, for each of a customer's days."""
     days = max((int(s.params["baselineDays"]) for s in settings.values() if "baselineDays" in s.params), default=90)
-    return stretches(batch, "customer_id", timedelta(days=days), timedelta(days=1, microseconds=-1), F.date_trunc("day", "txn_timestamp").cast("timestamp_ntz"))
-
-
-def by_day(reach: DataFrame, key: str) -> DataFrame:
-    """`key`, `txn_date`, `start`, `end`: one row per day that a stretch touches."""
-    days = F.sequence(F.to_date("start"), F.to_date("end"))
-    return reach.select(key, F.explode(days).alias("txn_date"), "start", "end")
+    return flows.stretches(batch, ["customer_id"], F.date_trunc("day", "txn_timestamp").cast("timestamp_ntz"), timedelta(days=days), timedelta(days=1, microseconds=-1))
 
 
 def in_days(days: list[date]) -> Column:
@@ -81,7 +58,7 @@ def opened(days: DataFrame, key: str, ledger: DataFrame, buckets: int) -> Column
 
 def rows_in_reach(ledger: DataFrame, reach: DataFrame, key: str, buckets: int = store.BUCKETS) -> DataFrame:
     """Ledger rows inside their key's stretches. Stored days and buckets that hold none are not opened."""
-    days = skew.checked_side(by_day(reach, key).withColumnsRenamed({key: "_key", "txn_date": "_day"}))
+    days = skew.checked_side(flows.by_day(reach, [key]).withColumnsRenamed({key: "_key", "txn_date": "_day"}))
     plain = days.withColumnsRenamed({"_key": key, "_day": "txn_date"})
     stored = "txn_date" in ledger.columns
     rows = ledger.where(opened(plain, key, ledger, buckets)) if stored else ledger

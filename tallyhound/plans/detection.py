@@ -37,6 +37,9 @@ def run_detection(contexts: rules.RuleContext | dict[str, rules.RuleContext], se
         contexts = {scope: contexts for scope in rules.SCOPES}
     contexts = {scope: dataclasses.replace(c, keep=cut_lineage) for scope, c in contexts.items()}
     began = time.monotonic()
+    active = [r for r in rules.active_rules(settings) if only is None or r.code in only]
+    if any(r.scope == rules.ACCOUNT_WINDOW for r in active):
+        contexts[rules.ACCOUNT_WINDOW] = contexts[rules.ACCOUNT_WINDOW].counted()
 
     def run_rule(r: rules.Rule) -> int | None:
         try:
@@ -55,7 +58,6 @@ def run_detection(contexts: rules.RuleContext | dict[str, rules.RuleContext], se
                 write_batch(contexts[r.scope].current.sparkSession.createDataFrame([], ddl), f"{path}/{kind}/run={label.format(r.code)}", batch_id)
             return None
 
-    active = [r for r in rules.active_rules(settings) if only is None or r.code in only]
     # The rules' jobs share the cluster, so one rule's last tasks do not leave it idle.
     with ThreadPoolExecutor(max_workers=max(1, len(active))) as pool:
         evaluated = pool.submit(contexts[rules.TRANSACTION].current.count)

@@ -91,8 +91,9 @@ class StreamJob:
         """A table of the job (ledger, rejects, batches, audit, answers ...), committed batches only."""
         return spark.read.parquet(f"{self.path}/{name}").where(F.col("batch_id") <= self.last_committed(spark))
 
-    def contexts(self, spark: SparkSession, batches: list[int], settings) -> dict[str, rules.RuleContext]:
-        """What the rules read for the rows of some batches: nothing written after the last of them."""
+    def contexts(self, spark: SparkSession, batches: list[int], settings, batch_id: int) -> dict[str, rules.RuleContext]:
+        """What the rules read for the rows of some batches: nothing written after the last of them. The history
+        that three account rules share is written once, under the running batch."""
         log = store.read_ledger_log(spark, self.ledger_path).where(F.col("batch_id") <= max(batches))
         fresh = log.where(F.col("batch_id").isin(batches)).select(*LEDGER_COLUMNS)
         lists = dict(jurisdictions=self.jurisdictions() if self.jurisdictions else None,
@@ -100,21 +101,22 @@ class StreamJob:
 
         def history(key: str, reach) -> DataFrame:
             return store.current_rows_of(context.rows_in_reach(log, reach(fresh, settings), key, self.buckets), fresh, key)
+        around = store.kept(history("account_id", context.account_reach), f"{self.path}/history", batch_id)
         return {
             rules.TRANSACTION: rules.RuleContext(fresh, **lists),
-            rules.ACCOUNT_WINDOW: rules.RuleContext(history("account_id", context.account_reach), **lists),
+            rules.ACCOUNT_WINDOW: rules.RuleContext(around, **lists),
             rules.CUSTOMER_WINDOW: rules.RuleContext(history("customer_id", context.customer_reach), **lists),
         }
 
     def detect(self, spark: SparkSession, batch_id: int, as_of: datetime) -> tuple[detection.RunResult, int]:
         """Run the rules over a batch and those that earlier batches miss; also the number of alerts opened."""
         settings = load_settings(self.config() if self.config else refs.rule_config(spark))
-        contexts = self.contexts(spark, [batch_id], settings)
+        contexts = self.contexts(spark, [batch_id], settings, batch_id)
         result = detection.run_detection(contexts, settings, f"{self.path}/findings", batch_id, as_of)
         missed = self.pending(spark, batch_id - 1)
         left = {code: [batch_id] for code in result.failed_rules}
         for code, batches in missed.items():
-            late = detection.run_detection(self.contexts(spark, batches, settings), settings, f"{self.path}/findings", batch_id, as_of, [code], "{}-late")
+            late = detection.run_detection(self.contexts(spark, batches, settings, batch_id), settings, f"{self.path}/findings", batch_id, as_of, [code], "{}-late")
             result = dataclasses.replace(result, hits=result.hits + late.hits)
             if late.failed_rules:
                 left[code] = sorted({*batches, *left.get(code, [])})

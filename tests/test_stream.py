@@ -8,7 +8,7 @@ from checks import scenario as sc
 from checks.queries import files_like
 from tallyhound import refs
 from tallyhound.operators import alerts as al
-from tallyhound.operators import rules
+from tallyhound.operators import flows, rules
 from tallyhound.functions.params import load_settings
 from tallyhound.plans import context, detection, store
 from tallyhound.plans.keys import KeyTable
@@ -78,7 +78,7 @@ def test_reading_prunes_days_and_buckets(spark, sf, tmp_path):
         f"abs(timestampdiff(SECOND, t, txn_timestamp)) <= {span * 3600}").select("transaction_id").distinct()
     got = rows.select("transaction_id")
     assert got.count() == got.distinct().count() and got.exceptAll(want).count() == want.exceptAll(got).count() == 0
-    files = log.where(context.opened(context.by_day(reach, "account_id"), "account_id", log, store.BUCKETS)).select(F.input_file_name()).distinct().count()
+    files = log.where(context.opened(flows.by_day(reach, ["account_id"]), "account_id", log, store.BUCKETS)).select(F.input_file_name()).distinct().count()
     assert 0 < files < log.select(F.input_file_name()).distinct().count() / 3
     start, end = datetime(2024, 1, 10), datetime(2024, 1, 12, 12)
     assert store.ledger_window(log, log, start, end).count() == l.where("txn_timestamp between timestamp'2024-01-10' and timestamp'2024-01-12 12:00:00'").count()
@@ -87,7 +87,7 @@ def test_reading_prunes_days_and_buckets(spark, sf, tmp_path):
 def test_stretches_are_the_union_of_reaches(spark):
     rows = [(k, datetime(2024, 1, 1) + timedelta(hours=h)) for k, hs in {"a": [0, 1, 3, 40, 44, 100], "b": [7], "c": list(range(0, 400, 8))}.items() for h in hs]
     df = spark.createDataFrame(rows, "account_id string, txn_timestamp timestamp_ntz")
-    got = sorted((r["account_id"], r["start"], r["end"]) for r in context.stretches(df, "account_id", timedelta(hours=4), timedelta(hours=2)).collect())
+    got = sorted((r["account_id"], r["start"], r["end"]) for r in flows.stretches(df, ["account_id"], F.col("txn_timestamp"), timedelta(hours=4), timedelta(hours=2)).collect())
     want = []
     for k, t in sorted(rows):
         if want and want[-1][0] == k and t - timedelta(hours=4) <= want[-1][2]:
