@@ -46,7 +46,7 @@ from tallyhound.llm.words import chunks
 TOP = 20
 BLOCK_ITEMS = 2_000
 BLOCK_TERMS = 200_000
-# Documents scored first, for the thresholds.
+# Documents scored first, for the thresholds; those of the same length step come with them.
 SEEDS = 4_096
 # Documents of one bucket, and the query coordinates read exactly before the others are bounded.
 BUCKET = 512
@@ -277,10 +277,20 @@ def rank(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     return out
 
 
+def seed_length(rows: DataFrame) -> float:
+    """A length that SEEDS vectors reach, a few more at most if their lengths differ."""
+    left, steps = SEEDS, F.floor(F.log2(F.greatest("length", F.lit(1e-9))) * 64).cast("int")
+    for r in rows.groupBy(steps.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.min("length").alias("length")).orderBy(F.desc("s")).collect():
+        left -= r["n"]
+        if left <= 0:
+            return r["length"]
+    return 0.0
+
+
 def _search(rows: DataFrame, block: Block, top: int) -> DataFrame:
     least = np.ones(len(block.cut) - 1, np.int64)
     by_query: dict[int, list[int]] = {}
-    for r in best_of_tasks(rows.orderBy(F.desc("length")).limit(SEEDS), block, top).collect():
+    for r in best_of_tasks(rows.where(F.col("length") >= seed_length(rows)), block, top).collect():
         by_query.setdefault(r["q"], []).append(r["score"])
     for q, scores in by_query.items():
         if len(scores) >= top:
