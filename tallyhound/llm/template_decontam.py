@@ -64,8 +64,8 @@ def template(text: Column, names: bool = True) -> Column:
     t = F.regexp_replace(_joined(text), "[0-9]+", NUMBER)
     if names:
         t = F.regexp_replace(t, r"(?<=[\p{L}0-9,;] )\p{Lu}\p{L}*", NAME)
-    t = F.regexp_replace(F.lower(t), rf"(?<![\p{{L}}0-9])(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\p{{L}}0-9])", UNIT)
-    return F.array_remove(F.split(t, CUT), "")
+    cut = F.array_remove(F.split(F.lower(t), CUT), "")
+    return F.transform(cut, lambda w: F.when(w.isin(UNITS), UNIT).otherwise(w))
 
 
 def is_slot(word: Column) -> Column:
@@ -78,11 +78,24 @@ def forms(text: Column, t: str, raw: str, one: str, two: str) -> list[Column]:
 
 
 def windows(d: DataFrame, stride: int, window: int, *keys: str) -> DataFrame:
-    """`keys`, `pos`, `w`: fingerprints of the windows that start at multiples of `stride`."""
-    starts = F.floor((F.size("t") - window) / stride)
-    made = F.when(F.size("t") >= window, F.transform(
-        F.sequence(F.lit(0).cast("long"), starts), lambda i: F.xxhash64(F.slice(F.col("t"), (i * stride + 1).cast("int"), window))))
-    return d.select(*keys, F.posexplode(made).alias("i", "w")).select(*keys, (F.col("i") * stride).alias("pos"), "w")
+    """`keys`, `pos`, `w`: fingerprints of the windows that start at multiples of `stride`.
+
+    A fingerprint of n words is made of two of its halves, so a word is hashed once and a window takes
+    log2(n) steps. Each step goes through a generator, so that none is computed again inside the next.
+    """
+    def once(df: DataFrame, h: Column) -> DataFrame:
+        return df.select(*keys, F.explode(F.array(h)).alias("h"))
+
+    def joined(ahead: int) -> Column:
+        return F.transform("h", lambda x, i: F.xxhash64(x, F.get(F.col("h"), i + ahead)))
+
+    hashed, width = once(d.where(F.size("t") >= window), F.transform("t", lambda w: F.xxhash64(w))), 1
+    while width * 2 <= window:
+        hashed, width = once(hashed, joined(width)), width * 2
+    if width < window:
+        hashed = once(hashed, joined(window - width))
+    whole_ones = F.slice("h", F.lit(1), F.size("h") - (window - 1))
+    return hashed.select(*keys, F.posexplode(whole_ones).alias("i", "w")).where(F.col("i") % stride == 0).select(*keys, F.col("i").cast("long").alias("pos"), "w")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
