@@ -30,8 +30,10 @@ def ingest(raw: DataFrame, accounts: DataFrame, fx: DataFrame, as_of: datetime,
 
     `keep` stores the rows between the checks of single rows and the search for repeated ids and
     returns them as stored. With it the raw rows are read, parsed and joined once; without it
-    every use of the result does that again.
+    every use of the result does that again. Rates that are not above zero stop the batch before a
+    row is read.
     """
+    fx = refuse_bad_rates(fx)
     checks = validate.chain(as_of, strict, extra)
     rows = validate.check_rows(raw, accounts, fx, checks)
     checked = validate.flag_repeats(keep(rows) if keep else rows, checks)

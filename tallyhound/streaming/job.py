@@ -29,7 +29,7 @@ from tallyhound.functions.params import load_settings
 from tallyhound.operators import flows, rules
 from tallyhound.plans import context, detection, store
 from tallyhound.plans.keys import KeyTable
-from tallyhound.plans.ingest import audit_row, ingest, refuse_bad_rates, source_ref, summarise
+from tallyhound.plans.ingest import audit_row, ingest, source_ref, summarise
 from tallyhound.schemas import LEDGER_COLUMNS
 
 
@@ -72,7 +72,7 @@ class StreamJob:
             raw = raw.withColumn("row_number", F.monotonically_increasing_id() + 1)
         began = time.monotonic()
         source = f"stream-{batch_id}"
-        rates = refuse_bad_rates(self.fx() if self.fx else refs.fx_rates(spark))
+        rates = self.fx() if self.fx else refs.fx_rates(spark)
         # The raw rows are read once; everything after reads the checked rows as stored.
         done = ingest(raw, self.accounts(), rates, as_of, strict=self.strict, keep=lambda df: store.kept(df, f"{self.path}/checked", batch_id))
         store.write_ledger(done.accepted, self.ledger_path, batch_id, self.buckets)

@@ -94,6 +94,14 @@ def test_extra_check_joins_the_chain(spark, sf):
     assert with_it.accepted.count() + with_it.rejected.count() == raw.count()
 
 
+def test_a_bad_rate_stops_a_batch(spark, sf):
+    rates = refs.fx_rates(spark)
+    for bad in (0, -1, None):
+        wrong = rates.withColumn("rate_to_base", F.when(F.col("currency") == "USD", F.lit(bad).cast("decimal(18,8)")).otherwise(F.col("rate_to_base")))
+        with pytest.raises(ValueError, match="rate must be greater than zero: USD"):
+            ingest(sd.dirty_transactions(spark, sf), sd.accounts(spark, sf), wrong, datetime(2024, 2, 1))
+
+
 def test_message_is_clipped(spark):
     raw = spark.createDataFrame([(1, "T", "A" * 600, "2026-09-18", "CR", "1", "INR")],
                                 "row_number long, transaction_id string, account_id string, txn_timestamp string, direction string, amount string, currency string")
