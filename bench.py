@@ -41,7 +41,7 @@ def ingest_and_detect(spark, sf: str) -> None:
     """Raw rows to stored ledger, logged findings of all rules, and the alert table."""
     folder = work_folder(spark, "bench")
     done = ingest(files_like(sd.ledger(spark, sf)), sd.accounts(spark, sf), refs.fx_rates(spark), sc.AS_OF,
-                  keep=lambda df: store.kept(df, f"{folder}/checked", 0))
+                  keep=lambda df: store.kept(df, f"{folder}/checked", 0), spread=spark.sparkContext.defaultParallelism)
     store.write_ledger(done.accepted, f"{folder}/ledger", 0)
     store.write_batch(done.rejected, f"{folder}/rejects", 0)
     ledger = store.read_ledger_log(spark, f"{folder}/ledger")
@@ -52,7 +52,7 @@ def ingest_and_detect(spark, sf: str) -> None:
 def micro_batches(spark, sf: str) -> float:
     """Seconds of one micro-batch of some hundred rows on top of a stored ledger, after a warm-up one."""
     job = StreamJob(work_folder(spark, "bench-stream"), lambda: sd.accounts(spark, sf), lambda: sc.AS_OF,
-                    config=lambda: refs.rule_config(spark, sc.RULES), strict=False)
+                    config=lambda: refs.rule_config(spark, sc.RULES), strict=False, spread=spark.sparkContext.defaultParallelism)
     raw = files_like(sd.ledger(spark, sf))
     late = "txn_timestamp >= '2024-01-30'"
     job.process(raw.where(f"not ({late})"), 0)

@@ -307,6 +307,12 @@ ORACLE["snk_current_ledger"] = f"""WITH {LEDGER} SELECT transaction_id, account_
   {dbl('amount_base + CASE WHEN e % 100 = 0 THEN 2 WHEN e % 10 = 0 THEN 1 ELSE 0 END')} AS amount_base,
   CASE WHEN e % 10 = 0 THEN 'REVISED' ELSE 'POSTED' END AS status FROM ledger"""
 
+ORACLE["snk_moved_rows"] = f"""WITH {LEDGER}, now AS (SELECT transaction_id,
+  CASE WHEN e % 50 = 0 THEN account_id || '-B' ELSE account_id END AS account_id,
+  CASE WHEN e % 10 = 0 AND e % 50 <> 0 THEN txn_timestamp + INTERVAL 3 DAY ELSE txn_timestamp END AS txn_timestamp,
+  CASE WHEN e % 50 = 0 THEN 'BACK' WHEN e % 10 = 0 THEN 'MOVED' ELSE 'POSTED' END AS status FROM ledger)
+SELECT * FROM now WHERE CAST(txn_timestamp AS DATE) BETWEEN DATE '2024-01-10' AND DATE '2024-01-12'"""
+
 # --- detection -------------------------------------------------------------
 
 

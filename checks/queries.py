@@ -292,7 +292,8 @@ def src_json_accepted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, sf: str):
-    return ingest(sd.dirty_transactions(spark, sf), sd.accounts(spark, sf), refs.fx_rates(spark), sc.AS_OF)
+    return ingest(sd.dirty_transactions(spark, sf), sd.accounts(spark, sf), refs.fx_rates(spark), sc.AS_OF,
+                  spread=spark.sparkContext.defaultParallelism)
 
 
 @query
@@ -389,6 +390,23 @@ def snk_current_ledger(spark: SparkSession, sf: str) -> DataFrame:
     return store.current_ledger(log).select("transaction_id", "account_id", "amount_base", "status")
 
 
+@query
+def snk_moved_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Three days of a stored ledger: later batches moved some ids out of them or into them, and some of these
+    back again under another account."""
+    def write(path: str) -> None:
+        l = sd.ledger(spark, sf)
+        n = F.substring("transaction_id", 5, 20).cast("long")
+        moved = l.where(n % 10 == 0).withColumns({
+            "txn_timestamp": F.col("txn_timestamp") + F.expr("INTERVAL 3 DAYS"), "status": F.lit("MOVED")})
+        back = l.where(n % 50 == 0).withColumns({"account_id": F.concat(F.col("account_id"), F.lit("-B")), "status": F.lit("BACK")})
+        for i, rows in enumerate((l, moved, back)):
+            store.write_ledger(rows, path, i)
+    days = F.col("txn_date").between(F.to_date(F.lit("2024-01-10")), F.to_date(F.lit("2024-01-12")))
+    path = sc.written_files(spark, sf, "moved-ledger", write)
+    return store.current_slice(spark, path, days).select("transaction_id", "account_id", "txn_timestamp", "status")
+
+
 # --- detection -------------------------------------------------------------
 
 @query

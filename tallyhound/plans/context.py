@@ -56,16 +56,19 @@ def opened(days: DataFrame, key: str, ledger: DataFrame, buckets: int) -> Column
     return in_days(found) if found else F.lit(False)
 
 
-def rows_in_reach(ledger: DataFrame, reach: DataFrame, key: str, buckets: int = store.BUCKETS) -> DataFrame:
-    """Ledger rows inside their key's stretches. Stored days and buckets that hold none are not opened."""
+def rows_in_reach(ledger: DataFrame, reach: DataFrame, key: str, buckets: int = store.BUCKETS, rewritten: DataFrame | None = None) -> DataFrame:
+    """Ledger rows inside their key's stretches. Stored days and buckets that hold none are not opened.
+    Given the ids written again, of a stored ledger, only current rows count, wherever their rewrites lie."""
     days = skew.checked_side(flows.by_day(reach, [key]).withColumnsRenamed({key: "_key", "txn_date": "_day"}))
     plain = days.withColumnsRenamed({"_key": key, "_day": "txn_date"})
     stored = "txn_date" in ledger.columns
-    rows = ledger.where(opened(plain, key, ledger, buckets)) if stored else ledger
+    here = opened(plain, key, ledger, buckets) if stored else F.lit(True)
+    rows = ledger.where(here)
     day = F.col("txn_date") if stored else F.to_date("txn_timestamp")
     # Stretches of a key are disjoint, so a row meets at most one.
     met = rows.join(days, (F.col(key) == F.col("_key")) & (day == F.col("_day")) & F.col("txn_timestamp").between(F.col("start"), F.col("end")))
-    return met.select(*[rows[c] for c in rows.columns])
+    met = met.select(*[rows[c] for c in rows.columns])
+    return met if rewritten is None else store.not_rewritten(met, rewritten.where(here))
 
 
 def account_window(ledger: DataFrame, batch: DataFrame, settings: dict[str, RuleSetting]) -> DataFrame:

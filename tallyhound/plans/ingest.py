@@ -14,6 +14,7 @@ from tallyhound.functions import text
 from tallyhound.functions.params import check_fx
 from tallyhound.operators import cases, validate
 from tallyhound.plans import store
+from tallyhound.session import stored
 from tallyhound.sources import files
 
 
@@ -25,18 +26,19 @@ class Ingested:
 
 
 def ingest(raw: DataFrame, accounts: DataFrame, fx: DataFrame, as_of: datetime, strict: bool = False,
-           extra: list[validate.Check] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None) -> Ingested:
+           extra: list[validate.Check] | None = None, keep: Callable[[DataFrame], DataFrame] | None = None,
+           spread: int | None = None) -> Ingested:
     """Validate raw transactions and split them into ledger rows and rejects.
 
-    `keep` stores the rows between the checks of single rows and the search for repeated ids and
-    returns them as stored. With it the raw rows are read, parsed and joined once; without it
-    every use of the result does that again. Rates that are not above zero stop the batch before a
-    row is read.
+    The raw rows are read, parsed and joined once: between the checks of single rows and the search for
+    repeated ids they are stored, by `keep` or else in the work folder. The search then reads two columns.
+    `spread` deals the raw rows to that many tasks first, for input in fewer files or splits than there are
+    cores. Rates that are not above zero stop the batch before a row is read.
     """
     fx = refuse_bad_rates(fx)
     checks = validate.chain(as_of, strict, extra)
-    rows = validate.check_rows(raw, accounts, fx, checks)
-    checked = validate.flag_repeats(keep(rows) if keep else rows, checks)
+    rows = validate.check_rows(raw.repartition(spread) if spread else raw, accounts, fx, checks)
+    checked = validate.flag_repeats(keep(rows) if keep else stored(rows, "checked"), checks)
     return Ingested(validate.accepted(checked), validate.rejected(checked, checks), checked)
 
 

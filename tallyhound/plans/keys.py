@@ -24,6 +24,12 @@ class KeyTable:
     column: str
     fan_out: int = 8
     buckets: int = 16
+    # Columns kept with a key, which then has a row per value.
+    payload: tuple[tuple[str, str], ...] = ()
+
+    @property
+    def columns(self) -> list[str]:
+        return [self.column, *(name for name, _ in self.payload)]
 
     @property
     def bucket(self) -> Column:
@@ -46,19 +52,20 @@ class KeyTable:
 
     def _read(self, spark: SparkSession, level: int, first: int, only: list[int] | None = None) -> DataFrame | None:
         try:
-            df = spark.read.schema(f"{self.column} string" + (", bucket int" if level else "")).parquet(self.folder(level, first))
+            ddl = ", ".join([f"{self.column} string", *(f"{n} {t}" for n, t in self.payload), *(["bucket int"] if level else [])])
+            df = spark.read.schema(ddl).parquet(self.folder(level, first))
         except AnalysisException as ex:
             if ex.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
         if only is not None:
             df = df.where((F.col("bucket") if level else self.bucket).isin(only))
-        return df.select(self.column)
+        return df.select(*self.columns)
 
     def add(self, keys: DataFrame, batch_id: int) -> None:
         """Keep the new keys of a batch and merge what has become full."""
         spark = keys.sparkSession
-        keys.select(self.column).write.mode("overwrite").parquet(self.folder(0, batch_id))
+        keys.select(*self.columns).write.mode("overwrite").parquet(self.folder(0, batch_id))
         size, level = self.fan_out, 1
         while (batch_id + 1) % size == 0:
             first, part = batch_id + 1 - size, size // self.fan_out
@@ -70,9 +77,16 @@ class KeyTable:
     def known(self, spark: SparkSession, batches: int, only: list[int] | None = None) -> DataFrame:
         """Keys of the first `batches` batches, those of some buckets if asked."""
         parts = [p for level, first in self.segments(batches) if (p := self._read(spark, level, first, only)) is not None]
-        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"{self.column} string")
+        ddl = ", ".join([f"{self.column} string", *(f"{n} {t}" for n, t in self.payload)])
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ddl)
+
+    def _asked(self, asked: DataFrame) -> list[int]:
+        return [r[0] for r in asked.select(self.bucket.alias("b")).distinct().collect()]
 
     def new(self, asked: DataFrame, batches: int) -> DataFrame:
         """Those of `asked` that the first `batches` batches did not have. `asked` is read twice, so store it."""
-        only = [r[0] for r in asked.select(self.bucket.alias("b")).distinct().collect()]
-        return asked.join(self.known(asked.sparkSession, batches, only), self.column, "left_anti")
+        return asked.join(self.known(asked.sparkSession, batches, self._asked(asked)), self.column, "left_anti")
+
+    def find(self, asked: DataFrame, batches: int) -> DataFrame:
+        """What the first `batches` batches kept of the keys in `asked`, which is read twice."""
+        return self.known(asked.sparkSession, batches, self._asked(asked)).join(asked.select(self.column), self.column, "left_semi").distinct()

@@ -10,6 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyhound.plans.keys import KeyTable
 from tallyhound.schemas import LEDGER_COLUMNS, LEDGER_DDL
 
 # Account buckets of a stored ledger. A day's rows of one bucket should fill a file.
@@ -47,10 +48,42 @@ def write_ledger(accepted: DataFrame, path: str, batch_id: int, buckets: int = B
     """Append accepted rows, partitioned by day and account bucket.
 
     The rebalance hint gathers small days into few files and splits a bucket that
-    holds too much for one task. A ledger keeps its number of buckets.
+    holds too much for one task. A ledger keeps its number of buckets. Ids that earlier batches wrote
+    are noted where their old rows lie (see `rewrites`), so batches are numbered 0, 1, 2 ...
     """
     dated = accepted.withColumns({"txn_date": F.to_date("txn_timestamp"), "account_bucket": bucket_of(F.col("account_id"), buckets)})
     write_batch(dated.hint("rebalance", "txn_date", "account_bucket"), path, batch_id, ["txn_date", "account_bucket"])
+    spark, index = accepted.sparkSession, places(path)
+    mine = spark.read.schema("transaction_id string, txn_date date, account_bucket int").parquet(f"{path}/batch_id={batch_id}")
+    if batch_id:
+        old = index.find(mine, batch_id)
+        write_batch(old.hint("rebalance", "txn_date", "account_bucket"), f"{path}-rewritten", batch_id, ["txn_date", "account_bucket"])
+    index.add(mine, batch_id)
+
+
+def places(path: str) -> KeyTable:
+    """The day and bucket of every row of a stored ledger, by transaction id."""
+    return KeyTable(f"{path}-places", "transaction_id", payload=(("txn_date", "date"), ("account_bucket", "int")))
+
+
+def rewrites(spark: SparkSession, path: str) -> DataFrame:
+    """Ids that a batch wrote again, one row per place (day, bucket) where an older row of theirs lies. The
+    places are partitions here as in the ledger, so a reader of some days opens the same days of both."""
+    return read_log(spark, f"{path}-rewritten", "transaction_id string, txn_date date, account_bucket int")
+
+
+def not_rewritten(rows: DataFrame, rewritten: DataFrame) -> DataFrame:
+    """Rows of a ledger log, cut to any places, that no later batch wrote again, be it to another day or
+    account. `rewritten` holds the same places."""
+    last = rewritten.groupBy("transaction_id", "txn_date", "account_bucket").agg(F.max("batch_id").alias("_again")).withColumnsRenamed(
+        {"transaction_id": "_id", "txn_date": "_day", "account_bucket": "_bucket"})
+    same = (F.col("transaction_id") == F.col("_id")) & (F.col("txn_date") == F.col("_day")) & (F.col("account_bucket") == F.col("_bucket"))
+    return rows.join(last, same & (F.col("_again") > F.col("batch_id")), "left_anti")
+
+
+def current_slice(spark: SparkSession, path: str, where: Column) -> DataFrame:
+    """Current rows of the places that `where` (on txn_date and account_bucket) opens; others are not read."""
+    return not_rewritten(read_ledger_log(spark, path).where(where), rewrites(spark, path).where(where)).select(*LEDGER_COLUMNS)
 
 
 def read_ledger_log(spark: SparkSession, path: str) -> DataFrame:
@@ -71,8 +104,8 @@ def current_ledger(log: DataFrame) -> DataFrame:
 
 def current_rows_of(log: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Current ledger rows of some accounts or customers, reading only the id columns of the rest. A
-    row counts if no later batch in `log` rewrote its id. For a log cut to some days, a row whose
-    rewrite moved it to another day outside them still counts until the ledger is compacted."""
+    row counts if no later batch in `log` rewrote its id, so `log` must not be cut to some days: those are
+    read by `current_slice`, which knows of rewrites elsewhere."""
     mine = log.join(ids.select(key).distinct(), key, "left_semi")
     newest = (
         log.select("transaction_id", "batch_id")

@@ -49,6 +49,8 @@ class StreamJob:
     watchlist: Callable[[], DataFrame] | None = None
     strict: bool = True
     buckets: int = store.BUCKETS
+    # Tasks to deal a batch's raw rows to, where they come in few files.
+    spread: int | None = None
 
     @property
     def keys(self) -> KeyTable:
@@ -74,7 +76,8 @@ class StreamJob:
         source = f"stream-{batch_id}"
         rates = self.fx() if self.fx else refs.fx_rates(spark)
         # The raw rows are read once; everything after reads the checked rows as stored.
-        done = ingest(raw, self.accounts(), rates, as_of, strict=self.strict, keep=lambda df: store.kept(df, f"{self.path}/checked", batch_id))
+        done = ingest(raw, self.accounts(), rates, as_of, strict=self.strict, keep=lambda df: store.kept(df, f"{self.path}/checked", batch_id),
+                      spread=self.spread)
         store.write_ledger(done.accepted, self.ledger_path, batch_id, self.buckets)
         store.write_batch(done.rejected.withColumn("batch_ref", source_ref(source, as_of)), f"{self.path}/rejects", batch_id)
         result, opened = self.detect(spark, batch_id, as_of)
@@ -95,12 +98,13 @@ class StreamJob:
         """What the rules read for the rows of some batches: nothing written after the last of them. The history
         that three account rules share is written once, under the running batch."""
         log = store.read_ledger_log(spark, self.ledger_path).where(F.col("batch_id") <= max(batches))
+        rewritten = store.rewrites(spark, self.ledger_path).where(F.col("batch_id") <= max(batches))
         fresh = log.where(F.col("batch_id").isin(batches)).select(*LEDGER_COLUMNS)
         lists = dict(jurisdictions=self.jurisdictions() if self.jurisdictions else None,
                      watchlist=self.watchlist() if self.watchlist else None, fresh=fresh)
 
         def history(key: str, reach) -> DataFrame:
-            return store.current_rows_of(context.rows_in_reach(log, reach(fresh, settings), key, self.buckets), fresh, key)
+            return context.rows_in_reach(log, reach(fresh, settings), key, self.buckets, rewritten).select(*LEDGER_COLUMNS)
         around = store.kept(history("account_id", context.account_reach), f"{self.path}/history", batch_id)
         return {
             rules.TRANSACTION: rules.RuleContext(fresh, **lists),

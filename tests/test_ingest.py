@@ -139,7 +139,32 @@ def test_ledger_log(spark, tmp_path, sf):
     expect = now.where("account_id = 'ACC_2'")
     assert store.current_rows_of(log, two, "account_id").exceptAll(expect).count() == 0
     assert store.current_rows_of(log, two, "account_id").count() == expect.count()
+    # Read by places, as a job does, and with other days than the moved rows' closed.
+    assert store.current_slice(spark, path, F.lit(True)).exceptAll(now).count() == 0
+    assert store.current_slice(spark, path, F.lit(True)).count() == now.count()
     store.compact_ledger(spark, path, str(tmp_path / "compact"))
     assert store.read_ledger_log(spark, str(tmp_path / "compact")).count() == rows.count()
     order = store.in_detection_order(now).select("account_id", "txn_timestamp").rdd.glom().first()
     assert order == sorted(order)
+
+
+def test_a_cut_ledger_knows_of_rows_moved_elsewhere(spark, tmp_path, sf):
+    path = str(tmp_path / "ledger")
+    rows = sd.ledger(spark, sf)
+    day = F.to_date("txn_timestamp")
+    first = rows.select(day.alias("d")).orderBy("d").first()["d"]
+    mine = rows.where(day == F.lit(first)).limit(5)
+    away = mine.withColumn("txn_timestamp", F.col("txn_timestamp") + F.expr("INTERVAL 400 DAYS"))
+    mine, away = store.kept(mine, str(tmp_path / "m"), 0), store.kept(away, str(tmp_path / "a"), 0)
+    for i, batch in enumerate([rows, away, *[rows.limit(0)] * 6, mine, away, away]):
+        store.write_ledger(batch, path, i)
+    here = F.col("txn_date") == F.lit(first)
+    gone = {r["transaction_id"] for r in mine.collect()}
+    seen = {r["transaction_id"] for r in store.current_slice(spark, path, here).collect()}
+    assert seen == {r["transaction_id"] for r in rows.where(day == F.lit(first)).collect()} - gone
+    later = store.current_slice(spark, path, F.col("txn_date") > F.lit(first))
+    assert later.where(F.col("transaction_id").isin(sorted(gone))).count() == len(gone) == 5
+    assert later.count() == rows.count() - len(seen)
+    # Only the opened day is read, of the ledger and of the notes.
+    plan = store.current_slice(spark, path, here)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(txn_date") >= 2
