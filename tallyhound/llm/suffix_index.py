@@ -10,9 +10,9 @@ are brought together and their strings compared one by one; a suffix with very m
 contexts shuffles its strings by their own fingerprints instead, so no group grows without bound. A
 string is equal to another where 128 bits of fingerprint and the suffix key are.
 
-Defined cases: a null text is empty; texts under 200 bytes keep everything; a row that repeats another
-(same id and text) is one document with it, and both rows get its result; rows with the same id and other
-texts, or null ids, are documents of their own; an empty table gives an empty result.
+Defined cases: a null text is empty; texts under 200 bytes keep everything; every row is a document of its
+own, whatever its id, so rows that repeat id and text lose their text whole, as copies do (the index holds
+it once, for the others to meet); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -192,7 +192,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
     """One row per input row: `doc_id`, `n_bytes`, `spans` (removed stretches, byte offsets) and
     `kept` (the bytes that remain)."""
     rows = documents(docs, id_col, text_col)
-    found = stored(repeats(rows.dropDuplicates(["d"]) if _has_repeats(rows) else rows, batches, match, width, contexts), "repeats")
+    again = stored(repeated_rows(rows, match), "repeated-rows")
+    once = rows if again.isEmpty() else rows.dropDuplicates(["d"])
+    found = stored(repeats(once, batches, match, width, contexts).unionByName(again), "repeats")
     spans = found.groupBy("d").agg(F.collect_list(F.struct("start", "stop")).alias("s")).select(F.col("d").alias("sd"), "s")
     joined = rows.join(spans, F.col("d") == F.col("sd"), "left").select("_id", "_text", "s")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
@@ -219,6 +221,8 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batc
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary")
 
 
-def _has_repeats(rows: DataFrame) -> bool:
-    """Whether any document is there more than once; then its text is shuffled to keep one."""
-    return not rows.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+def repeated_rows(rows: DataFrame, match: int) -> DataFrame:
+    """`d`, `start`, `stop`: the whole of each document whose row is there more than once. All its strings
+    start in the other row too."""
+    counted = rows.groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("_text")).cast("long").alias("stop"))
+    return counted.where((F.col("n") > 1) & (F.col("stop") >= match)).select("d", F.lit(0).cast("long").alias("start"), "stop")

@@ -24,29 +24,35 @@ def digest(df, **how):
         for r in rows(suffix_index.remove(df, **how)))
 
 
-def distinct_documents(df):
-    """Texts by (id, text): a row that repeats another is one document with it."""
+def brute(df):
+    """Every row is a document."""
     every = [(r["doc_id"], r["text"] or "") for r in rows(df.select("doc_id", "text"))]
-    return every, list(dict.fromkeys(every))
+    return Counter((d, *w) for (d, _), w in zip(every, plain.repeats([t for _, t in every])))
 
 
 @pytest.mark.parametrize("how", [{}, {"contexts": 1}, {"batches": 7}])
 def test_repeats_match_plain_python(docs, how):
-    every, keys = distinct_documents(docs)
-    want = dict(zip(keys, plain.repeats([t for _, t in keys])))
-    assert digest(docs, **how) == Counter((k[0], *want[k]) for k in every)
+    assert digest(docs, **how) == brute(docs)
 
 
 def test_repeats_in_awkward_rows(spark, nothing):
     awkward = plain.awkward
     odd = awkward(spark, [(20, "a" * 500), (21, "ab" * 300 + "x"), (22, "Z" * 199 + "q"), (23, "a" * 201), (24, "xyz" * 67)]).where("doc_id is null or doc_id <> 4")
     odd = odd.withColumn("text", F.substring("text", 1, 3000))
-    every, keys = distinct_documents(odd)
-    want = dict(zip(keys, plain.repeats([t for _, t in keys])))
-    assert digest(odd) == Counter((k[0], *want[k]) for k in every)
+    assert digest(odd) == brute(odd)
     assert suffix_index.remove(nothing).count() == 0
 
 
+def test_rows_that_repeat_others_lose_their_text(spark):
+    own = " ".join(f"w{i}" for i in range(90))
+    other = "start " + own[:250] + " end " + " ".join(f"q{i}" for i in range(60))
+    df = spark.createDataFrame([(1, own), (1, own), (2, other), (None, "n" * 199 + "m"), (None, "n" * 199 + "m"), (3, "short"), (3, "short"), (4, None)],
+                               "doc_id long, text string")
+    assert digest(df) == brute(df)
+    kept = sorted((r["doc_id"] or 0, len(r["kept"])) for r in rows(suffix_index.remove(df)))
+    assert kept == [(0, 0), (0, 0), (1, 0), (1, 0), (2, len(other) - 250), (3, 5), (3, 5), (4, 0)]
+
+
 def test_levels_merge_geometrically(spark, docs):
     d = suffix_index.documents(docs, "doc_id", "text")
     a = suffix_index.sampled(d, 200, 32)
