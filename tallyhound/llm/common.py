@@ -75,7 +75,8 @@ def learning_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
     """At most `rows` labelled documents that are not held out: `_id`, `_text`, `_label`.
 
     The choice is by a hash of the id, so it is the same at every run. Ids labelled
-    twice count once (the larger label), null labels and ids are left out. The sample's
+    twice count once (the larger label), null labels and ids are left out. Of an id with several
+    rows the text of least fingerprint counts, picked before and after the shuffle. The sample's
     labels are at most `rows` narrow rows, so they may be broadcast.
     """
     chosen = (
@@ -83,4 +84,6 @@ def learning_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int,
         .groupBy(F.col(id_col).alias("_lid")).agg(F.max(F.col(label).cast("int")).alias("_label"))
         .orderBy(F.xxhash64("_lid"), "_lid").limit(rows))
     d = whole(docs, id_col, text_col)
-    return d.join(F.broadcast(chosen), d["_id"] == chosen["_lid"]).select("_id", "_text", "_label")
+    met = d.join(F.broadcast(chosen), d["_id"] == chosen["_lid"])
+    one = met.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text", "_label")).alias("r"))
+    return one.select("_id", "r._text", "r._label")

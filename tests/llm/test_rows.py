@@ -262,3 +262,16 @@ def test_queries_and_sql(spark, sf, monkeypatch):
         monkeypatch.setitem(compare.REGISTRY, name, queries.REGISTRY[name])
         monkeypatch.setitem(compare.ORACLE, name, text)
         assert compare.differences(spark, sf, name) is None
+
+
+def test_the_learning_sample_is_bounded_by_rows(spark):
+    """One id in a third of all rows, as copies and with other texts, is one row of the sample."""
+    from tallyhound.llm.common import held_out, learning_sample
+    ids = [r["i"] for r in spark.range(40).select(F.col("id").alias("i")).where(~held_out("i")).collect()]
+    hot = spark.range(20_000).select(F.lit(ids[0]).alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("text"))
+    docs = hot.unionByName(spark.createDataFrame([(i, f"own {i}") for i in ids[1:]], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] + [(ids[0], 1), (None, 1), (ids[1], None)], "doc_id long, toxic int")
+    got = learning_sample(docs, labels, "toxic", len(ids)).collect()
+    assert sorted(r["_id"] for r in got) == ids
+    assert learning_sample(docs.orderBy(F.desc("text")), labels, "toxic", len(ids)).where(F.col("_id") == ids[0]).collect() == [r for r in got if r["_id"] == ids[0]]
+    assert learning_sample(docs, labels, "toxic", 2).count() == 2
