@@ -116,7 +116,7 @@ WRITTEN_DOT = ""
 _NAME = r"[A-Za-z0-9-]+"
 SPACED_AT = re.compile(
     rf"(?<=[A-Za-z0-9])\x20+{AT}\x20+(?={_NAME}(?:\.{_NAME})*{WRITTEN_DOT}{_NAME})"
-    rf"|(?<=[A-Za-z0-9])\x20*@\x20*(?={_NAME}(?:[.{WRITTEN_DOT}]{_NAME})*[.{WRITTEN_DOT}][A-Za-z]{{2}})", re.I)
+    rf"|(?<=[A-Za-z0-9])(?:\x20*@\x20*|\x20+arroba\x20+)(?={_NAME}(?:[.{WRITTEN_DOT}]{_NAME})*[.{WRITTEN_DOT}][A-Za-z]{{2}})", re.I)
 # "name at host.com" counts where the name looks like an account: it has a digit or one of ._+-
 PLAIN_AT = re.compile(rf"(?<=[A-Za-z0-9])\x20at\x20(?={_NAME}(?:\.{_NAME})*\.(?:com|org|net|edu|gov|io|info|co|de|fr|es|uk)\b)", re.I)
 MARKS = re.compile(rf"[\[({{<]\s*(?:{AT}|{DOT})\s*[\])}}>]", re.I)
@@ -172,11 +172,13 @@ def account_at(m: re.Match) -> list[tuple[str, int, int]]:
     return [(m.string[i], i, i + 1) for i in range(m.start(), m.end())]
 
 
+# Marks that may stand at a word, by the space that parts it from them.
+PARTED = dict.fromkeys(map(ord, "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~«»“”„‘’…"), " ")
+
+
 def spells_digits(low: str) -> bool:
     """Whether at least three words of the lower-case text are digit words."""
-    for c in "-,()":
-        low = low.replace(c, " ")
-    return len([w for w in low.split() if w in DIGIT_WORDS]) > 2
+    return len([w for w in low.translate(PARTED).split() if w in DIGIT_WORDS]) > 2
 
 
 def normalise(text: str) -> Tape | None:
@@ -186,7 +188,8 @@ def normalise(text: str) -> Tape | None:
     odd = not text.isascii() and ODD.search(text) is not None
     # An odd character may hide any of the rest.
     spelled = odd or spells_digits(low) and SPELLED.search(text) is not None
-    marked = odd or any(s in low for s in (" @", "@ ", " dot ", " punto ", " punkt ", " point ", " . ")) or (
+    marked = odd or any(s in low for s in (" @", "@ ", " arroba ", " dot ", " punto ", " punkt ", " point ", " . ")) or (
+        "plus" in low and PLUS.search(text) is not None) or (
         " at " in low and PLAIN_AT.search(text) is not None) or (
         any(c in text for c in "([{<") and MARKS.search(text) is not None)
     if not (odd or spelled or marked):
