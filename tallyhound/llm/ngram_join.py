@@ -40,13 +40,15 @@ U32 = np.uint32
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = HASHES) -> tuple[int, int]:
     """(bands, rows of a band): the longest bands that reach the recall for a pair right at the
-    threshold with at most `most` hashes."""
-    best = (most, 1)
+    threshold with at most `most` hashes. An error where none does."""
+    best = None
     for rows in range(1, most + 1):
         bands = np.ceil(np.log(1 - recall) / np.log1p(-threshold ** rows))
         if bands * rows > most:
             break
         best = (int(bands), rows)
+    if best is None:
+        raise ValueError(f"no bands of at most {most} hashes find pairs at {threshold} with a recall of {recall}")
     return best
 
 
