@@ -23,10 +23,8 @@ from pyspark.sql import DataFrame
 from tallyhound.llm.common import learning_sample, reach_workers, stored, whole
 from tallyhound.llm.words import chunks
 
-# Labelled documents used to learn, at most, and passages a sampled document may send to the driver:
-# longer ones send evenly spread passages. Scoring reads all passages.
+# Labelled documents used to learn, at most; each sends all its passages, of a few numbers each.
 SAMPLE_ROWS = 4_000
-SAMPLE_PASSAGES = 64
 PASSAGE_WORDS = 64
 # Byte classes, counted per passage.
 CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "stop": b".?", "comma": b",;:", "shout": b"!",
@@ -175,17 +173,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
             for part in chunks(b.column(1)):
                 x, count = passages(part)
                 split = np.split(x, np.cumsum(count)[:-1])
-                split = [s[np.unique(np.linspace(0, len(s) - 1, SAMPLE_PASSAGES).astype(int))] if len(s) > SAMPLE_PASSAGES else s for s in split]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, len(part)).cast(pa.string()), b.column(2).slice(at, len(part)).cast(pa.int32()), pa.array([s.ravel().tolist() for s in split], pa.list_(pa.float64()))],
+                    [b.column(0).slice(at, len(part)).cast(pa.string()), b.column(2).slice(at, len(part)).cast(pa.int32()), pa.array([s.ravel().astype(np.float32) for s in split], pa.list_(pa.float32()))],
                     ["id", "label", "x"])
                 at += len(part)
 
-    data: pd.DataFrame = sample.mapInArrow(read, "id string, label int, x array<double>").toPandas()
+    data: pd.DataFrame = sample.mapInArrow(read, "id string, label int, x array<float>").toPandas()
     data = data.sort_values("id", kind="stable")
     if data.empty:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0, int), np.zeros(0))
-    rows_ = [np.asarray(v).reshape(-1, len(FEATURES)) for v in data["x"]]
+    rows_ = [np.asarray(v, float).reshape(-1, len(FEATURES)) for v in data["x"]]
     return fit(np.concatenate(rows_), np.array([len(r) for r in rows_]), data["label"].to_numpy(float))
 
 
