@@ -32,9 +32,63 @@ LEAST_LINE = 16
 LEAST_BLOCK = 50
 
 
+# Lines of two stretches, multiplied, up to which their common blocks are found by comparing all.
+SMALL = 4_096
+
+
+def ranks(x: np.ndarray) -> list[np.ndarray]:
+    """Per level l a number for the 2^l lines from each position on, equal where all of them are; those that
+    run over the end have numbers of their own. Ends at the level on which all differ. By the last, positions sort."""
+    m = len(x)
+    out = [np.unique(x, return_inverse=True)[1].astype(np.int64)]
+    while out[-1].max() < m - 1:
+        step = 1 << (len(out) - 1)
+        # Past the end comes less than any line.
+        key = out[-1] * (m + 1)
+        key[:m - step] += out[-1][step:] + 1
+        out.append(np.unique(key, return_inverse=True)[1].astype(np.int64))
+    return out
+
+
+def shared(levels: list[np.ndarray], p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Number of equal lines from the positions p and q on."""
+    m = len(levels[0])
+    n = np.zeros(np.broadcast(p, q).shape, np.int64)
+    for l in range(len(levels) - 1, -1, -1):
+        x, y = p + n, q + n
+        inside = np.maximum(x, y) + (1 << l) <= m
+        same = inside & (levels[l][np.minimum(x, m - 1)] == levels[l][np.minimum(y, m - 1)])
+        n += same << l
+    return n
+
+
 def largest(a: Sequence[int], i: int, ie: int, b: Sequence[int], j: int, je: int, sizes: Sequence[int] | None) -> tuple[int, int, int]:
     """Start in `a`, start in `b` and length of the largest common block of a[i:ie] and b[j:je], by `sizes`
-    of the lines of `a`, then by their number, the first one of equals."""
+    of the lines of `a`, then by their number, the first one of equals. Long stretches are laid
+    end to end and their positions sorted by what follows: the longest match of a position is next to it."""
+    n, m = ie - i, je - j
+    if n * m > SMALL:
+        seen: dict[int, int] = {}
+        codes = [seen.setdefault(v, len(seen)) for part in (a[i:ie], b[j:je]) for v in part]
+        levels = ranks(np.array([*codes[:n], len(seen), *codes[n:]]))
+        order = np.argsort(levels[-1])
+        of_b = order > n
+        at = np.arange(n + m + 1)
+        before = np.maximum.accumulate(np.where(of_b, at, -1))
+        after = np.minimum.accumulate(np.where(of_b, at, n + m + 1)[::-1])[::-1]
+        length = np.zeros(n + m + 1, np.int64)
+        for near in (before, after):
+            ok = ~of_b & (near >= 0) & (near <= n + m)
+            length[order[ok]] = np.maximum(length[order[ok]], shared(levels, order[ok], order[near[ok]]))
+        length = length[:n]
+        if not length.any():
+            return i, j, 0
+        filled = np.concatenate([[0], np.cumsum(sizes[i:ie])]) if sizes else np.arange(n + 1)
+        size = filled[np.arange(n) + length] - filled[:n]
+        x = int(np.lexsort((np.arange(n), -length, -size))[0])
+        k = int(length[x])
+        y = int(np.argmax(shared(levels, np.full(m, x), np.arange(n + 1, n + m + 1)) >= k))
+        return i + x, j + y, k
     where: dict[int, list[int]] = {}
     for y in range(j, je):
         where.setdefault(b[y], []).append(y)
@@ -50,11 +104,12 @@ def largest(a: Sequence[int], i: int, ie: int, b: Sequence[int], j: int, je: int
     return best
 
 
-def patience(a: Sequence[int], b: Sequence[int], sizes: Sequence[int] | None = None) -> list[tuple[int, int]]:
+def patience(a: Sequence[int], b: Sequence[int], sizes: Sequence[int] | None = None, least: int = 0) -> list[tuple[int, int]]:
     """Aligned positions of equal lines, rising in both. Lines that occur once on either side anchor
     the alignment (longest rising chain); the stretches between are done likewise, and equal lines at
     either end of a stretch are aligned first. A stretch without such lines is parted by its largest
-    common block, by `sizes` of the lines of `a` (else their number)."""
+    common block, by `sizes` of the lines of `a` (else their number), unless that is below `least`: equal lines at
+    the ends are aligned already, so no block of that stretch could grow beyond it."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -72,7 +127,7 @@ def patience(a: Sequence[int], b: Sequence[int], sizes: Sequence[int] | None = N
         once = [(k, where[h]) for k, h in enumerate(a[i:ie], i) if h in where]
         if not once:
             x, y, k = largest(a, i, ie, b, j, je, sizes)
-            if k:
+            if k and (sum(sizes[x:x + k]) if sizes else k) >= least:
                 out += [(x + m, y + m) for m in range(k)]
                 todo += [(i, x, j, y), (x + k, ie, y + k, je)]
             continue
@@ -170,7 +225,7 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def align(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts:
-            gone = [blocks(patience(h, f, n), n, least_block) for h, n, f in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))]
+            gone = [blocks(patience(h, f, n, least_block), n, least_block) for h, n, f in zip(*(b.column(c).to_pylist() for c in (1, 2, 3)))]
             some = [k for k, g in enumerate(gone) if g]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some, pa.int64())), pa.array([gone[k] for k in some], pa.list_(pa.int32()))], ["d", "gone"])
 
