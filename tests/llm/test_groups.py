@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import plain
 import pyarrow as pa
 import pytest
@@ -328,3 +329,30 @@ def test_anchors_of_any_batch(texts):
     starts = {(t, s) for t, lo, hi in zip(a["text"], a["lo"], a["hi"]) for s in range(lo, hi + 1)}
     assert starts == {(i, s) for i, t in enumerate(texts) for s in range(len(t.encode()) - 199)}
     assert ((a["lo"] <= a["at"]) & (a["at"] + suffixes.KEY <= a["lo"] + suffixes.MATCH)).all() and (a["hi"] <= a["at"]).all()
+
+
+def test_bands_out_of_reach_are_an_error():
+    with pytest.raises(ValueError, match="no bands"):
+        ngram_join.choose_bands(0.01, 0.9999)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_long_stretches_are_cut_like_short_ones(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    for _ in range(100):
+        n, m, kinds = rng.integers(1, 40), rng.integers(1, 40), rng.integers(1, 5)
+        a, b = rng.integers(0, kinds, n).tolist(), rng.integers(0, kinds, m).tolist()
+        sizes = rng.choice([0, 0, 1, 3, 9], n).tolist()
+        forms = []
+        for small in (0, 10**9):
+            monkeypatch.setattr(line_align, "SMALL", small)
+            forms.append([line_align.largest(a, 0, n, b, 0, m, s) for s in (None, sizes)])
+            forms[-1] += [line_align.blocks(line_align.patience(a, b, sizes, least), sizes, 8) for least in (0, 8)]
+        assert forms[0] == forms[1] and forms[0][2] == forms[0][3]
+
+
+def test_very_long_repetitive_texts_are_aligned():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 2, (2, 100_000)).tolist()
+    aligned = line_align.patience(a, b, [20] * len(a), 50)
+    assert aligned and all(a[x] == b[y] for x, y in aligned)

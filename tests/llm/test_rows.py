@@ -275,3 +275,82 @@ def test_the_learning_sample_is_bounded_by_rows(spark):
     assert sorted(r["_id"] for r in got) == ids
     assert learning_sample(docs.orderBy(F.desc("text")), labels, "toxic", len(ids)).where(F.col("_id") == ids[0]).collect() == [r for r in got if r["_id"] == ids[0]]
     assert learning_sample(docs, labels, "toxic", 2).count() == 2
+
+
+def wrapped(text, width, lead=""):
+    out, line = [], ""
+    for w in text.split():
+        if line and len(line) + len(w) >= width:
+            out.append(lead + line)
+            line = w
+        else:
+            line = f"{line} {w}".strip()
+    return "\n".join([*out, lead + line])
+
+
+def plain_cosine(words_, template, weight, other):
+    a, b = Counter(words_), Counter(license_scan.terms(template))
+    w = lambda x: weight.get(x, other)
+    norm = lambda c: sum((n * w(x)) ** 2 for x, n in c.items()) ** 0.5
+    return sum(n * b[x] * w(x) ** 2 for x, n in a.items() if x in b) / (norm(a) * norm(b))
+
+
+HEADERS = {k: max(v, key=len) for k, v in license_scan.TEMPLATES.items()}
+
+
+@pytest.mark.parametrize("name", sorted(HEADERS))
+@pytest.mark.parametrize("form", ["file", "comment", "code", "docstring"])
+def test_every_licence_is_told_from_its_relatives(name, form):
+    m = license_scan.Matcher(1000, {"the": 900, "of": 800, "license": 40, "software": 60})
+    text = wrapped(HEADERS[name], 70, "# " if form in ("comment", "code") else "")
+    text = {"file": f"Copyright (c) 2021 Maria Lopez\n\n{text}\n", "comment": text, "code": f"# Copyright 2021 Lopez\n#\n{text}\n\nimport os\n\ndef f(x):\n    return os.path.join(x, 'y')\n",
+            "docstring": f'def first():\n    pass\n\n{text}\n\n' + "value = compute(other)\n" * 30}[form]
+    licence, cosine, share = license_scan.notices(text, m, license_scan.LEAST_COSINE)
+    assert licence == name and cosine > 0.8
+    assert share > 0.5 or form == "docstring"
+
+
+def test_cosine_is_the_plain_one():
+    counts = {"the": 900, "of": 800, "license": 40, "software": 60}
+    m = license_scan.Matcher(1000, counts)
+    other = m.other ** 0.5
+    for name, ts in license_scan.TEMPLATES.items():
+        for t in ts:
+            unit = license_scan.terms(t)[2:] + ["zzz", "qqq"]
+            want = max(plain_cosine(unit, x, m.weight, other) for v in license_scan.TEMPLATES.values() for x in v)
+            got = m.best(unit, 0.0)
+            assert abs(got[1] - want) < 1e-9
+            assert abs(max(plain_cosine(unit, x, m.weight, other) for x in license_scan.TEMPLATES[got[0]]) - want) < 1e-9
+
+
+def test_short_and_mixed_notices():
+    m = license_scan.Matcher(1000, {})
+    own = lambda t: license_scan.notices(t, m, license_scan.LEAST_COSINE)[0]
+    assert own("Released under the MIT License.\nwords") == "MIT" and own("\n\n") is None and own("no such thing here") is None
+    assert own("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991") == "GPL-2.0"
+    assert own("# SPDX-License-Identifier: LGPL-2.1-or-later\nimport os") == "LGPL-2.1"
+
+
+# Disguises, each rule alone in an otherwise plain text.
+
+@pytest.mark.parametrize("text, kind, found", [
+    ("plus 44 20 7946 0958", "phone", "plus 44 20 7946 0958"), ("please ring plus 1 555 123 4567 now", "phone", "plus 1 555 123 4567"),
+    ("juan arroba ejemplo.com", "email", "juan arroba ejemplo.com"), ("escribe a maria.lopez arroba ejemplo.com hoy", "email", "maria.lopez arroba ejemplo.com"),
+    ("it says \"one dot two dot three dot four.\" here", "ip", "one dot two dot three dot four"), ("ana [at] host.org", "email", "ana [at] host.org")])
+def test_each_rule_works_alone(text, kind, found):
+    base, every = pii.find(text)
+    assert not base[kind] and [text[a:b] for a, b in every[kind]] == [found]
+
+
+@pytest.mark.parametrize("text", ["two plus 2 is four", "una arroba de trigo", "he has plus 3 points", "pesa una arroba mas"])
+def test_plain_words_are_no_disguise(text):
+    assert not any(pii.find(text)[1].values())
+
+
+def test_every_passage_of_a_sampled_document_teaches(spark):
+    quiet, loud = "plain words in a calm row here now " * 10, "$$ ## ** %% && || << >> " * 10
+    texts = [(i, quiet * 200 + (loud if i % 2 else quiet) + quiet * 61) for i in range(60)]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    labels_ = spark.createDataFrame([(i, 1 - i % 2) for i, _ in texts], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in rows(quality_model.score(d, quality_model.train(d, labels_)))}
+    assert min(got[i] for i in got if i % 2 == 0) > max(got[i] for i in got if i % 2)
