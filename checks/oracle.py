@@ -787,3 +787,34 @@ ORACLE["flagship_alert_queue"] = A + f""" SELECT alert_ref, customer_id, CASE WH
   {mask_id('account_id')} AS account_masked, rule_code, typology, risk_score, severity, 'OPEN' AS status, {dbl('evidence_amount_base')} AS evidence_amount_base, evidence_count, trigger_count,
   CAST(NULL AS VARCHAR) AS disposition, {ts('first_detected_at')} AS first_detected_at, {ts('last_detected_at')} AS last_detected_at
   FROM alerts LEFT JOIN customers USING (customer_id) ORDER BY risk_score DESC, alert_ref LIMIT 200"""
+
+# --- changes of settings, and what users add -------------------------------
+
+_CHANGES = """ev AS (SELECT event_id AS e, 'admin' || (event_id % 5) AS actor, event_type <> 'error' AS fine, ts,
+  CASE event_id % 3 WHEN 0 THEN 'LOW' WHEN 1 THEN 'MEDIUM' ELSE 'HIGH' END AS severity FROM events),
+given AS (SELECT *, 'RULE_' || (e % 50) AS rule_code, e % 104 - 2 AS weight, '{"minCount":' || (e % 7) || '}' AS params,
+  CASE WHEN e % 10 = 7 THEN 'Rule not found: RULE_' || (e % 50) WHEN e % 104 - 2 < 0 OR e % 104 - 2 > 100 THEN 'weight must be between 0 and 100'
+    WHEN e % 7 < 1 THEN 'minCount must be at least 1' END AS problem FROM ev),
+states AS (SELECT rule_code, fine AS enabled, weight, severity, params, e AS seq, actor, ts FROM given WHERE problem IS NULL
+  UNION ALL SELECT DISTINCT rule_code, true, 20, 'MEDIUM', '{}', -1, 'system', NULL::TIMESTAMP FROM given WHERE e % 10 <> 7)"""
+ORACLE["snk_settings_audit"] = f"""WITH {_CHANGES}, said AS (SELECT *, 'enabled=' || enabled || ',weight=' || weight || ',severity=' || severity || ',params=' || params AS now FROM states),
+steps AS (SELECT *, lag(now) OVER (PARTITION BY rule_code ORDER BY seq) AS before FROM said)
+SELECT 'RULE' AS entity_type, rule_code AS entity_id, 'RULE_UPDATED' AS action, actor, 'Changed by ' || actor || ' | before: ' || before || ' | after: ' || now AS details,
+  {ts('ts')} AS occurred_at FROM steps WHERE seq >= 0
+UNION ALL SELECT 'REFERENCE', 'K' || (e % 200), 'REFERENCE_DATA_UPDATED', actor,
+  CASE WHEN fine THEN 'Jurisdiction K' || (e % 200) || ' set to ' || severity || ' (weight ' || (e % 41) || ')' ELSE 'Jurisdiction deactivated' END, {ts('ts')} FROM ev
+UNION ALL SELECT 'REFERENCE', 'Party ' || (e % 90), 'REFERENCE_DATA_UPDATED', actor,
+  CASE WHEN e % 13 <> 0 THEN 'Watchlist entry added: ' || severity ELSE 'Watchlist entry deactivated' END, {ts('ts')} FROM ev
+UNION ALL SELECT 'REFERENCE', 'C' || (e % 30), 'REFERENCE_DATA_UPDATED', actor, 'FX rate set to ' || CAST(e % 7 AS DECIMAL(18,8)) || ' per base unit', {ts('ts')} FROM ev WHERE e % 7 > 0"""
+ORACLE["snk_refused_changes"] = f"""WITH {_CHANGES} SELECT 'rules' AS kind, rule_code AS key, e AS seq, actor, problem FROM given WHERE problem IS NOT NULL
+  UNION ALL SELECT 'fx', 'C' || (e % 30), e, actor, 'rate must be greater than zero' FROM ev WHERE e % 7 = 0"""
+ORACLE["snk_current_rules"] = f"""WITH {_CHANGES} SELECT rule_code, enabled, weight, severity, params, seq FROM states
+  QUALIFY row_number() OVER (PARTITION BY rule_code ORDER BY seq DESC) = 1"""
+ORACLE["snk_link_audit"] = C + f""" SELECT 'ALERT' AS entity_type, alert_ref AS entity_id, 'ALERT_LINKED_TO_CASE' AS action, opened_by AS actor, 'Linked to case ' || case_ref AS details,
+  {ts('opened_at')} AS occurred_at FROM members JOIN cases USING (case_ref)"""
+ORACLE["ext_custom_rule"] = f"""WITH {LEDGER}, found AS (SELECT 'LARGE_CREDIT' AS rule_code, * FROM ledger WHERE direction = 'CREDIT' AND amount_base >= 8000
+  UNION ALL SELECT 'CTR_THRESHOLD', * FROM ledger WHERE amount_base >= 10000)
+SELECT rule_code, rule_code || '|TXN|' || transaction_id AS dedup_key, customer_id, {dbl('amount_base')} AS evidence_amount_base, transaction_id AS anchor_txn_id FROM found"""
+ORACLE["ext_custom_check"] = f"""WITH {_VAL} SELECT row_number, transaction_id AS record_key, 'BUSINESS_RULE' AS error_type, 'length of ' || trim(transaction_id) AS error_message
+  FROM checked WHERE length(trim(transaction_id)) % 3 = 0"""
+ORACLE["lim_detection_order"] = f"WITH {LEDGER} SELECT transaction_id, true AS in_order FROM ledger"

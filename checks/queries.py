@@ -914,3 +914,69 @@ def flagship_alert_queue(spark: SparkSession, sf: str) -> DataFrame:
     customers = sd.customers(spark, sf)
     found = al.derive_alerts(sc.all_findings(spark, sf).hits, customers, sc.settings(spark))
     return al.page(al.queue_rows(found, customers), 0, 200, "risk_score", "alert_ref")
+
+
+# --- changes of settings, and what users add -------------------------------
+
+@query
+def snk_settings_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Audit rows that two batches of changes to rules, lists and rates left."""
+    return sc.stored_settings(spark, sf).audit_rows(spark).select("entity_type", "entity_id", "action", "actor", "details", "occurred_at")
+
+
+@query
+def snk_refused_changes(spark: SparkSession, sf: str) -> DataFrame:
+    log = sc.stored_settings(spark, sf)
+    return log.refused(spark, "rules").unionByName(log.refused(spark, "fx")).select("kind", "key", "seq", "actor", "problem")
+
+
+@query
+def snk_current_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules as they stand after all changes."""
+    return sc.stored_settings(spark, sf).current(spark, "rules").select("rule_code", "enabled", "weight", "severity", "params", "seq")
+
+
+@query
+def snk_link_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return cs.link_audit(sc.members(spark, sf), sc.cases(spark, sf)).select("entity_type", "entity_id", "action", "actor", "details", "occurred_at")
+
+
+def _large_credits(ctx: rules.RuleContext, s) -> rules.Findings:
+    """A user's rule: single credits at or above a floor."""
+    found = ctx.current.where((F.col("direction") == "CREDIT") & (F.col("amount_base") >= s.money("floor")))
+    hits = rules.hit_rows(
+        found, s.code, "CUSTOM", dedup_key=text.transaction_key(s.code, F.col("transaction_id")),
+        explanation=F.concat(F.lit("Large credit "), F.col("transaction_id")), evidence_amount_base=F.col("amount_base"), evidence_count=F.lit(1),
+        first_ts=F.col("txn_timestamp"), last_ts=F.col("txn_timestamp"), anchor_txn_id=F.col("transaction_id"))
+    return rules.Findings(hits, rules.evidence_rows(hits, s.code, txn_timestamp=F.col("first_ts"), transaction_id=F.col("anchor_txn_id")))
+
+
+@query
+def ext_custom_rule(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule that a user registers runs with the others, under its own settings row."""
+    code = "LARGE_CREDIT"
+    rules.register(rules.Rule(code, "CUSTOM", rules.TRANSACTION, _large_credits))
+    try:
+        own = params.load_settings(refs.rule_config(spark, [(code, "CUSTOM", True, 10, "LOW", '{"floor":8000}'), sc.RULES[0]]))
+        hits = rules.detect(rules.RuleContext(sd.ledger(spark, sf)), own).hits
+    finally:
+        rules.unregister(code)
+    return hits.select("rule_code", "dedup_key", "customer_id", "evidence_amount_base", "anchor_txn_id")
+
+
+@query
+def ext_custom_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A check that a user adds comes before the library's own by its order."""
+    late = validate.Check(0, F.coalesce(F.length(F.trim("transaction_id")) % 3 == 0, F.lit(False)), validate.BUSINESS, F.concat(F.lit("length of "), F.trim("transaction_id")))
+    done = ingest(sd.dirty_transactions(spark, sf), sd.accounts(spark, sf), refs.fx_rates(spark), sc.AS_OF, extra=[late])
+    return done.rejected.where(F.col("error_message").startswith("length of ")).select("row_number", "record_key", "error_type", "error_message")
+
+
+@query
+def lim_detection_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The ledger in account and time order: whether each row, as it lies in its partition, follows the one before."""
+    laid = store.in_detection_order(sd.ledger(spark, sf)).select(
+        "transaction_id", F.struct("account_id", "txn_timestamp", "transaction_id").alias("at"), F.spark_partition_id().alias("part"),
+        F.monotonically_increasing_id().alias("place"))
+    before = F.lag("at").over(Window.partitionBy("part").orderBy("place"))
+    return laid.select("transaction_id", F.coalesce(before < F.col("at"), F.lit(True)).alias("in_order"))

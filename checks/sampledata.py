@@ -170,3 +170,24 @@ def alert_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(kind == "purchase", F.when(F.col("event_id") % 7 == 0, " ").otherwise("reviewed")).alias("reason"),
         F.concat(F.lit("analyst"), (F.col("event_id") % 5).cast("string")).alias("actor"),
         (F.col("event_id") % 3 == 0).alias("is_senior"))
+
+
+def settings_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Rules to install, and a change of every kind of setting per event; some rules are unknown, some values unusable."""
+    e = F.col("event_id")
+    events = table(spark, sf_dir, "events").withColumns({
+        "seq": e, "changed_at": F.col("ts").cast("timestamp_ntz"), "actor": F.concat(F.lit("admin"), (e % 5).cast("string"))})
+    numbered = lambda prefix, n: F.concat(F.lit(prefix), (e % n).cast("string"))
+    severity = F.element_at(F.array(F.lit("LOW"), F.lit("MEDIUM"), F.lit("HIGH")), (e % 3 + 1).cast("int"))
+    fine = F.col("event_type") != "error"
+    rules = events.where(e % 10 != 7).select(numbered("RULE_", 50).alias("rule_code")).distinct().select(
+        "rule_code", F.lit("CUSTOM").alias("typology"), F.lit(True).alias("enabled"), F.lit(20).alias("weight"), F.lit("MEDIUM").alias("severity"), F.lit("{}").alias("params"))
+    return rules, {
+        "rules": events.select(
+            numbered("RULE_", 50).alias("rule_code"), F.lit("CUSTOM").alias("typology"), fine.alias("enabled"), (e % 104 - 2).alias("weight"), severity.alias("severity"),
+            F.concat(F.lit('{"minCount":'), (e % 7).cast("string"), F.lit("}")).alias("params"), "seq", "changed_at", "actor"),
+        "jurisdictions": events.select(
+            numbered("K", 200).alias("country_code"), severity.alias("category"), (e % 41).alias("risk_weight"), fine.alias("active"), "seq", "changed_at", "actor"),
+        "watchlist": events.select(
+            numbered("Party ", 90).alias("name"), severity.alias("list_type"), F.lit("XX").alias("country"), (e % 13 != 0).alias("active"), "seq", "changed_at", "actor"),
+        "fx": events.select(numbered("C", 30).alias("currency"), (e % 7).alias("rate_to_base"), "seq", "changed_at", "actor")}

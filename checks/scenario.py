@@ -18,6 +18,7 @@ from tallyhound.operators import cases as cs
 from tallyhound.operators import lifecycle as lc
 from tallyhound.operators import rules
 from tallyhound.plans.ingest import load_masters
+from tallyhound.plans.settings_log import SettingsLog
 from tallyhound.session import work_folder
 from tallyhound.streaming.job import StreamJob
 from checks import sampledata as sd
@@ -105,6 +106,20 @@ def stored_masters(spark: SparkSession, sf: str, customers: DataFrame, accounts:
     return _tables[key]
 
 
+def stored_settings(spark: SparkSession, sf: str) -> SettingsLog:
+    """The change logs after two batches of changes, parted at the middle of their numbers."""
+    key = (spark.sparkContext.applicationId, sf, "settings-log")
+    if key not in _tables:
+        log = SettingsLog(work_folder(spark, "settings-log"))
+        installed, changes = sd.settings_changes(spark, sf)
+        log.install(installed, AS_OF)
+        middle = F.lit(changes["fx"].agg(F.max("seq")).first()[0] // 2)
+        log.apply(1, **{k: c.where(F.col("seq") <= middle) for k, c in changes.items()})
+        log.apply(2, **{k: c.where(F.col("seq") > middle) for k, c in changes.items()})
+        _tables[key] = log.path
+    return SettingsLog(_tables[key])
+
+
 def all_findings(spark: SparkSession, sf: str) -> rules.Findings:
     return rules.detect(rules.RuleContext(sd.ledger(spark, sf)), settings(spark))
 

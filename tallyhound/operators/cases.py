@@ -145,3 +145,10 @@ def case_audit(cases: DataFrame) -> DataFrame:
                  F.concat(F.lit("Opened over "), F.col("alert_count").cast("string"), F.lit(" alert(s), aggregate score "),
                           F.col("aggregate_risk_score").cast("string")),
                  actor=F.col("opened_by"), to_state=F.lit("NEW"))
+
+
+def link_audit(member_rows: DataFrame, cases: DataFrame) -> DataFrame:
+    """One row per alert that a case took in."""
+    linked = member_rows.select("case_ref", "alert_ref").distinct().join(cases.select("case_ref", "opened_at", "opened_by"), "case_ref")
+    return audit("ALERT", "ALERT_LINKED_TO_CASE", linked, F.col("alert_ref"), F.col("opened_at"),
+                 F.concat(F.lit("Linked to case "), F.col("case_ref")), actor=F.col("opened_by"))
