@@ -224,3 +224,21 @@ def test_repeats_can_be_dropped_on_the_stream(spark, tmp_path):
     q = drop_repeats(rows, "at", "1 hour").writeStream.format("memory").queryName("kept").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("kept").count() == 2
+
+
+def test_whole_window_reads_all_rows_of_the_batch_accounts(spark, sf, tmp_path):
+    """One row of ACC_1 early and one of ACC_5 late: both accounts are read over the whole time between, from the plain and the stored ledger."""
+    l = sd.ledger(spark, sf)
+    store.write_ledger(l, str(tmp_path), 0)
+    log = store.read_ledger_log(spark, str(tmp_path))
+    settings = load_settings(refs.rule_config(spark, LEDGER_RULES))
+    early = l.orderBy("txn_timestamp").where("account_id = 'ACC_1'").limit(1)
+    late = l.orderBy(F.desc("txn_timestamp")).where("account_id = 'ACC_5'").limit(1)
+    batch = early.unionByName(late)
+    want = {r[0] for r in l.where("account_id in ('ACC_1', 'ACC_5')").select("transaction_id").collect()}
+    for df in (context.account_window(l, batch, settings), context.account_window(log, batch, settings, store.rewrites(spark, str(tmp_path)))):
+        got = [r[0] for r in df.select("transaction_id").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    narrow = context.rows_in_reach(log, context.account_reach(batch, settings), "account_id")
+    assert narrow.count() < len(want)
+    assert context.account_window(log, batch.limit(0), settings).count() == 0
