@@ -1,7 +1,7 @@
 """The continuous job: validate, store, detect and log, one micro-batch at a time.
 
 Rows may arrive any amount of time late: every batch re-reads the history around its own rows
-(see `plans.context`), so no watermark cuts anything off and no batch reads more days than
+or, on request, around the whole batch (see `plans.context`), so no watermark cuts anything off and no batch reads more days than
 that.
 
 A batch's summary is written last and commits it: readers see the tables of committed batches only, so
@@ -51,6 +51,8 @@ class StreamJob:
     buckets: int = store.BUCKETS
     # Tasks to deal a batch's raw rows to, where they come in few files.
     spread: int | None = None
+    # Account rules read one window over the whole batch for all its accounts, not only the surroundings of each account's own rows.
+    whole_window: bool = False
 
     @property
     def keys(self) -> KeyTable:
@@ -105,7 +107,11 @@ class StreamJob:
 
         def history(key: str, reach) -> DataFrame:
             return context.rows_in_reach(log, reach(fresh, settings), key, self.buckets, rewritten).select(*LEDGER_COLUMNS)
-        around = store.kept(history("account_id", context.account_reach), f"{self.path}/history", batch_id)
+        if self.whole_window:
+            near = context.account_window(log, fresh, settings, rewritten).select(*LEDGER_COLUMNS)
+        else:
+            near = history("account_id", context.account_reach)
+        around = store.kept(near, f"{self.path}/history", batch_id)
         return {
             rules.TRANSACTION: rules.RuleContext(fresh, **lists),
             rules.ACCOUNT_WINDOW: rules.RuleContext(around, **lists),
