@@ -95,13 +95,14 @@ def audit_row(summaries: DataFrame, as_of: datetime, actor: str = "system") -> D
                         F.coalesce("alerts_generated", F.lit(0).cast("long")), F.coalesce("duration_ms", F.lit(0).cast("long"))), actor=F.lit(actor))
 
 
-def load_masters(customers: DataFrame, accounts: DataFrame, path: str, batch_id: int, as_of: datetime) -> None:
+def load_masters(customers: DataFrame, accounts: DataFrame, path: str, batch_id: int, as_of: datetime, spread: int | None = None) -> None:
     """Validate a customer file and an account file and store what they bring under `path`: the accepted
     rows, the rejects with their batch's ref, the summaries and their audit rows. Accounts may
-    belong to customers of this or any earlier batch."""
+    belong to customers of this or any earlier batch. `spread` deals the rows to that many tasks first, as in `ingest`."""
     spark = customers.sparkSession
     parts = []
     for entity, rows in (("customer", customers), ("account", accounts)):
+        rows = rows.repartition(spread) if spread else rows
         known = store.read_log(spark, f"{path}/customers", "customer_id string")
         done = ingest_customers(rows) if entity == "customer" else ingest_accounts(rows, known)
         store.write_batch(done.accepted, f"{path}/{entity}s", batch_id)

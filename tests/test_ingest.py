@@ -168,3 +168,18 @@ def test_a_cut_ledger_knows_of_rows_moved_elsewhere(spark, tmp_path, sf):
     # Only the opened day is read, of the ledger and of the notes.
     plan = store.current_slice(spark, path, here)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(txn_date") >= 2
+
+
+def test_masters_are_dealt_to_tasks(spark, sf, tmp_path):
+    """A file in one split is parsed by as many tasks as asked for, with the same rows stored."""
+    from checks.queries import _account_rows, _customer_rows
+    from tallyhound.plans.ingest import load_masters
+    customers, accounts = _customer_rows(spark, sf), _account_rows(spark, sf)
+    kept = {}
+    for spread in (None, 4):
+        path = f"{tmp_path}/{spread}"
+        load_masters(customers, accounts, path, 0, datetime(2024, 2, 1), spread=spread)
+        kept[spread] = [sorted(map(str, spark.read.parquet(f"{path}/{t}").collect())) for t in ("customers", "accounts", "customer_rejects", "account_rejects", "master_batches")]
+        files = spark.read.parquet(f"{path}/customers").inputFiles()
+        assert len(files) == 1 if spread is None else len(files) == 4
+    assert kept[None] == kept[4]
