@@ -10,6 +10,7 @@ Changes of a key come in order of `seq`, which rises from batch to batch. A rule
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -108,15 +109,19 @@ class SettingsLog:
         spark = next(iter(changes.values())).sparkSession
         if batch_id <= self.last_committed(spark):
             return
-        rows = []
-        for kind, given in changes.items():
+
+        def stored_kind(kind: str) -> DataFrame:
             key, ddl = KINDS[kind]
-            judged = store.kept(self.judge(kind, _shaped(given, ddl), batch_id), f"{self.path}/{kind}-judged", batch_id)
+            judged = store.kept(self.judge(kind, _shaped(changes[kind], ddl), batch_id), f"{self.path}/{kind}-judged", batch_id)
             good = judged.where("problem is null").drop("problem")
             refused = judged.where("problem is not null").select(F.lit(kind).alias("kind"), F.col(key).alias("key"), "seq", "changed_at", "actor", "problem")
             store.write_batch(good, f"{self.path}/{kind}", batch_id)
             store.write_batch(refused, f"{self.path}/refused-{kind}", batch_id)
-            rows.append(trail(kind, self.before(spark, good, batch_id) if kind == "rules" else good))
+            return trail(kind, self.before(spark, good, batch_id) if kind == "rules" else good)
+
+        # The kinds' jobs share the cluster, so one kind's last tasks do not leave it idle.
+        with ThreadPoolExecutor(max_workers=len(changes)) as pool:
+            rows = list(pool.map(stored_kind, changes))
         made = rows[0]
         for more in rows[1:]:
             made = made.unionByName(more)

@@ -84,3 +84,12 @@ def test_lists_and_rates_leave_rows(spark, log):
     assert details(log, spark) == ["FX rate set to 83.50000000 per base unit", "Jurisdiction IR set to SANCTIONED (weight 40)", "Jurisdiction deactivated", "Watchlist entry added: PEP"]
     assert {r["key"] for r in log.refused(spark, "fx").collect()} == {"EUR", "GBP"}
     assert {r["entity_type"] for r in log.audit_rows(spark).collect()} == {"REFERENCE"}
+
+
+def test_params_are_parsed_once_a_row(spark):
+    """Written out inside every check the text was parsed by each of them, 17 times in the plan."""
+    from tallyhound.functions.params import check_config
+    df = spark.createDataFrame([("A", 5, '{"minCount":0}')], "rule_code string, weight int, params string")
+    checked = check_config(df)
+    assert checked.columns == ["rule_code", "weight", "params", "problem"] and checked.first()["problem"] == "minCount must be at least 1"
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 2
