@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyhound.operators import alerts as al
 from tallyhound.operators import cases as cs
-from tallyhound.operators import reports, sar
+from tallyhound.operators import reports, rules, sar
 from tallyhound.schemas import HIT_DDL
 from tests.helpers import BASE, settings
 
@@ -166,3 +166,15 @@ def test_text_whole_in_any_number_of_volumes(spark):
     assert "T1                     11 Mar 2025 07:30 CREDIT            100.00  Bob (IR)\n" in one["text"]
     assert "DEBIT            1234.50  —\n" in one["text"]
     assert "TRANSACTION SCHEDULE (2 line(s))\n" in one["text"] and one["text"].endswith("Source alerts: ALT-0, ALT-1\n")
+
+
+def test_patterns_are_searched_once_for_hits_and_evidence(spark, sf, monkeypatch):
+    from checks import scenario as sc
+    calls, real = [], rules.detect
+    monkeypatch.setattr(rules, "detect", lambda *a, **k: calls.append(1) or real(*a, **k))
+    monkeypatch.setattr(sc, "_tables", {})
+    monkeypatch.setattr(sc, "_found", {})
+    hits, logged, full = sc.hits(spark, sf), sc.logged_evidence(spark, sf), sc.evidence(spark, sf)
+    assert calls == [1]
+    assert hits.count() > 0 and full.count() > logged.count() > 0
+    assert logged.join(hits, "dedup_key", "left_anti").count() == 0
