@@ -50,6 +50,19 @@ def test_any_cuts_find_what_one_look_finds(made, watermarks):
     assert all(r[0] >= 1000 for r in kept), "nothing behind the watermark is kept once all windows have ended"
 
 
+@given(st.lists(row, max_size=40), st.lists(st.integers(0, 200), max_size=6))
+@limits(max_examples=300, deadline=None)
+def test_marks_tell_the_next_look_what_is_done(made, watermarks):
+    rows = [(at, f"t{i:03}", "c", cents, marks) for i, (at, cents, marks) in enumerate(made)]
+    kept, got, before = [], [], -1
+    for until in sorted({*watermarks, 1000}):
+        out, kept, done, _ = w.judge(kept + [r for r in rows if before < r[0] <= until], {}, SPANS, until)
+        kept = w.without_done(kept, done)
+        got += [(o[0], o[2], o[6]) if o[0] != w.FLOW_RULE else (o[0], o[2], o[6], int(o[7]), o[8]) for o in out]
+        before = until
+    assert sorted(got) == plain(rows, 1000)
+
+
 def test_state_keeps_only_open_windows():
     rows = [(i, f"t{i:05}", "c", 1, 1 | w.DEBIT) for i in range(10_000)]
     _, kept, _, _ = w.judge(rows, {}, SPANS, 9_999)
@@ -74,3 +87,35 @@ def test_stream_with_late_rows_and_a_restart(spark, tmp_path):
     assert [(h["account_id"], h["evidence_count"], h["anchor_txn_id"], h["last_ts"]) for h in hits] == [("ACC_1", 3, "T001", at + timedelta(hours=20))]
     assert sorted(r["transaction_id"] for r in job.evidence(spark).collect()) == ["T001", "T003", "T005"]
     assert spark.conf.get(w.STORE[0], None) != w.STORE[1], "the session's own store is put back"
+
+
+def test_accounts_share_the_state_of_a_group(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    schema = "transaction_id string, account_id string, customer_id string, txn_timestamp timestamp_ntz, direction string, amount_base decimal(18,2)"
+    def rows(first, hours):
+        made = [(f"T{first + h}_{a:03}", f"ACC_{a:03}", "C", at + timedelta(hours=h), "CREDIT" if h % 2 else "DEBIT", a % 7 * 1000 + 4000) for a in range(200) for h in hours]
+        return spark.createDataFrame([(*r[:5], f"{r[5]}.00") for r in made], schema.replace("decimal(18,2)", "string")).withColumn("amount_base", F.col("amount_base").cast("decimal(18,2)"))
+    settings = {k: v for k, v in sc.settings(spark).items() if k in ("STRUCTURING", "RAPID_MOVEMENT")}
+    found = {}
+    for groups in (1, 4):
+        job = w.StatefulJob(f"{tmp_path}/out{groups}", settings, "6 hours", groups)
+        (tmp_path / f"in{groups}").mkdir()
+        feed = spark.readStream.schema(schema).parquet(f"{tmp_path}/in{groups}")
+        held = []
+        for part in (range(0, 40), range(40, 150)):
+            rows(1000, part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{groups}")
+            run = job.start(feed, f"{tmp_path}/state{groups}")
+            run.awaitTermination()
+            held += [p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]]
+        # A group has its list of rows and its timer; 200 accounts would have as many lists.
+        assert 0 < max(held) <= 2 * groups
+        found[groups] = sorted(tuple(r) for r in job.hits(spark).drop("batch_id").collect())
+    history = rows(1000, range(150))
+    ended = {"STRUCTURING": 24, "RAPID_MOVEMENT": 48}
+    for code, hours in ended.items():
+        # The watermark is six hours behind the last row, at hour 149.
+        batch = rules.registered(code).find(rules.RuleContext(history), settings[code]).hits.where(F.col("first_ts") <= F.lit(at + timedelta(hours=143 - hours)).cast("timestamp_ntz"))
+        want = sorted(r["dedup_key"] for r in batch.collect())
+        for groups in found:
+            assert want and sorted(r[list(batch.columns).index("dedup_key")] for r in found[groups] if r[0] == code) == want
+    assert found[1] == found[4]
