@@ -82,8 +82,23 @@ class StreamJob:
                       spread=self.spread)
         store.write_ledger(done.accepted, self.ledger_path, batch_id, self.buckets)
         store.write_batch(done.rejected.withColumn("batch_ref", source_ref(source, as_of)), f"{self.path}/rejects", batch_id)
+        self._detect_and_commit(done.checked, batch_id, as_of, began)
+
+    def process_accepted(self, ledger: DataFrame, batch_id: int) -> None:
+        """A batch of ledger rows that were accepted elsewhere: stored and judged as they are, none is refused."""
+        spark = ledger.sparkSession
+        if batch_id <= self.last_committed(spark):
+            return
+        as_of, began = self.now(), time.monotonic()
+        store.write_ledger(ledger.select(*LEDGER_COLUMNS), self.ledger_path, batch_id, self.buckets)
+        kept = store.read_ledger_log(spark, self.ledger_path).where(F.col("batch_id") == batch_id)
+        self._detect_and_commit(kept.withColumn("failed", F.lit(None).cast("int")), batch_id, as_of, began)
+
+    def _detect_and_commit(self, checked: DataFrame, batch_id: int, as_of: datetime, began: float) -> None:
+        """Run the rules over a stored batch, then write its summary."""
+        spark = checked.sparkSession
         result, opened = self.detect(spark, batch_id, as_of)
-        summary = summarise(done.checked, source, as_of, alerts=opened, duration_ms=int((time.monotonic() - began) * 1000))
+        summary = summarise(checked, f"stream-{batch_id}", as_of, alerts=opened, duration_ms=int((time.monotonic() - began) * 1000))
         stamped = summary.withColumns({"hits": F.lit(result.hits).cast("long"), "failed_rules": F.lit(",".join(result.failed_rules))})
         made = spark.createDataFrame([stamped.first()], stamped.schema)
         store.write_batch(audit_row(made, as_of), f"{self.path}/audit", batch_id)

@@ -242,3 +242,19 @@ def test_whole_window_reads_all_rows_of_the_batch_accounts(spark, sf, tmp_path):
     narrow = context.rows_in_reach(log, context.account_reach(batch, settings), "account_id")
     assert narrow.count() < len(want)
     assert context.account_window(log, batch.limit(0), settings).count() == 0
+
+
+def test_recovery_refuses_no_row_of_the_ledger(spark, sf, tmp_path):
+    """Events of value 0.00 with a listed party are hits, as the SQL has them; a batch of raw rows would refuse them."""
+    import duckdb
+    from checks.oracle import ORACLE
+    from checks.queries import REGISTRY
+    events = sd.table(spark, sf, "events").withColumn("value", F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value")))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    sd.table(spark, sf, "customer").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(ORACLE["det_rule_recovery"]).fetchall()
+    got = REGISTRY["det_rule_recovery"](spark, str(tmp_path)).collect()
+    zero = {f"HIGH_RISK_JURISDICTION|TXN|TXN_{r[0]}" for r in con.execute("SELECT event_id FROM events WHERE value = 0 AND event_id % 50 <> 7").fetchall()}
+    assert zero & {r[1] for r in want} and sorted(map(tuple, got)) == sorted(want)
